@@ -53,7 +53,7 @@ def aggregate_nodes_by_file(nodes, per_cell=NODES_PER_CELL, block=4096):
     )
     sizes = blocks.groupBy("filename").agg(F.sum(F.size("_nodes")).alias("_n")).where(F.col("_n") > per_cell)
     placed = blocks.join(sizes, "filename", "left").withColumn(
-        "part", F.when(F.col("_n").isNull(), F.lit(0).cast("long")).otherwise(F.col("_block"))
+        "part", F.when(F.col("_n").isNull(), F.lit(0).cast("long")).otherwise(F.col("_block") + 1)
     )
     ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_nodes"))), lambda b: b["_nodes"]))
     return (
@@ -70,14 +70,20 @@ def join_manifest_nodes(manifest, cells):
     """Every manifest row with its cell; files without nodes get an empty one."""
     keyed = manifest.withColumn("filename", source_key("source_path"))
     return keyed.join(cells, "filename", "left").withColumns(
-        {"cpg": F.coalesce("cpg", F.lit(EMPTY_CELL)), "n_nodes": F.coalesce("n_nodes", F.lit(0))}
+        {
+            "cpg": F.coalesce("cpg", F.lit(EMPTY_CELL)),
+            "n_nodes": F.coalesce("n_nodes", F.lit(0)),
+            "part": F.coalesce("part", F.lit(0)),
+        }
     )
 
 
 def join_source_cells(source, manifest):
     """Source rows with path and cell, matched on the id as a string."""
     left = source.withColumn("sample_id", F.col("sample_id").cast("string"))
-    right = manifest.select(F.col("sample_id").cast("string").alias("sample_id"), "source_path", "filename", "cpg")
+    right = manifest.select(
+        F.col("sample_id").cast("string").alias("sample_id"), "source_path", "filename", "part", "cpg"
+    )
     return left.join(right, "sample_id", "left")
 
 

@@ -55,16 +55,32 @@ def token_universe(elements, fields=FIELDS):
     return field_tokens(elements, (), fields).distinct()
 
 
+def _samples_once(elements, columns):
+    """One row per sample where a sample may come in several parts (0 marks a whole one)."""
+    if "part" not in elements.columns:
+        return elements.select(*columns)
+    whole = elements.where("part = 0").select(*columns)
+    return whole.unionByName(elements.where("part > 0").select("sample_id", *columns).distinct().drop("sample_id"))
+
+
+def _sample_tokens(elements, labels):
+    if "part" not in elements.columns:
+        return field_tokens(elements, labels)
+    whole = field_tokens(elements.where("part = 0"), labels)
+    parts = field_tokens(elements.where("part > 0"), ("sample_id", *labels)).distinct()
+    return whole.unionByName(parts.drop("sample_id"))
+
+
 def token_counts(elements, labels=LABELS):
     """Documents per (field, token) and label, wide; every token of the table has a row."""
     sums = [F.sum(F.col(l).cast("long")).alias(f"n_{l}") for l in labels]
-    return field_tokens(elements, labels).groupBy("field", "token").agg(*sums)
+    return _sample_tokens(elements, labels).groupBy("field", "token").agg(*sums)
 
 
 def label_sizes(elements, labels=LABELS):
     """One struct of documents per label, as a scalar subquery."""
     sums = F.struct(*[F.sum(F.col(l).cast("long")).alias(l) for l in labels])
-    return elements.agg(sums.alias("sizes")).scalar()
+    return _samples_once(elements, labels).agg(sums.alias("sizes")).scalar()
 
 
 def universe_sizes(counts):

@@ -74,7 +74,10 @@ def run_refinement(train, test, scored, config=None):
     config = config or RefinementConfig()
     attach = elements_from_cells if config.legacy else build_elements
     labels = config.rule_labels
-    train_elements = stage(attach(train).select("sample_id", *labels, "ids", "calls", "controls"), "train-elements")
+    part = ["part"] if "part" in train.columns else []
+    train_elements = stage(
+        attach(train).select("sample_id", *part, *labels, "ids", "calls", "controls"), "train-elements"
+    )
     test_elements = attach(test).select("sample_id", "ids", "calls", "controls")
     return refine_with_elements(train_elements, test_elements, scored, config)
 
@@ -96,8 +99,8 @@ def check_alignment(test, truth, labels=LABELS):
 def cells_for(rows, nodes, root="sources"):
     """Rows with the node cell of their source file.
 
-    The cells of a file that was split into parts are joined as further rows of
-    the same sample; token sets of such rows add up in the rule join.
+    A file whose cell was split gives one row per ``part``; counting and rule
+    hits put the token sets of such rows together again.
     """
     manifest = source_bodies(rows, root).drop("body")
     joined = join_manifest_nodes(manifest, aggregate_nodes_by_file(nodes))

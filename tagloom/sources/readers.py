@@ -30,15 +30,16 @@ def _csv(spark, schema, sep=","):
 def scan_raw_csv(spark, path, schema=RAW_CSV_SCHEMA, rename=RAW_CSV_COLUMNS, numbered=True, max_rows=None):
     """Raw CSV with line breaks inside quotes; bytes that are not UTF-8 become U+FFFD.
 
-    ``sample_id`` is the 0-based record number, files in path order.  A quoted
+    ``sample_id`` is the 0-based record number, files in path order, and missing
+    values are empty strings.  A quoted
     CSV file cannot be split, so give many files and keep the result as parquet.
     """
     rows = _csv(spark, schema).csv(path).withColumnsRenamed(dict(rename))
+    names = rows.columns
+    rows = rows.select(*[F.coalesce(F.col(n), F.lit("")).alias(n) for n in names], F.col("_metadata.file_path").alias("_file"))
     if not numbered:
-        return rows
-    placed = rows.select("*", F.col("_metadata.file_path").alias("_file")).withColumn(
-        "_row", F.monotonically_increasing_id()
-    )
+        return rows.drop("_file")
+    placed = rows.withColumn("_row", F.monotonically_increasing_id())
     placed = number_rows(stage(placed, "raw"), ["_file", "_row"], "sample_id", start=0)
     placed = placed.drop("_file", "_row")
     return placed if max_rows is None else placed.where(F.col("sample_id") < max_rows)

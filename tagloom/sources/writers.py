@@ -6,6 +6,13 @@ from ..constants import LABELS
 from ..functions.text import dotted_extension, ensure_c_source, safe_project_name
 
 
+# values are written as they are: quoted, untrimmed, quotes doubled
+CSV_OPTIONS = {
+    "header": True, "quote": '"', "escape": '"', "quoteAll": True,
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
 def write_split_dataset(clean, path, fmt="parquet"):
     """The clean table, one folder per split, gzip-compressed.
 
@@ -14,9 +21,7 @@ def write_split_dataset(clean, path, fmt="parquet"):
     """
     writer = clean.write.mode("overwrite").partitionBy("split").option("compression", "gzip")
     if fmt == "csv":
-        writer.option("header", True).option("quote", '"').option("escape", '"').option(
-            "quoteAll", True
-        ).csv(path)
+        writer.options(**CSV_OPTIONS).csv(path)
     else:
         writer.parquet(path)
     return path
@@ -28,10 +33,7 @@ def write_legacy_views(view, path):
     paths = {}
     for name, sep in (("csv", ","), ("hash", "#")):
         paths[name] = f"{path}/{name}"
-        (
-            flat.write.mode("overwrite").option("header", True).option("sep", sep)
-            .option("quote", '"').option("escape", '"').option("quoteAll", True).csv(paths[name])
-        )
+        flat.write.mode("overwrite").options(**CSV_OPTIONS).option("sep", sep).csv(paths[name])
     return paths
 
 
@@ -53,7 +55,7 @@ def write_summary_json(record, path):
 
 def write_predictions(predictions, path, fmt="parquet"):
     writer = predictions.write.mode("overwrite")
-    writer.parquet(path) if fmt == "parquet" else writer.option("header", True).csv(path)
+    writer.parquet(path) if fmt == "parquet" else writer.options(**CSV_OPTIONS).csv(path)
     return path
 
 
