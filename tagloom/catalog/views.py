@@ -80,11 +80,11 @@ def calls(x):
 
 
 def controls(x):
-    words = "['if','for','while','switch','case','return']"
-    return (
-        f"list_filter({words}, lambda k: regexp_matches({x}, "
-        "'(^|[^\\p{L}\\p{N}_])' || k || '($|[^\\p{L}\\p{N}_])'))"
+    words = ", ".join(
+        f"CASE WHEN regexp_matches({x}, '(^|[^\\p{{L}}\\p{{N}}_]){k}($|[^\\p{{L}}\\p{{N}}_])') THEN '{k}' END"
+        for k in ("if", "for", "while", "switch", "case", "return")
     )
+    return f"list_filter([{words}], lambda k: k IS NOT NULL)"
 
 
 def _label_chain():
