@@ -206,7 +206,7 @@ _CRITICAL = "(VALUES " + ", ".join(f"({p}::DOUBLE, {tfidf.critical_value(p)!r}::
 _BEST = "(SELECT term, max(coalesce(chi2, 0)) AS m FROM chi GROUP BY term)"
 _SELECTED = (
     f"SELECT g.p_value, term FROM {_BEST}, {_CRITICAL} WHERE m >= g.critical UNION ALL "
-    f"SELECT g.p_value, (SELECT term FROM {_BEST} ORDER BY m DESC, term LIMIT 1) FROM {_CRITICAL} WHERE (SELECT max(m) FROM {_BEST}) < g.critical"
+    f"SELECT g.p_value, (SELECT term FROM {_BEST} ORDER BY round(m, 9) DESC, term LIMIT 1) FROM {_CRITICAL} WHERE (SELECT max(m) FROM {_BEST}) < g.critical"
 )
 
 

@@ -95,8 +95,11 @@ def pseudo_cell(text):
 
 
 def _quoted(value):
-    wrapped = F.to_json(F.array(F.coalesce(value, F.lit(""))))
-    return F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
+    """A JSON string; only values with marks to escape go through the JSON writer."""
+    value = F.coalesce(value, F.lit(""))
+    wrapped = F.to_json(F.array(value))
+    escaped = F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
+    return F.when(value.rlike(r'["\\\x00-\x1f]'), escaped).otherwise(F.concat(F.lit('"'), value, F.lit('"')))
 
 
 def node_json(kind, name, code):

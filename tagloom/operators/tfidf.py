@@ -206,7 +206,9 @@ def select_by_p(moments, grid=P_VALUE_GRID, labels=LABELS):
     the first one on a tie.
     """
     best = best_chi2(moments, labels)
-    fallback = best.agg(F.max(F.struct("chi2", -F.col("term_id"))).alias("m")).select(-F.col("m.col2")).scalar()
+    # rounded, so that equal scores summed in another order still tie
+    strongest = F.struct(F.round("chi2", 9).alias("score"), (-F.col("term_id")).alias("place"))
+    fallback = best.agg(F.max(strongest).alias("m")).select(-F.col("m.place")).scalar()
     top = best.agg(F.max("chi2")).scalar()
     points = F.array(
         *[
