@@ -53,17 +53,17 @@ def labels_list(spark, sf_dir):
 
 @query("p4_minimal_clean_text", f"SELECT doc_id, {clean('text')} AS text FROM documents")
 def clean_text(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", minimal_clean_text("text").alias("text"))
+    return views.documents(spark, sf_dir).select("doc_id", minimal_clean_text("text").alias("text"))
 
 
 @query("p5_filter_nonempty_text", f"SELECT doc_id, {clean('text')} AS text FROM documents WHERE {clean('text')} <> ''")
 def filter_nonempty(spark, sf_dir):
-    return prep.filter_nonempty_text(views.table(spark, sf_dir, "documents")).select("doc_id", "text")
+    return prep.filter_nonempty_text(views.documents(spark, sf_dir)).select("doc_id", "text")
 
 
 @query("p6_assign_split", f"SELECT doc_id, {split_of('doc_id')} AS split FROM documents")
 def split(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", assign_split("doc_id").alias("split"))
+    return views.documents(spark, sf_dir).select("doc_id", assign_split("doc_id").alias("split"))
 
 
 @query(
@@ -95,7 +95,7 @@ def project_name(spark, sf_dir):
     "WHEN NOT ends_with(text, chr(10)) THEN text || chr(10) ELSE text END AS body FROM documents",
 )
 def c_source(spark, sf_dir):
-    return views.table(spark, sf_dir, "documents").select("doc_id", ensure_c_source("text").alias("body"))
+    return views.documents(spark, sf_dir).select("doc_id", ensure_c_source("text").alias("body"))
 
 
 @query(

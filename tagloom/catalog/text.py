@@ -134,7 +134,7 @@ _FILLED = "coalesce(text, '')"
     "FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN text END AS text FROM documents)",
 )
 def fill_missing(spark, sf_dir):
-    documents = views.table(spark, sf_dir, "documents")
+    documents = views.documents(spark, sf_dir)
     holes = documents.select("doc_id", F.when(F.col("lang") == "en", F.col("text")).alias("text"))
     return holes.select("doc_id", F.size(T.code_tokens("text")).alias("n_tokens"))
 

@@ -36,12 +36,10 @@ def label_mask(raw):
     constant array; the generated code does not grow with the alias count.
     """
     text = F.lower(F.translate(collapse_spaces(fill_missing(raw)), _FOLD_FROM, _FOLD_TO))
-    steps = F.array(
-        *[
-            F.struct(F.lit(alias.lower()).alias("alias"), F.lit(_bit(label)).alias("bit"))
-            for label, aliases in ALIASES
-            for alias in aliases
-        ]
+    steps = F.expr(
+        "array(" + ", ".join(
+            f"named_struct('alias', '{alias.lower()}', 'bit', {_bit(label)})" for label, aliases in ALIASES for alias in aliases
+        ) + ")"
     )
 
     def take(state, step):
@@ -60,30 +58,15 @@ def label_mask(raw):
     return F.when(text.isin(*NO_LABEL), F.lit(0)).otherwise(F.aggregate(steps, start, take, close))
 
 
-def mask_bit(mask, position):
-    """Bit ``position`` of a mask as 0 or 1."""
-    return F.shiftright(_column(mask), position).bitwiseAND(F.lit(1)).cast("int")
-
-
 def label_columns(mask, labels=LABELS):
-    return [mask_bit(mask, i).alias(label) for i, label in enumerate(labels)]
-
-
-def pack_labels(labels=LABELS, prefix=""):
-    """0/1 label columns as one integer mask."""
-    return sum(
-        (F.col(f"{prefix}{label}").cast("int") * (1 << i) for i, label in enumerate(labels)), F.lit(0)
-    )
+    """0/1 columns of a mask column, given by name."""
+    return [F.expr(f"shiftright({mask}, {i}) & 1 AS {label}") for i, label in enumerate(labels)]
 
 
 def labels_to_list(labels=LABELS, prefix=""):
     """Names of the active labels in fixed order."""
-    named = F.array(*[F.when(F.col(f"{prefix}{label}") == 1, F.lit(label)) for label in labels])
-    return F.array_compact(named)
-
-
-def has_any_label(labels=LABELS):
-    return F.greatest(*[F.col(label) for label in labels]) == 1
+    named = ", ".join(f"if({prefix}{label} = 1, '{label}', NULL)" for label in labels)
+    return F.expr(f"array_compact(array({named}))")
 
 
 def assign_split(sample_id, seed=42):

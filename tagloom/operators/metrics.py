@@ -5,9 +5,6 @@ row expressions and by-label counts are plain sums, so every report needs one
 pass with map-side aggregation and shuffles one row per task.
 """
 
-from functools import reduce
-from operator import add
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,96 +12,95 @@ from pyspark.sql import functions as F
 from ..constants import LABELS, PUBLISHED_METRICS, SCORE_GRID
 
 AVERAGES = ("micro", "macro", "weighted", "samples")
+PRF = ("precision", "recall", "f1")
 
 
-def _total(columns):
-    return reduce(add, columns)
+def _total(terms):
+    return "(" + " + ".join(terms) + ")"
 
 
 def _ratio(top, bottom):
-    return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
+    return f"if({bottom} > 0, {top} / {bottom}, 0D)"
 
 
-def threshold_scores(scored, threshold=0.5, strict=False, labels=LABELS, score="score_", pred="pred_"):
-    """Scores to 0/1 predictions: ``>=`` or, if ``strict``, ``>``."""
+def stack(names, *rows):
+    """SQL that turns one row into several: ``rows`` hold one expression per name."""
+    cells = ", ".join(", ".join(row) for row in rows)
+    return f"stack({len(rows)}, {cells}) AS ({', '.join(names)})"
 
-    def reached(label):
-        column = F.col(f"{score}{label}")
-        return column > threshold if strict else column >= threshold
 
-    return scored.withColumns({f"{pred}{label}": reached(label).cast("int") for label in labels})
+def threshold_scores(scored, threshold=0.5, strict=False, labels=LABELS, score="score_", pred="pred_"):
+    """Scores to 0/1 predictions: ``>=`` or, if ``strict``, ``>``."""
+    reached = ">" if strict else ">="
+    return scored.withColumns(
+        {f"{pred}{l}": F.expr(f"cast({score}{l} {reached} {float(threshold)}D AS int)") for l in labels}
+    )
 
 
 def metric_sums(table, labels=LABELS, by=(), true="true_", pred="pred_", empty_value=1.0):
     """All sums any metric needs, one row per group of ``by``."""
-    t = {label: F.col(f"{true}{label}").cast("int") for label in labels}
-    p = {label: F.col(f"{pred}{label}").cast("int") for label in labels}
-    rows = table.select(
+    cells = table.selectExpr(
         *by,
-        *[t[l].alias(f"t_{l}") for l in labels],
-        *[p[l].alias(f"p_{l}") for l in labels],
-        _total([t[l] * p[l] for l in labels]).alias("_both"),
-        _total([p[l] for l in labels]).alias("_pred"),
-        _total([t[l] for l in labels]).alias("_true"),
-        _total([(t[l] == p[l]).cast("int") for l in labels]).alias("_equal"),
+        *[f"cast({true}{l} AS int) AS t_{l}" for l in labels],
+        *[f"cast({pred}{l} AS int) AS p_{l}" for l in labels],
     )
-    both, pred_n, true_n = F.col("_both"), F.col("_pred"), F.col("_true")
-    union = pred_n + true_n - both
-    sums = [
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("_equal") == len(labels)).alias("exact"),
-        F.sum("_equal").alias("cells"),
-        F.sum(F.when(union == 0, F.lit(float(empty_value))).otherwise(both / union)).alias("jaccard"),
-        F.sum(_ratio(both, pred_n)).alias("row_precision"),
-        F.sum(_ratio(both, true_n)).alias("row_recall"),
-        F.sum(_ratio(2 * both, pred_n + true_n)).alias("row_f1"),
-    ]
-    for label in labels:
-        sums += [
-            F.sum(F.col(f"t_{label}") * F.col(f"p_{label}")).alias(f"tp_{label}"),
-            F.sum(f"p_{label}").alias(f"pp_{label}"),
-            F.sum(f"t_{label}").alias(f"tt_{label}"),
-        ]
-    return rows.groupBy(*by).agg(*sums) if by else rows.agg(*sums)
+    rows = cells.selectExpr(
+        "*",
+        _total([f"t_{l} * p_{l}" for l in labels]) + " AS _both",
+        _total([f"p_{l}" for l in labels]) + " AS _pred",
+        _total([f"t_{l}" for l in labels]) + " AS _true",
+        _total([f"cast(t_{l} = p_{l} AS int)" for l in labels]) + " AS _equal",
+    )
+    sums = {
+        "n": "count(1)",
+        "exact": f"count_if(_equal = {len(labels)})",
+        "cells": "sum(_equal)",
+        "jaccard": f"sum(if(_pred + _true = 0, {float(empty_value)}D, _both / (_pred + _true - _both)))",
+        "row_precision": f"sum({_ratio('_both', '_pred')})",
+        "row_recall": f"sum({_ratio('_both', '_true')})",
+        "row_f1": f"sum({_ratio('(2 * _both)', '(_pred + _true)')})",
+    }
+    for l in labels:
+        sums |= {f"tp_{l}": f"sum(t_{l} * p_{l})", f"pp_{l}": f"sum(p_{l})", f"tt_{l}": f"sum(t_{l})"}
+    return rows.groupBy(*by).agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
 
 
 def _prf(tp, predicted, positive):
-    return _ratio(tp, predicted), _ratio(tp, positive), _ratio(2 * tp, predicted + positive)
+    return _ratio(tp, predicted), _ratio(tp, positive), _ratio(f"(2 * {tp})", f"({predicted} + {positive})")
+
+
+def _label_prf(label):
+    return _prf(f"tp_{label}", f"pp_{label}", f"tt_{label}")
 
 
 def metric_columns(labels=LABELS):
-    """Name → expression of every metric over a row of ``metric_sums``."""
-    n = F.col("n")
-    by_label = {l: _prf(F.col(f"tp_{l}"), F.col(f"pp_{l}"), F.col(f"tt_{l}")) for l in labels}
-    support = _total([F.col(f"tt_{l}") for l in labels])
-    micro = _prf(
-        _total([F.col(f"tp_{l}") for l in labels]), _total([F.col(f"pp_{l}") for l in labels]), support
-    )
+    """Name → SQL of every metric over a row of ``metric_sums``."""
+    support = _total([f"tt_{l}" for l in labels])
+    micro = _prf(_total([f"tp_{l}" for l in labels]), _total([f"pp_{l}" for l in labels]), support)
     out = {
-        "exact_match_ratio": _ratio(F.col("exact"), n),
-        "hamming_score": _ratio(F.col("jaccard"), n),
-        "accuracy": _ratio(F.col("cells"), n * len(labels)),
+        "exact_match_ratio": _ratio("exact", "n"),
+        "hamming_score": _ratio("jaccard", "n"),
+        "accuracy": _ratio("cells", f"(n * {len(labels)})"),
     }
-    for i, name in enumerate(("precision", "recall", "f1")):
+    for i, name in enumerate(PRF):
+        own = {l: _label_prf(l)[i] for l in labels}
         out[f"micro_{name}"] = micro[i]
-        out[f"macro_{name}"] = _total([by_label[l][i] for l in labels]) / len(labels)
-        out[f"weighted_{name}"] = _ratio(
-            _total([by_label[l][i] * F.col(f"tt_{l}") for l in labels]), support
-        )
-        out[f"samples_{name}"] = _ratio(F.col(f"row_{name}"), n)
-    for label in labels:
-        out[f"f1_{label}"] = by_label[label][2]
+        out[f"macro_{name}"] = f"{_total(own.values())} / {len(labels)}"
+        out[f"weighted_{name}"] = _ratio(_total([f"{own[l]} * tt_{l}" for l in labels]), support)
+        out[f"samples_{name}"] = _ratio(f"row_{name}", "n")
+    for l in labels:
+        out[f"f1_{l}"] = _label_prf(l)[2]
     return out
 
 
 def metrics_wide(table, labels=LABELS, by=(), **options):
     sums = metric_sums(table, labels, by, **options)
-    return sums.select(*by, *[c.alias(name) for name, c in metric_columns(labels).items()])
+    return sums.selectExpr(*by, *[f"{sql} AS {name}" for name, sql in metric_columns(labels).items()])
 
 
 def to_long(wide, names, keys=(), key="metric", value="value"):
-    pairs = F.array(*[F.struct(F.lit(n).alias(key), F.col(n).cast("double").alias(value)) for n in names])
-    return wide.select(*keys, F.explode(pairs).alias("_p")).select(*keys, f"_p.{key}", f"_p.{value}")
+    rows = [(f"'{n}'", f"cast({n} AS double)") for n in names]
+    return wide.selectExpr(*keys, stack((key, value), *rows))
 
 
 def compute_metrics(table, labels=LABELS, by=(), **options):
@@ -114,36 +110,20 @@ def compute_metrics(table, labels=LABELS, by=(), **options):
 
 def confusion_by_label(table, labels=LABELS, **options):
     """tp, fp, fn and tn of each label."""
-    sums = metric_sums(table, labels, **options)
-
-    def cell(label):
-        tp, pp, tt = (F.col(f"{k}_{label}") for k in ("tp", "pp", "tt"))
-        return F.struct(
-            F.lit(label).alias("label"), tp.alias("tp"), (pp - tp).alias("fp"), (tt - tp).alias("fn"),
-            (F.col("n") - pp - tt + tp).alias("tn"),
-        )
-
-    return sums.select(F.explode(F.array(*[cell(l) for l in labels])).alias("c")).select("c.*")
+    rows = [
+        (f"'{l}'", f"tp_{l}", f"pp_{l} - tp_{l}", f"tt_{l} - tp_{l}", f"n - pp_{l} - tt_{l} + tp_{l}") for l in labels
+    ]
+    return metric_sums(table, labels, **options).selectExpr(stack(("label", "tp", "fp", "fn", "tn"), *rows))
 
 
 def classification_report(table, labels=LABELS, **options):
     """Precision, recall, F1 and support by label and by average."""
-    sums = metric_sums(table, labels, **options)
     named = metric_columns(labels)
-
-    def line(name, values, support):
-        columns = [v.cast("double").alias(k) for k, v in zip(("precision", "recall", "f1"), values)]
-        return F.struct(F.lit(name).alias("name"), *columns, support.cast("long").alias("support"))
-
-    lines = [
-        line(l, _prf(F.col(f"tp_{l}"), F.col(f"pp_{l}"), F.col(f"tt_{l}")), F.col(f"tt_{l}")) for l in labels
-    ]
-    support = _total([F.col(f"tt_{l}") for l in labels])
-    lines += [
-        line(f"{a} avg", [named[f"{a}_{k}"] for k in ("precision", "recall", "f1")], support)
-        for a in AVERAGES
-    ]
-    return sums.select(F.explode(F.array(*lines)).alias("r")).select("r.*")
+    support = _total([f"tt_{l}" for l in labels])
+    rows = [(f"'{l}'", *_label_prf(l), f"tt_{l}") for l in labels]
+    rows += [(f"'{a} avg'", *[named[f"{a}_{k}"] for k in PRF], support) for a in AVERAGES]
+    typed = [(r[0], *[f"cast({x} AS double)" for x in r[1:4]], f"cast({r[4]} AS bigint)") for r in rows]
+    return metric_sums(table, labels, **options).selectExpr(stack(("name", *PRF, "support"), *typed))
 
 
 def score_accuracy(scored, threshold=0.5, strict=True, labels=LABELS, empty_value=0.0):
@@ -157,12 +137,11 @@ def score_accuracy(scored, threshold=0.5, strict=True, labels=LABELS, empty_valu
 
 def threshold_grid(scored, grid=SCORE_GRID, labels=LABELS):
     """All metrics at every threshold of the grid; partial sums keep the shuffle tiny."""
-    points = F.array(*[F.struct(F.lit(i).alias("grid_index"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(grid)])
-    rows = scored.withColumn("_g", F.explode(points)).select("*", "_g.grid_index", "_g.threshold")
-    rows = rows.withColumns(
-        {f"pred_{l}": (F.col(f"score_{l}") >= F.col("threshold")).cast("int") for l in labels}
-    )
-    return metrics_wide(rows, labels, by=("grid_index", "threshold"))
+    points = [(str(i), f"{float(t)}D") for i, t in enumerate(grid)]
+    kept = [f"{prefix}_{l}" for l in labels for prefix in ("score", "true")]
+    rows = scored.selectExpr(*kept, stack(("grid_index", "threshold"), *points))
+    predicted = rows.selectExpr("*", *[f"cast(score_{l} >= threshold AS int) AS pred_{l}" for l in labels])
+    return metrics_wide(predicted, labels, by=("grid_index", "threshold"))
 
 
 def best_point(grid_metrics, metric="macro_f1"):
@@ -175,8 +154,8 @@ def score_threshold_search(scored, grid=SCORE_GRID, labels=LABELS):
 
 
 def published_metrics(spark):
-    rows = F.array(*[F.struct(F.lit(k).alias("metric"), F.lit(v).alias("published")) for k, v in PUBLISHED_METRICS.items()])
-    return spark.range(1).select(F.explode(rows).alias("p")).select("p.*")
+    rows = [(f"'{k}'", f"{v}D") for k, v in PUBLISHED_METRICS.items()]
+    return spark.range(1).selectExpr(stack(("metric", "published"), *rows))
 
 
 def compare_to_published(metrics):
@@ -207,13 +186,8 @@ def auroc_by_label(table, labels=LABELS, score="score_", true="true_"):
     into bins of like size, so that the running sums inside a (label, bin) and
     over the bins of a label are both bounded; no task ranks a whole label.
     """
-    pairs = F.array(
-        *[
-            F.struct(F.lit(l).alias("label"), F.col(f"{score}{l}").cast("double").alias("s"), F.col(f"{true}{l}").alias("y"))
-            for l in labels
-        ]
-    )
-    long = table.select(F.explode(pairs).alias("r")).select("r.*")
+    rows = [(f"'{l}'", f"cast({score}{l} AS double)", f"{true}{l}") for l in labels]
+    long = table.selectExpr(stack(("label", "s", "y"), *rows))
     counts = long.groupBy("label", "s").agg(
         F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..constants import LABELS, P_VALUE_GRID
 from ..staging import BROADCAST_BYTES, Sized, stage, stage_sized
-from .metrics import metrics_wide
+from .metrics import metrics_wide, stack
 from .tfidf import select_by_p
 
 VARIANCE_SMOOTHING = 1e-9
@@ -129,7 +129,6 @@ def gnb_scores(rows, entries, models, moments, grid_indexes=None, key="sample_id
     """
     indexes = range(len(models.grid)) if grid_indexes is None else grid_indexes
     wanted = [(g, l) for g in indexes for l in models.labels]
-    w = F.col("w")
     if models.parameters.fits(BROADCAST_BYTES):
         joined = entries.join(F.broadcast(models.parameters.df), "term_id")
     else:
@@ -137,14 +136,12 @@ def gnb_scores(rows, entries, models, moments, grid_indexes=None, key="sample_id
     sums = []
     for g, l in wanted:
         i = models.column(g, l)
-        sums.append(F.sum(w * F.col("a")[i] + w * w * F.col("b")[i]).alias(f"z_{g}_{l}"))
+        sums.append(F.expr(f"sum(w * a[{i}] + w * w * b[{i}]) AS z_{g}_{l}"))
     adjusted = joined.groupBy(key).agg(*sums)
     scored = rows.join(adjusted, key, "left")
+    odds = {(g, l): f"double('{_base_log_odds(models, g, l, moments)}')" for g, l in wanted}
     return scored.withColumns(
-        {
-            f"z_{g}_{l}": F.coalesce(F.col(f"z_{g}_{l}"), F.lit(0.0)) + F.lit(_base_log_odds(models, g, l, moments))
-            for g, l in wanted
-        }
+        {f"z_{g}_{l}": F.expr(f"coalesce(z_{g}_{l}, 0D) + {odds[g, l]}") for g, l in wanted}
     )
 
 
@@ -163,17 +160,12 @@ def threshold_grid_fit(rows, entries, models, moments, key="sample_id"):
     All points are scored in one pass over the entries.
     """
     scored = gnb_scores(rows, entries, models, moments, key=key)
-    points = []
-    for g, p in enumerate(models.grid):
-        points.append(
-            F.struct(
-                F.lit(g).alias("grid_index"), F.lit(float(p)).alias("p_value"),
-                *[(F.col(f"z_{g}_{l}") > 0).cast("int").alias(f"pred_{l}") for l in models.labels],
-            )
-        )
-    long = scored.select(*[f"true_{l}" for l in models.labels], F.explode(F.array(*points)).alias("_p")).select(
-        *[f"true_{l}" for l in models.labels], "_p.*"
-    )
+    points = [
+        (str(g), f"{float(p)}D", *[f"cast(z_{g}_{l} > 0 AS int)" for l in models.labels])
+        for g, p in enumerate(models.grid)
+    ]
+    names = ("grid_index", "p_value", *[f"pred_{l}" for l in models.labels])
+    long = scored.selectExpr(*[f"true_{l}" for l in models.labels], stack(names, *points))
     metrics = metrics_wide(long, models.labels, by=("grid_index", "p_value"))
     counts = models.moments.where((F.col("label") == models.labels[0]) & (F.col("class") == 1)).groupBy("grid_index").agg(
         F.count(F.lit(1)).alias("selected_feature_count")

@@ -6,6 +6,7 @@ from ..constants import LABELS, METADATA_COLUMNS
 from ..functions.labels import assign_split, label_columns, label_mask, labels_to_list
 from ..functions.text import minimal_clean_text, strip
 from ..staging import number_rows, top_n
+from .metrics import stack
 
 
 def prepare(raw, seed=42):
@@ -54,26 +55,19 @@ def split_sizes(clean):
     return clean.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-def long_labels(wide, labels=LABELS, keep=("sample_id",)):
-    """(keys, label, y) rows of the label columns."""
-    pairs = F.array(*[F.struct(F.lit(l).alias("label"), F.col(l).alias("y")) for l in labels])
-    return wide.select(*keep, F.explode(pairs).alias("p")).select(*keep, "p.label", "p.y")
-
-
 def _unpivot_counts(counts, keys, labels):
-    pairs = F.array(*[F.struct(F.lit(l).alias("label"), F.col(l).alias("n")) for l in labels])
-    return counts.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.label", "p.n")
+    return counts.selectExpr(*keys, stack(("label", "n"), *[(f"'{l}'", l) for l in labels]))
 
 
 def label_totals(clean, labels=LABELS):
     """Positives per label; the wide sums are turned into rows after aggregation."""
-    sums = clean.agg(*[F.coalesce(F.sum(F.col(l).cast("long")), F.lit(0)).alias(l) for l in labels])
+    sums = clean.agg(*[F.expr(f"coalesce(sum(cast({l} AS bigint)), 0) AS {l}") for l in labels])
     return _unpivot_counts(sums, [], labels)
 
 
 def label_by_split(clean, labels=LABELS):
     """Positives per split and label; combinations that do not occur are left out."""
-    sums = clean.groupBy("split").agg(*[F.sum(F.col(l).cast("long")).alias(l) for l in labels])
+    sums = clean.groupBy("split").agg(*[F.expr(f"sum(cast({l} AS bigint)) AS {l}") for l in labels])
     return _unpivot_counts(sums, ["split"], labels).where(F.col("n") > 0)
 
 

@@ -6,13 +6,12 @@ other labels" is then an expression over the row instead of a window or self-joi
 Rules travel as two label masks per token.
 """
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..constants import FIELDS, LABELS, LEGACY_RULE_LABELS
 from ..functions.elements import calls, controls, identifiers, node_tokens, parse_cell, pseudo_cell
 from ..staging import lookup_join, number_within, stage, stage_sized
+from .metrics import stack
 
 # Ratio when nothing is left to divide by, and the cap of the lowest other frequency.
 LEGACY_RATIO = 1000.0
@@ -73,13 +72,13 @@ def _sample_tokens(elements, labels):
 
 def token_counts(elements, labels=LABELS):
     """Documents per (field, token) and label, wide; every token of the table has a row."""
-    sums = [F.sum(F.col(l).cast("long")).alias(f"n_{l}") for l in labels]
+    sums = [F.expr(f"sum(cast({l} AS bigint)) AS n_{l}") for l in labels]
     return _sample_tokens(elements, labels).groupBy("field", "token").agg(*sums)
 
 
 def label_sizes(elements, labels=LABELS):
     """One struct of documents per label, as a scalar subquery."""
-    sums = F.struct(*[F.sum(F.col(l).cast("long")).alias(l) for l in labels])
+    sums = F.expr("named_struct(" + ", ".join(f"'{l}', sum(cast({l} AS bigint))" for l in labels) + ")")
     return _samples_once(elements, labels).agg(sums.alias("sizes")).scalar()
 
 
@@ -91,15 +90,13 @@ def universe_sizes(counts):
 
 def prevalence(counts, labels=LABELS, sizes=None, universe=None):
     """Percent frequencies ``f_<label>``: by documents of the label, or by universe size."""
-
-    def denominator(label):
-        if universe is not None:
-            return F.greatest(F.element_at(universe, F.col("field")), F.lit(1))
-        return F.greatest(F.coalesce(sizes.getField(label), F.lit(0)), F.lit(1))
-
-    return counts.select(
-        "field", "token", *[((F.col(f"n_{l}") * 100.0) / denominator(l)).alias(f"f_{l}") for l in labels]
-    )
+    if universe is not None:
+        sized = counts.withColumn("_d", F.element_at(universe, F.col("field")))
+        below = dict.fromkeys(labels, "greatest(_d, 1)")
+    else:
+        sized = counts.withColumn("_d", sizes)
+        below = {l: f"greatest(coalesce(_d.{l}, 0), 1)" for l in labels}
+    return sized.selectExpr("field", "token", *[f"(n_{l} * 100.0D) / {below[l]} AS f_{l}" for l in labels])
 
 
 def prevalence_by_label(elements, labels=LABELS):
@@ -112,81 +109,62 @@ def prevalence_by_universe(elements, labels=LEGACY_RULE_LABELS):
 
 
 def long_prevalence(wide, labels):
-    pairs = F.array(*[F.struct(F.lit(l).alias("label"), F.col(f"f_{l}").alias("freq")) for l in labels])
-    return wide.select("field", "token", F.explode(pairs).alias("p")).select("p.label", "field", "token", "p.freq")
+    return wide.selectExpr("field", "token", stack(("label", "freq"), *[(f"'{l}'", f"f_{l}") for l in labels]))
 
 
 def _others(label, labels, fold):
-    values = [F.col(f"f_{l}") for l in labels if l != label]
-    return fold(*values) if len(values) > 1 else values[0]
+    values = [f"f_{l}" for l in labels if l != label]
+    return f"{fold}({', '.join(values)})" if len(values) > 1 else values[0]
 
 
 def max_other(label, labels):
-    return _others(label, labels, F.greatest)
+    return _others(label, labels, "greatest")
 
 
 def min_other(label, labels):
-    return _others(label, labels, F.least)
+    return _others(label, labels, "least")
 
 
 def other_frequencies(freqs, labels):
     """Highest and lowest frequency among the other labels, per token and label."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(l).alias("label"), F.col(f"f_{l}").alias("freq"),
-                max_other(l, labels).alias("max_other"), min_other(l, labels).alias("min_other"),
-            )
-            for l in labels
-        ]
-    )
-    return freqs.select("field", "token", F.explode(rows).alias("r")).select("field", "token", "r.*")
-
-
-def _rule(keep, ratio):
-    return F.struct(keep.alias("keep"), ratio.alias("ratio"))
+    rows = [(f"'{l}'", f"f_{l}", max_other(l, labels), min_other(l, labels)) for l in labels]
+    return freqs.selectExpr("field", "token", stack(("label", "freq", "max_other", "min_other"), *rows))
 
 
 def _positive(label, labels, threshold):
-    own, other = F.col(f"f_{label}"), max_other(label, labels)
-    ratio = F.when(other > 0, own / other)
-    return _rule(F.when(other > 0, ratio > threshold).otherwise(own > 0), ratio)
+    own, other = f"f_{label}", max_other(label, labels)
+    return f"if({other} > 0, {own} / {other} > {threshold}D, {own} > 0)", f"if({other} > 0, {own} / {other}, NULL)"
 
 
 def _negative(label, labels, threshold):
-    own, other = F.col(f"f_{label}"), min_other(label, labels)
-    ratio = F.when(own > 0, other / own)
-    return _rule(F.when(own > 0, ratio > threshold).otherwise(other > 0), ratio)
+    own, other = f"f_{label}", min_other(label, labels)
+    return f"if({own} > 0, {other} / {own} > {threshold}D, {other} > 0)", f"if({own} > 0, {other} / {own}, NULL)"
 
 
 def _positive_legacy(label, labels, threshold):
-    own, other = F.col(f"f_{label}"), max_other(label, labels)
-    ratio = F.when(other != 0, own / other).when(own != 0, F.lit(LEGACY_RATIO)).otherwise(F.lit(0.0))
-    return _rule(ratio > threshold, ratio)
+    own, other = f"f_{label}", max_other(label, labels)
+    ratio = f"CASE WHEN {other} <> 0 THEN {own} / {other} WHEN {own} <> 0 THEN {LEGACY_RATIO}D ELSE 0D END"
+    return f"({ratio}) > {threshold}D", ratio
 
 
 def _negative_legacy(label, labels, threshold, caps):
-    cap = F.lit(LEGACY_CAP)
+    cap = f"{LEGACY_CAP}D"
     if caps:
-        cap = F.element_at(F.create_map(*[F.lit(v) for kv in caps.items() for v in kv]), F.col("field"))
-    own, other = F.col(f"f_{label}"), F.least(cap, min_other(label, labels))
-    ratio = (
-        F.when((other != 0) & (own != 0), other / own)
-        .when(other != 0, F.lit(LEGACY_RATIO))
-        .otherwise(F.lit(0.0))
-    )
-    return _rule(ratio > threshold, ratio)
+        cap = "CASE field " + " ".join(f"WHEN '{f}' THEN {float(c)}D" for f, c in caps.items()) + " END"
+    own, other = f"f_{label}", f"least({cap}, {min_other(label, labels)})"
+    ratio = f"CASE WHEN {other} <> 0 AND {own} <> 0 THEN {other} / {own} WHEN {other} <> 0 THEN {LEGACY_RATIO}D ELSE 0D END"
+    return f"({ratio}) > {threshold}D", ratio
 
 
 def rule_columns(labels, threshold, legacy=False, caps=None):
-    """[(label, polarity, struct(keep, ratio))] over a row of frequencies."""
+    """[(label, polarity, keep, ratio)] as SQL over a row of frequencies."""
     out = []
     for label in labels:
         if legacy:
             pos, neg = _positive_legacy(label, labels, threshold), _negative_legacy(label, labels, threshold, caps)
         else:
             pos, neg = _positive(label, labels, threshold), _negative(label, labels, threshold)
-        out += [(label, "pos", pos), (label, "neg", neg)]
+        out += [(label, "pos", *pos), (label, "neg", *neg)]
     return out
 
 
@@ -195,17 +173,9 @@ def build_rule_table(freqs, labels=LABELS, threshold=1.5, legacy=False, caps=Non
 
     A null ratio means that the token does not occur on the other side at all.
     """
-    rules = F.array(
-        *[
-            F.struct(F.lit(l).alias("label"), F.lit(p).alias("polarity"), r["keep"].alias("keep"), r["ratio"].alias("ratio"))
-            for l, p, r in rule_columns(labels, threshold, legacy, caps)
-        ]
-    )
-    return (
-        freqs.select("field", "token", F.explode(rules).alias("r"))
-        .where("r.keep")
-        .select("r.label", "field", "r.polarity", "token", "r.ratio")
-    )
+    rows = [(f"'{l}'", f"'{p}'", k, f"cast({r} AS double)") for l, p, k, r in rule_columns(labels, threshold, legacy, caps)]
+    rules = freqs.selectExpr("field", "token", stack(("label", "polarity", "keep", "ratio"), *rows))
+    return rules.where("keep").select("label", "field", "polarity", "token", "ratio")
 
 
 def rule_masks(freqs, labels=LABELS, threshold=1.5, legacy=False, caps=None):
@@ -213,11 +183,10 @@ def rule_masks(freqs, labels=LABELS, threshold=1.5, legacy=False, caps=None):
     columns = rule_columns(labels, threshold, legacy, caps)
 
     def mask(polarity):
-        bits = [F.when(r["keep"], F.lit(1 << labels.index(l))).otherwise(F.lit(0)) for l, p, r in columns if p == polarity]
-        return reduce(lambda a, b: a.bitwiseOR(b), bits)
+        bits = [f"if({k}, {1 << labels.index(l)}, 0)" for l, p, k, _ in columns if p == polarity]
+        return f"{' | '.join(bits)} AS {polarity}_mask"
 
-    packed = freqs.select("field", "token", mask("pos").alias("pos_mask"), mask("neg").alias("neg_mask"))
-    return packed.where((F.col("pos_mask") != 0) | (F.col("neg_mask") != 0))
+    return freqs.selectExpr("field", "token", mask("pos"), mask("neg")).where("pos_mask <> 0 OR neg_mask <> 0")
 
 
 def learn_rules(train_elements, labels=LABELS, threshold=1.5, legacy=False, caps=None):
@@ -259,8 +228,7 @@ def rule_hits(elements, rules, key="sample_id"):
 
 
 def _combined(polarity, fields, every):
-    columns = [F.coalesce(F.col(f"{polarity}_{f}"), F.lit(0)) for f in fields]
-    return reduce((lambda a, b: a.bitwiseAND(b)) if every else (lambda a, b: a.bitwiseOR(b)), columns)
+    return "(" + (" & " if every else " | ").join(f"coalesce({polarity}_{f}, 0)" for f in fields) + ")"
 
 
 def refine(
@@ -277,40 +245,26 @@ def refine(
     rule_labels = rule_labels or labels
     positive = _combined("pos", ("ids", "calls") if positive_needs_both else FIELDS, positive_needs_both)
     negative = _combined("neg", FIELDS, negative_needs_all)
-    joined = scored.join(hits, key, how).withColumns({"_pos": positive, "_neg": negative})
-    before = {l: (F.col(f"score_{l}") >= threshold).cast("int") for l in labels}
-    joined = joined.withColumns({f"before_{l}": before[l] for l in labels})
-
-    def bit(mask, label):
-        return F.shiftright(mask, rule_labels.index(label)).bitwiseAND(F.lit(1))
-
-    def up(label):
-        return (1 - F.col(f"before_{label}")) * bit("_pos", label)
-
-    joined = joined.withColumns({f"_up_{l}": up(l) for l in rule_labels})
-
-    def down(label):
-        standing = F.col(f"before_{label}")
-        if sequential:
-            standing = standing + F.col(f"_up_{label}")
-        return standing * bit("_neg", label)
-
-    joined = joined.withColumns({f"_down_{l}": down(l) for l in rule_labels})
-    after = {
-        l: (F.col(f"before_{l}") + F.col(f"_up_{l}") - F.col(f"_down_{l}") if l in rule_labels else F.col(f"before_{l}"))
-        for l in labels
-    }
-    flips = sum((F.col(f"_up_{l}") + F.col(f"_down_{l}") for l in rule_labels), F.lit(0))
     kept = [c for c in scored.columns if not c.startswith("pred_")]
-    counters = {"affected": flips}
+    bit = {l: f"shiftright({{}}, {i}) & 1" for i, l in enumerate(rule_labels)}
+    before = scored.join(hits, key, how).selectExpr(
+        *kept, f"{positive} AS _pos", f"{negative} AS _neg",
+        *[f"cast(score_{l} >= {float(threshold)}D AS int) AS before_{l}" for l in labels],
+    )
+    raised = before.selectExpr(
+        "*", *[f"(1 - before_{l}) * ({bit[l].format('_pos')}) AS _up_{l}" for l in rule_labels]
+    )
+    standing = {l: f"(before_{l} + _up_{l})" if sequential else f"before_{l}" for l in rule_labels}
+    flipped = raised.selectExpr(
+        "*", *[f"{standing[l]} * ({bit[l].format('_neg')}) AS _down_{l}" for l in rule_labels]
+    )
+    after = {l: f"before_{l} + _up_{l} - _down_{l}" if l in rule_labels else f"before_{l}" for l in labels}
+    counters = [" + ".join(f"_up_{l} + _down_{l}" for l in rule_labels) + " AS affected"]
     if f"true_{labels[0]}" in scored.columns:
-        counters["correct"] = sum(
-            (F.col(f"_up_{l}") * F.col(f"true_{l}") + F.col(f"_down_{l}") * (1 - F.col(f"true_{l}")) for l in rule_labels),
-            F.lit(0),
-        )
-    joined = joined.withColumns({**{f"pred_{l}": after[l] for l in labels}, **counters})
-    return joined.select(
-        *kept, *[f"before_{l}" for l in labels], *[f"pred_{l}" for l in labels], *counters
+        right = " + ".join(f"_up_{l} * true_{l} + _down_{l} * (1 - true_{l})" for l in rule_labels)
+        counters.append(f"{right} AS correct")
+    return flipped.selectExpr(
+        *kept, *[f"before_{l}" for l in labels], *[f"{after[l]} AS pred_{l}" for l in labels], *counters
     )
 
 
@@ -327,22 +281,12 @@ def refinement_stats(refined):
 def rule_coverage(elements, hits, labels=LEGACY_RULE_LABELS, key="sample_id"):
     """Share of a label's positives that a positive rule meets: in any field, and in ids alone."""
     joined = elements.select(key, *labels).join(hits, key, "left")
-    any_field = _combined("pos", FIELDS, False)
-    ids_only = _combined("pos", ("ids",), False)
     sums = []
-    for i, label in enumerate(labels):
-        def covered(mask):
-            return F.sum(F.col(label) * F.shiftright(mask, i).bitwiseAND(F.lit(1)))
-
-        sums.append(
-            F.struct(
-                F.lit(label).alias("label"), F.sum(label).alias("positives"),
-                covered(any_field).alias("any"), covered(ids_only).alias("ids"),
-            )
-        )
-    rows = joined.agg(F.array(*sums).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
-
-    def share(name):
-        return F.when(F.col("positives") > 0, F.col(name) / F.col("positives")).otherwise(F.lit(0.0))
-
-    return rows.select("label", "positives", share("any").alias("any_share"), share("ids").alias("ids_share"))
+    for i, l in enumerate(labels):
+        for name, fields in (("any", FIELDS), ("ids", ("ids",))):
+            sums.append(F.expr(f"sum({l} * (shiftright({_combined('pos', fields, False)}, {i}) & 1)) AS {name}_{l}"))
+        sums.append(F.expr(f"coalesce(sum({l}), 0) AS n_{l}"))
+    rows = [
+        (f"'{l}'", f"n_{l}", *[f"if(n_{l} > 0, {name}_{l} / n_{l}, 0D)" for name in ("any", "ids")]) for l in labels
+    ]
+    return joined.agg(*sums).selectExpr(stack(("label", "positives", "any_share", "ids_share"), *rows))

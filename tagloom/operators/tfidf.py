@@ -26,9 +26,19 @@ def with_terms(rows, low=1, high=2):
     return rows.withColumn("terms", ngram_range("tokens", low, high))
 
 
+def exploded(rows, terms="terms", keep=()):
+    """(keys, term) rows.
+
+    The outer form keeps Spark from adding a filter on the array's size, which
+    would compute the n-grams a second time.
+    """
+    values = F.col(terms) if isinstance(terms, str) else terms
+    return rows.select(*keep, F.explode_outer(values).alias("term")).where(F.col("term").isNotNull())
+
+
 def term_counts(rows, terms="terms"):
     """Total count of every term."""
-    return rows.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+    return exploded(rows, terms).groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
 
 
 def term_statistics(rows, terms="terms"):
@@ -86,7 +96,7 @@ def idf(documents, df):
 def tfidf_fit(train, max_features=20_000, terms="terms", key="sample_id"):
     """Vocabulary and smoothed idf, learned on the given (training) rows only."""
     chosen = stage_sized(vocab_topk(term_counts(train, terms), max_features), "vocabulary")
-    once = train.select(key, F.explode(F.array_distinct(terms)).alias("term"))
+    once = exploded(train, F.array_distinct(terms), (key,))
     frequencies = lookup_join(once, chosen, "term", spread=[key]).groupBy("term", "cf").agg(
         F.count(F.lit(1)).alias("df")
     )
@@ -129,7 +139,7 @@ def tfidf_entries(rows, vocabulary, keep=("sample_id",), terms="terms", limit=BR
     """(keys, term_id, w) weights; in-row if the vocabulary is small enough, else by shuffles."""
     if vocabulary.in_row(limit):
         return sparse_entries(tfidf_transform(rows, vocabulary, terms), keep)
-    long = rows.select(*keep, F.explode(terms).alias("term"))
+    long = exploded(rows, terms, keep)
     found = lookup_join(long, vocabulary.table, "term", spread=[keep[0]], limit=limit)
     counts = (
         found.repartition(keep[0]).groupBy(*keep, "term_id").agg((F.count(F.lit(1)) * F.first("idf")).alias("x"))
@@ -149,7 +159,7 @@ class Moments:
 
 def class_sizes(rows, labels):
     sums = rows.agg(
-        F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.col(l).cast("long")), F.lit(0)).alias(f"n_{l}") for l in labels]
+        F.count(F.lit(1)).alias("n"), *[F.expr(f"coalesce(sum(cast({l} AS bigint)), 0) AS n_{l}") for l in labels]
     ).first()
     return sums["n"], {l: sums[f"n_{l}"] for l in labels}
 
@@ -160,12 +170,11 @@ def weight_moments(entries, rows, labels=LABELS):
     ``entries`` holds the non-zero weights with the label columns.  The table is
     bounded by the vocabulary and serves chi-square and naive Bayes alike.
     """
-    w = F.col("w")
-    sums = [F.sum(w).alias("s"), F.sum(w * w).alias("q")]
+    sums = ["sum(w) AS s", "sum(w * w) AS q"]
     for l in labels:
-        sums += [F.sum(w * F.col(l)).alias(f"s_{l}"), F.sum(w * w * F.col(l)).alias(f"q_{l}")]
+        sums += [f"sum(w * {l}) AS s_{l}", f"sum(w * w * {l}) AS q_{l}"]
     documents, positives = class_sizes(rows, labels)
-    return Moments(stage(entries.groupBy("term_id").agg(*sums), "moments"), documents, positives)
+    return Moments(stage(entries.groupBy("term_id").agg(*map(F.expr, sums)), "moments"), documents, positives)
 
 
 def _chi2(label, moments):

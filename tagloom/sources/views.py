@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import LABELS
 from ..operators.prep import prepare
+from ..staging import spread
 
 # Category strings, given to documents in turn by their id.
 CATEGORIES = (
@@ -21,6 +22,10 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def code_text():
     lang = F.col("lang")
     return F.concat(
@@ -33,9 +38,8 @@ def code_text():
 
 
 def raw_from_documents(documents):
-    category = F.element_at(
-        F.array(*[F.lit(c) for c in CATEGORIES]), (F.col("doc_id") % len(CATEGORIES) + 1).cast("int")
-    )
+    names = ", ".join(f"'{c}'" for c in CATEGORIES)
+    category = F.expr(f"element_at(array({names}), cast(doc_id % {len(CATEGORIES)} + 1 AS int))")
     return documents.select(
         F.col("doc_id").alias("sample_id"),
         code_text().alias("text"),
@@ -49,7 +53,7 @@ def raw_from_documents(documents):
 
 
 def raw_samples(spark, sf_dir):
-    return raw_from_documents(table(spark, sf_dir, "documents"))
+    return raw_from_documents(documents(spark, sf_dir))
 
 
 def samples(spark, sf_dir, seed=42):
@@ -63,9 +67,9 @@ def doc_labels(spark, sf_dir, seed=42):
     """Labelled documents with their two natural labels."""
     from ..functions.labels import assign_split
 
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    texts = documents(spark, sf_dir).select("doc_id", "text")
     labels = table(spark, sf_dir, "labels")
-    return documents.join(labels, "doc_id").select(
+    return texts.join(labels, "doc_id").select(
         F.col("doc_id").alias("sample_id"), assign_split("doc_id", seed).alias("split"), "text",
         *DOC_LABELS,
     )
@@ -73,25 +77,21 @@ def doc_labels(spark, sf_dir, seed=42):
 
 def with_scores(rows, labels=LABELS):
     """A deterministic score per label in [0, 1), from the id."""
-    return rows.select(
-        "*",
-        *[
-            (((F.col("sample_id") * 37 + k * 101) % 100) / 100.0).alias(f"score_{label}")
-            for k, label in enumerate(labels)
-        ],
-    )
+    scores = [f"((sample_id * 37 + {k * 101}) % 100) / 100.0D AS score_{label}" for k, label in enumerate(labels)]
+    return rows.selectExpr("*", *scores)
 
 
 def predictions(spark, sf_dir, threshold=0.5, labels=LABELS):
     """Scores, thresholded predictions and true labels of every sample."""
     scored = with_scores(samples(spark, sf_dir), labels)
-    return scored.select(
+    return scored.selectExpr(
         "sample_id", "split", "raw_classification",
-        *[f"score_{label}" for label in labels],
-        *[(F.col(f"score_{label}") >= threshold).cast("int").alias(f"pred_{label}") for label in labels],
-        *[F.col(label).alias(f"true_{label}") for label in labels],
+        *[f"score_{l}" for l in labels],
+        *[f"cast(score_{l} >= {float(threshold)}D AS int) AS pred_{l}" for l in labels],
+        *[f"{l} AS true_{l}" for l in labels],
     )
 
 
 def page_code(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("sample_id"), F.col("html").alias("text"))
+    pages = spread(table(spark, sf_dir, "pages"), "page_id")
+    return pages.select(F.col("page_id").alias("sample_id"), F.col("html").alias("text"))

@@ -42,6 +42,17 @@ def stage(df, name="table"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df, key):
+    """Spread a table of few input splits over all cores before heavy row work.
+
+    Large tables have far more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(cores, key)
+
+
 @dataclass(frozen=True)
 class Sized:
     """A staged table with its measured size."""
