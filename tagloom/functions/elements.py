@@ -103,10 +103,10 @@ def _quoted(value):
 
 
 def node_json(kind, name, code):
-    """One dump node as a JSON object."""
+    """One dump node as a JSON object; kinds are plain words."""
     return F.concat(
-        F.lit('{"_label": '), _quoted(kind),
-        F.lit(', "name": '), _quoted(name),
+        F.lit('{"_label": "'), kind,
+        F.lit('", "name": '), _quoted(name),
         F.lit(', "code": '), _quoted(code), F.lit("}"),
     )
 

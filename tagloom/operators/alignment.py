@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import LABELS
 from ..functions.elements import NODE_KINDS, node_cell, node_json
 from ..functions.text import source_key
-from ..staging import number_rows
+from ..staging import lookup_join, number_rows, stage_sized
 
 NODES_PER_CELL = 100_000
 EMPTY_CELL = "[]--====--"
@@ -43,26 +43,22 @@ def dump_nodes(samples, extension=".cpp"):
 def aggregate_nodes_by_file(nodes, per_cell=NODES_PER_CELL, block=4096):
     """Node cells per file, nodes in line order.
 
-    Nodes are packed in blocks of neighbouring lines first.  A file of at most
-    ``per_cell`` nodes gives one cell with ``part`` 0; a larger one keeps one
-    cell per block, in ``part`` order, so that no task holds a whole huge file.
+    A file of at most ``per_cell`` nodes gives one cell with ``part`` 0.  Files
+    are counted first; one with more nodes gives a cell per block of neighbouring
+    lines, in rising ``part`` from 1, so that no task holds a whole huge file.
     """
+    counts = nodes.groupBy("filename").agg(F.count(F.lit(1)).alias("_n"))
+    huge = stage_sized(counts.where(F.col("_n") > per_cell), "huge-files")
+    part = F.lit(0).cast("long")
+    if huge.rows:
+        nodes = lookup_join(nodes, huge, "filename", spread=["line_no"], how="left")
+        part = F.when(F.col("_n").isNull(), part).otherwise(F.floor(F.col("line_no") / block) + 1)
     packed = F.struct("line_no", node_json(F.col("label"), F.col("value"), F.col("code")).alias("json"))
-    blocks = nodes.groupBy("filename", F.floor(F.col("line_no") / block).alias("_block")).agg(
-        F.array_sort(F.collect_list(packed)).alias("_nodes")
+    cells = nodes.select("filename", part.alias("part"), packed.alias("_node")).groupBy("filename", "part").agg(
+        F.array_sort(F.collect_list("_node")).alias("_nodes")
     )
-    sizes = blocks.groupBy("filename").agg(F.sum(F.size("_nodes")).alias("_n")).where(F.col("_n") > per_cell)
-    placed = blocks.join(sizes, "filename", "left").withColumn(
-        "part", F.when(F.col("_n").isNull(), F.lit(0).cast("long")).otherwise(F.col("_block") + 1)
-    )
-    ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_block", "_nodes"))), lambda b: b["_nodes"]))
-    return (
-        placed.groupBy("filename", "part")
-        .agg(ordered.alias("_nodes"))
-        .select(
-            "filename", "part", F.size("_nodes").cast("long").alias("n_nodes"),
-            node_cell(F.transform("_nodes", lambda n: n["json"])).alias("cpg"),
-        )
+    return cells.select(
+        "filename", "part", F.size("_nodes").cast("long").alias("n_nodes"), node_cell(F.col("_nodes.json")).alias("cpg")
     )
 
 

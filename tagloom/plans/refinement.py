@@ -96,15 +96,14 @@ def check_alignment(test, truth, labels=LABELS):
     return report
 
 
-def cells_for(rows, nodes, root="sources"):
+def with_cells(rows, cells, root="sources"):
     """Rows with the node cell of their source file.
 
     A file whose cell was split gives one row per ``part``; counting and rule
     hits put the token sets of such rows together again.
     """
     manifest = source_bodies(rows, root).drop("body")
-    joined = join_manifest_nodes(manifest, aggregate_nodes_by_file(nodes))
-    return join_source_cells(rows, joined).withColumn("sample_id", F.col("sample_id").cast("long"))
+    return join_source_cells(rows, join_manifest_nodes(manifest, cells)).withColumn("sample_id", F.col("sample_id").cast("long"))
 
 
 def run_aligned_refinement(train, test, nodes, scores, truth, config=LEGACY_CONFIG, train_limit=None, test_limit=None, seed=42):
@@ -117,5 +116,6 @@ def run_aligned_refinement(train, test, nodes, scores, truth, config=LEGACY_CONF
     test = sample_subset(test, test_limit, seed)
     report = check_alignment(test, truth, config.labels)
     scored = align_predictions(scores, truth, labels=config.labels)
-    out = run_refinement(cells_for(train, nodes), cells_for(test, nodes), scored, config)
+    cells = stage(aggregate_nodes_by_file(nodes), "cells")
+    out = run_refinement(with_cells(train, cells), with_cells(test, cells), scored, config)
     return {**out, "alignment": report}
