@@ -114,6 +114,8 @@ def tfidf_transform(rows, vocabulary, terms="terms", output="features"):
     The vocabulary (bounded by ``max_features``) is collected and shipped with
     the tasks if its measured size allows; ``tfidf_entries`` has the other way.
     """
+    if not vocabulary.in_row():
+        raise ValueError("the vocabulary is too large to ship with the tasks; use tfidf_entries")
     entries = vocabulary.table.df.orderBy("term_id").select("term", "idf").collect()
     counted = CountVectorizerModel.from_vocabulary(
         [e["term"] for e in entries], inputCol=terms, outputCol="_counts"
