@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tagloom.llm import langid, simhash
+from tagloom.llm import chat, langid, pieces, secrets, simhash
 from tagloom.llm.common import table
 
 QUERIES = {}
@@ -27,3 +27,65 @@ def op1_language_id(spark, sf_dir):
 def op4_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex16(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op9_sentencepiece(spark, sf_dir):
+    vocabulary = pieces.load()
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    back = pieces.decoder(spark, vocabulary)(F.col("pieces"))
+    return encoded.select(
+        "doc_id", "pieces", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), back.eqNullSafe(F.col("text")).alias("lossless")
+    )
+
+
+@query
+def op8_chat_formatting(spark, sf_dir):
+    hard = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    chats = chat.format_chats(rows)
+    back = chats.withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("segments")))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"), "valid",
+    )
+
+
+ORACLES["op8_chat_formatting"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), marked AS (
+    SELECT *, length('<turn >') + length('</turn>') + 1
+        + length(role) + (3 * length(role) - length(replace(role, '\', '')) - length(replace(role, '<', '')) - length(replace(role, '>', '')))
+        + length(text) + (length(text) - length(replace(text, '\', '')))
+        + (length(text) - length(replace(text, '<turn ', ''))) // 6 + (length(text) - length(replace(text, '</turn>', ''))) // 7 AS chars,
+        lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+        lead(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS after
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars,
+    bool_and((before IS NULL AND role IN ('system', 'user')) OR (before = 'system' AND role = 'user')
+        OR (before = 'user' AND role = 'assistant') OR (before = 'assistant' AND role = 'user'))
+        AND bool_and(after IS NOT NULL OR role IN ('user', 'assistant')) AS valid
+FROM marked GROUP BY conv_id
+"""
+
+
+@query
+def op10_secret_scan(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    base = F.filter("spans", lambda s: s["kind"].isin(*(r.kind for r in secrets.BASE_RULES)))
+    return found.select(
+        "doc_id", *(F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE_RULES),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"),
+    )
