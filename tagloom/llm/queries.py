@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat, imatch, langid, pieces, secrets, sequence, simhash
+from tagloom.llm import chat, imatch, langid, metric, pieces, secrets, sequence, simhash
 from tagloom.llm.common import table
 
 QUERIES = {}
@@ -112,3 +112,11 @@ def op5_imatch_fingerprints(spark, sf_dir):
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         like("fingerprint", "edited_fingerprint").alias("near_edited"), like("fingerprint", "next_fingerprint").alias("near_next"),
     )
+
+
+@query
+def op7_embedding_near_dedup(spark, sf_dir):
+    found = metric.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
+    )
