@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat, imatch, langid, metric, pieces, secrets, sequence, simhash
+from tagloom.llm import chat, debruijn, imatch, langid, metric, pieces, secrets, sequence, simhash
 from tagloom.llm.common import table
 
 QUERIES = {}
@@ -120,3 +120,9 @@ def op7_embedding_near_dedup(spark, sf_dir):
     return found.select(
         F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
     )
+
+
+@query
+def op6_substring_dedup(spark, sf_dir):
+    kept = debruijn.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
