@@ -1,9 +1,8 @@
 """The corpus operators as registered queries, each over its whole table."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat, debruijn, imatch, langid, metric, pieces, secrets, sequence, simhash
+from tagloom.llm import chat, debruijn, imatch, langid, metric, pieces, secrets, simhash
 from tagloom.llm.common import table
 
 QUERIES = {}
@@ -94,24 +93,8 @@ def op10_secret_scan(spark, sf_dir):
 
 @query
 def op5_imatch_fingerprints(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    fingerprint = imatch.fingerprinter(spark, imatch.lexicon(docs))
-    rows, bucket, order, extra = sequence.in_buckets(docs, "doc_id")
-    following = Window.partitionBy(bucket).orderBy(extra, order, "text")
-    n = F.length("text")
-    tail = F.floor(n / 4).cast("int")
-    edited = F.concat(F.col("text").substr(F.lit(1), n - tail), F.col("after").substr(F.lit(1), tail))
-    paired = rows.withColumn("after", F.coalesce(F.lead("text").over(following), F.lit(""))).withColumn("edited", edited)
-    printed = paired.select(
-        "doc_id", "text", bucket, order, extra, n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(imatch.terms(F.col("text"))).alias("fingerprint"),
-        fingerprint(imatch.terms(F.col("edited"))).alias("edited_fingerprint"),
-    )
-    like = imatch.likeness()
-    return printed.withColumn("next_fingerprint", F.lead("fingerprint").over(following)).where(~F.col(extra)).select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        like("fingerprint", "edited_fingerprint").alias("near_edited"), like("fingerprint", "next_fingerprint").alias("near_next"),
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return imatch.against_next(docs, imatch.lexicon(docs)).withColumnRenamed("id", "doc_id")
 
 
 @query

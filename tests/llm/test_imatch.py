@@ -52,43 +52,54 @@ def test_one_row_and_none(spark, no_docs):
     cut, bucket, order, extra = sequence.in_buckets(one, "doc_id")
     assert sorted(r[extra] for r in cut.collect()) == [False, True]
     assert sequence.in_buckets(no_docs, "doc_id")[0].count() == 0
-    assert len(imatch.lexicon(no_docs)) == 0
+
+
+def distinct_words(text):
+    return set("".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.lower()).split(" ")) - {""}
 
 
 def test_lexicon_is_the_band(spark, edge_docs):
     texts = [r["text"] or "" for r in edge_docs.collect()]
-    pick = lambda t: set(filter(None, "".join(c if c.isalnum() else " " for c in t.lower()).split()))
     seen = {}
     for t in texts:
-        for w in pick(t):
+        for w in distinct_words(t):
             seen[w] = seen.get(w, 0) + 1
     low, high = 0.05, 0.3
-    wanted = [w for w, n in seen.items() if low * len(texts) <= n <= high * len(texts) and w.isascii()]
-    hashes = {r["h"] for r in spark.createDataFrame([(w,) for w in wanted], "w string").select(F.xxhash64("w").alias("h")).collect()}
-    got = imatch.lexicon(edge_docs, band=(low, high))
-    assert hashes <= set(got.tolist()) and len(got) - len(hashes) <= 5 and (np.diff(got) > 0).all()
+    want = {w for w, n in seen.items() if low * len(texts) <= n <= high * len(texts)}
+    assert imatch.lexicon(edge_docs, band=(low, high)) == {w: imatch.term_hash(w) for w in want}
     with pytest.raises(ValueError):
         imatch.lexicon(edge_docs, band=(low, high), limit=0)
 
 
 def test_signatures():
     rng = np.random.default_rng(1)
-    words = rng.integers(-(1 << 62), 1 << 62, 400)
-    known = np.sort(words[:300])
+    words = [f"w{i}" for i in range(400)]
+    known = {w: imatch.term_hash(w) for w in words[:300]}
     subsets = imatch.Subsets()
     a = words[:60]
-    lists = [a, rng.permutation(a), np.r_[a, words[300:]], a[:45], words[60:120], np.array([], np.int64), words[300:303]]
-    got = imatch.signatures(lists, known, subsets)
+    texts = [" ".join(x) for x in (a, rng.permutation(a), a + words[300:], a[:45], words[60:120], [], words[300:303])]
+    got = imatch.signatures(texts, known, subsets)
     assert (got[0] == got[1]).all() and (got[0] == got[2]).all()  # order and terms outside the band do not matter
     share = lambda i, j: ((got[i] == got[j]) & (got[i] > 0)).sum()
     assert share(0, 3) > 8 and share(0, 4) == 0
     assert not got[5].any() and got[6].any()
-    alone = np.concatenate([imatch.signatures([x], known, subsets) for x in lists])
+    alone = np.concatenate([imatch.signatures([x], known, subsets) for x in texts])
     assert (alone == got).all()
 
 
-def test_likeness_bounds(spark):
-    a, b = "0" * 320, "00" * 158 + "ab12"
-    rows = [(a, a, 1.0), (b, b, 1.0), (a, b, 0.0), (a, None, 0.0), (None, None, 0.0)]
-    frame = spark.createDataFrame(rows, "a string, b string, want double")
-    assert all(r["like"] == r["want"] for r in frame.withColumn("like", imatch.likeness()("a", "b")).collect())
+def test_likeness_bounds():
+    subsets = imatch.Subsets()
+    a, b = np.zeros((1, subsets.count), int), np.zeros((1, subsets.count), int)
+    b[0, -1] = 7
+    assert imatch.likeness(a, a, subsets) == imatch.likeness(b, b, subsets) == 1 and imatch.likeness(a, b, subsets) == 0
+
+
+def test_edge_table(spark, edge_docs, no_docs, monkeypatch):
+    known = imatch.lexicon(edge_docs, band=(0.05, 0.3))
+    whole = sorted(map(tuple, imatch.against_next(edge_docs, known).collect()), key=repr)
+    monkeypatch.setattr(imatch, "AT_ONCE", 3)
+    assert sorted(map(tuple, imatch.against_next(edge_docs, known).collect()), key=repr) == whole
+    assert len(whole) == edge_docs.count()
+    prints = {r["id"]: r["p"] for r in edge_docs.select(F.col("doc_id").alias("id"), imatch.fingerprinter(spark, known)(F.col("text")).alias("p")).collect()}
+    assert prints[0] == prints[1] and all(row[3] == prints[row[0]] for row in whole)
+    assert imatch.against_next(no_docs, {}).count() == 0 and imatch.lexicon(no_docs) == {}
