@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat, debruijn, imatch, langid, metric, pieces, secrets, simhash
+from tagloom.llm import chat, debruijn, imatch, langid, metric, pieces, secrets, simhash, templates
 from tagloom.llm.common import table
 
 QUERIES = {}
@@ -109,3 +109,39 @@ def op7_embedding_near_dedup(spark, sf_dir):
 def op6_substring_dedup(spark, sf_dir):
     kept = debruijn.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op3_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return templates.drop_recurring(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+ORACLES["op3_line_dedup"] = r"""
+WITH lines AS (
+    SELECT doc_id, number, string_split(text, chr(10))[number] AS line,
+        list_filter(string_split_regex(string_split(text, chr(10))[number], '[\x09-\x0D\x20]+'), lambda t: t <> '') AS tokens
+    FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS number FROM documents)
+), masked AS (
+    SELECT *, len(tokens) AS n, list_transform(tokens, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS mask,
+        len(list_filter(tokens, lambda t: NOT regexp_matches(t, '[0-9]'))) AS constant
+    FROM lines
+), formed AS (
+    SELECT doc_id, number, line, n, CASE WHEN constant >= 3 AND 2 * constant >= n THEN mask ELSE tokens END AS form FROM masked
+), leaves AS (
+    SELECT doc_id, number, CASE WHEN field < 0 THEN '= ' || n || ' ' || array_to_string(form, ' ')
+        ELSE field || ' ' || n || ' ' || array_to_string(
+            list_concat(list_concat(form[1:2 + (n - 2) * field // 5], ['<*>']), form[3 + (n - 2) * (field + 1) // 5:]), ' ') END AS leaf
+    FROM formed, range(-1, 5) AS fields(field) WHERE n >= 10 OR (field < 0 AND n > 0)
+), recurring AS (
+    SELECT leaf, min(doc_id) AS first FROM leaves GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5
+), dropped AS (
+    SELECT DISTINCT doc_id, number FROM leaves JOIN recurring USING (leaf) WHERE first < doc_id
+), kept AS (
+    SELECT lines.doc_id, lines.number, line, dropped.number IS NOT NULL AS gone
+    FROM lines LEFT JOIN dropped ON lines.doc_id = dropped.doc_id AND lines.number = dropped.number
+)
+SELECT d.doc_id, count(k.number) AS n_lines, CAST(coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_dropped,
+    CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY k.number), '') END AS text
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id, d.text
+"""
