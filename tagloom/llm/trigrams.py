@@ -22,8 +22,8 @@ def _and(left, right):
 
 
 def _of_strings(strings):
-    """A text with one of ``strings`` has all trigrams of one of them."""
-    return _simplify({frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings})
+    """A text with one of ``strings`` has all ASCII trigrams of one of them."""
+    return _simplify({frozenset(s[i : i + 3] for i in range(len(s) - 2) if s[i : i + 3].isascii()) for s in strings})
 
 
 def _characters(items):
