@@ -9,17 +9,21 @@ the place in the text, so a retried or moved task gives the same pieces.
 import re
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagloom.llm.common import fresh
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 BYTE_SYMBOL = 0xE000  # inside the encoder only: a character outside the vocabulary is its UTF-8 bytes
-CHARS_AT_ONCE = 1 << 21
-ARCS_KEPT = 2_000_000
+CHARS_AT_ONCE = 1 << 19
+ROWS_AT_ONCE = 1024
+ARCS_KEPT = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -155,8 +159,22 @@ class Lattices:
         self.clear()
 
     def clear(self):
-        self.last, self.nodes = {}, 0
-        self.bound, self.piece, self.origin = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.last, self.nodes, self.arcs = {}, 0, 0
+        self.bound, self.piece, self.origin = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _append(self, **columns):
+        """Add arcs to the tables, which grow by half when they are full."""
+        added = len(columns["bound"])
+        if self.arcs + added > len(self.bound):
+            room = max(3 * len(self.bound) // 2, self.arcs + added)
+            for name in columns:
+                old = getattr(self, name)
+                grown = np.empty(room, old.dtype)
+                grown[: self.arcs] = old[: self.arcs]
+                setattr(self, name, grown)
+        for name, values in columns.items():
+            getattr(self, name)[self.arcs : self.arcs + added] = values
+        self.arcs += added
 
     def add(self, units):
         """Forward-filter new units, all together; sums of weights are kept as logs."""
@@ -205,16 +223,17 @@ class Lattices:
             running[low:high][np.r_[heads[1:], high - low] - 1] = 1.0
         order = np.argsort(stop, kind="stable")
         base = self.nodes - 1  # the node of end position p is base + p
-        self.bound = np.concatenate([self.bound, base + stop[order] + np.clip(running[order], 0.0, 1.0)])
-        self.piece = np.concatenate([self.piece, piece[order]])
-        self.origin = np.concatenate([self.origin, np.where(first, -1, base + start)[order]])
+        self._append(
+            bound=base + stop[order] + np.clip(running[order], 0.0, 1.0), piece=piece[order],
+            origin=np.where(first, -1, base + start)[order],
+        )
         self.nodes += len(codes)
         self.last.update(zip(units, (base + ends).tolist()))
 
     def sample(self, units, seeds):
         """(piece ids of all units in order, number of pieces by unit); one seed per unit."""
         missing = set(units).difference(self.last)
-        if missing and len(self.bound) > ARCS_KEPT:
+        if missing and self.arcs > ARCS_KEPT:
             self.clear()
             missing = set(units)
         if missing:
@@ -223,9 +242,10 @@ class Lattices:
         number = np.argsort(state, kind="stable")  # neighbours search the same part of the tables
         state, seeds = state[number], seeds[number]
         counts, drawn = np.zeros(len(units), np.int64), []
+        bound = self.bound[: self.arcs]
         step = 0
         while len(state):
-            arc = np.searchsorted(self.bound, state + _uniform(seeds, step), side="right")
+            arc = np.searchsorted(bound, state + _uniform(seeds, step), side="right")
             drawn.append((number, self.piece[arc]))
             counts[number] += 1
             state = self.origin[arc]
@@ -268,17 +288,29 @@ def segment(texts, keys, vocabulary, lattices):
     return pa.ListArray.from_arrays(pa.array(bounds, mask=np.r_[nulls, False]), pa.array(ids)) if nulls.any() else lists
 
 
-def encode(docs, vocabulary, key_col="doc_id", text_col="text", out_col="pieces", sharpness=1.0, seed=42):
+def texts_of(lists, vocabulary):
+    """UTF-8 bytes, or None, per list of piece ids."""
+    table, values, bounds = vocabulary.text_of, lists.values.to_numpy(), lists.offsets.to_pylist()
+    parts = map(table.__getitem__, values[bounds[0] : bounds[-1]].tolist())
+    valid = lists.is_valid().to_pylist()
+    return [b"".join(islice(parts, b - a)) if ok else None for ok, a, b in zip(valid, bounds, bounds[1:])]
+
+
+def encode(docs, vocabulary, key_col="doc_id", text_col="text", out_col="pieces", sharpness=1.0, seed=42, lossless_col=None):
     """``docs`` with an added array of sampled piece ids.
 
     The segmentation depends on the key, the text and ``seed`` alone.  Rows of
     the same key and text get the same pieces; null keys share one key.  A null
-    text has null pieces, an empty one an empty array.  Narrow: no shuffle, and
-    the vocabulary of a model, a bounded size, is all that is broadcast.
+    text has null pieces, an empty one an empty array.  With ``lossless_col``
+    each row is also decoded in its task and compared with its text.  Narrow: no
+    shuffle, and the vocabulary of a model, a bounded size, is all that is
+    broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     at, width = docs.columns.index(text_col), len(docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+    if lossless_col:
+        schema.add(lossless_col, T.BooleanType())
 
     def spans(texts):
         start, size = 0, 0
@@ -293,14 +325,18 @@ def encode(docs, vocabulary, key_col="doc_id", text_col="text", out_col="pieces"
         vocabulary = shared.value
         lattices = Lattices(vocabulary, sharpness)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            keys = batch.column(width).to_numpy()
-            for start, end in spans(texts):
-                part = batch.slice(start, end - start)
-                lists = segment(texts[start:end], keys[start:end], vocabulary, lattices)
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], lists], names=[f.name for f in schema.fields])
-
-    keyed = docs.select("*", F.xxhash64(F.col(key_col), F.lit(seed)).alias("_piece_key"))
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                rows = batch.slice(low, ROWS_AT_ONCE)
+                texts, keys = rows.column(at).to_pylist(), rows.column(width).to_numpy()
+                for start, end in spans(texts):
+                    lists = segment(texts[start:end], keys[start:end], vocabulary, lattices)
+                    columns = [*rows.slice(start, end - start).columns[:width], lists]
+                    if lossless_col:
+                        back = texts_of(lists, vocabulary)
+                        columns.append(pa.array([b == (t if t is None else t.encode()) for b, t in zip(back, texts[start:end])]))
+                    yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+
+    keyed = docs.select("*", F.xxhash64(F.col(key_col), F.lit(seed)).alias(fresh(docs, "_piece_key")[0]))
     return keyed.mapInArrow(run, schema)
 
 
@@ -310,12 +346,6 @@ def decoder(spark, vocabulary):
 
     @F.arrow_udf("string")
     def decode(pieces: pa.Array) -> pa.Array:
-        table = shared.value.text_of
-        values, out = pieces.values, []
-        bounds = pieces.offsets.to_pylist()
-        valid = pieces.is_valid().to_pylist()
-        for ok, a, b in zip(valid, bounds, bounds[1:]):
-            out.append(b"".join(map(table.__getitem__, values[a:b].to_numpy().tolist())) if ok else None)
-        return pa.array(out, pa.binary()).cast(pa.string())
+        return pa.array(texts_of(pieces, shared.value), pa.binary()).cast(pa.string())
 
     return decode

@@ -31,12 +31,9 @@ def op4_simhash_near_dedup(spark, sf_dir):
 
 @query
 def op9_sentencepiece(spark, sf_dir):
-    vocabulary = pieces.load()
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    back = pieces.decoder(spark, vocabulary)(F.col("pieces"))
-    return encoded.select(
-        "doc_id", "pieces", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), back.eqNullSafe(F.col("text")).alias("lossless")
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, pieces.load(), lossless_col="lossless")
+    return encoded.select("doc_id", "pieces", F.coalesce(F.size("pieces"), F.lit(0)).alias("n_pieces"), "lossless")
 
 
 @query
