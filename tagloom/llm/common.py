@@ -21,13 +21,18 @@ def fresh(df, *names):
     return out
 
 
-def anti_lookup(docs, ids, on, limit=32 * 1024 * 1024):
-    """Rows of ``docs`` whose ``on`` is not in ``ids``.
+NO_ID = -(1 << 63)
 
-    ``ids`` is written and measured: under the limit it is broadcast and the
-    documents do not move, else both sides are shuffled by the id.
+
+def without(docs, dropped, id_col="doc_id", text_col="text", limit=32 * 1024 * 1024):
+    """Rows of ``docs`` whose (id, hash of the text) is not among the (id, mark) of ``dropped``.
+
+    Null ids match null ids.  ``dropped`` is written and measured: under the
+    limit it is broadcast and the documents do not move, else both sides are
+    shuffled.
     """
-    sized = stage_sized(ids, "ids")
-    if sized.fits(limit):
-        return docs.join(F.broadcast(sized.df), on, "left_anti")
-    return docs.join(sized.df.hint("merge"), on, "left_anti")
+    key, mark = fresh(docs, "_drop_id", "_drop_mark")
+    sized = stage_sized(dropped.select(F.coalesce("id", F.lit(NO_ID)).alias(key), F.col("mark").alias(mark)).distinct(), "dropped")
+    marked = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(mark, F.xxhash64(text_col))
+    side = F.broadcast(sized.df) if sized.fits(limit) else sized.df.hint("merge")
+    return marked.join(side, [key, mark], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat, debruijn, imatch, langid, metric, pieces, secrets, simhash, templates
+from tagloom.llm import chat, debruijn, imatch, langid, metric, mixing, pieces, secrets, simhash, templates
 from tagloom.llm.common import table
 
 QUERIES = {}
@@ -142,3 +142,22 @@ SELECT d.doc_id, count(k.number) AS n_lines, CAST(coalesce(sum(CASE WHEN gone TH
     CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY k.number), '') END AS text
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id, d.text
 """
+
+
+# The domains of the corpus, from its labels, and the shares of tokens that a mix should have.
+DOMAIN = "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low' WHEN quality = 1 THEN 'clean' END"
+MIX = {"clean": 0.94, "low": 0.04, "toxic": 0.02}
+
+
+def labelled_domains(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select("doc_id", F.expr(DOMAIN).alias("domain"))
+
+
+@query
+def op2_source_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    classifier = mixing.fit(docs, labelled_domains(spark, sf_dir))
+    members = mixing.memberships(docs, classifier)
+    rates = mixing.fit_rates(members, classifier.domains, MIX)
+    posteriors = [F.col(f"p_{k}").alias(f"p_{d}") for k, d in sorted(enumerate(classifier.domains), key=lambda x: x[1])]
+    return rates.select(F.col("id").alias("doc_id"), "tokens", *posteriors, "rate", mixing.take(F.col("rate"), "id", "mark").alias("copies"))

@@ -7,6 +7,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
+from tagloom.llm.common import without
 from tagloom.llm.components import components
 from tagloom.staging import stage
 
@@ -150,28 +151,43 @@ def links(fingerprints, max_bits=2, segments=5, bucket_rows=64):
 
 
 def near_duplicates(docs, id_col="doc_id", text_col="text", shingle=3, max_bits=2, segments=5, bucket_rows=64):
-    """(id, fp, component) of every row of ``docs``.
+    """(id, mark, fp, component, first) of every row; ``mark`` is a hash of the text.
 
     The text is read once, for its fingerprint; equal fingerprints are one node
     whatever the size of their group.  ``component`` is the smallest id among
-    fingerprints linked directly or through others.
+    fingerprints linked directly or through others; ``first`` is true for the
+    rows of that id with the least mark.
 
     Null and blank texts have fingerprint 0 and link as any other.  Rows with a
     null id link too and never name a component; a component of such rows only
     is null.  Repeated rows give repeated rows.  Other columns are not read.
     """
     rows = stage(
-        docs.select(F.col(id_col).alias("id"), fingerprint_udf(shingle)(F.col(text_col)).alias("fp")), "fingerprints"
+        docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), fingerprint_udf(shingle)(F.col(text_col)).alias("fp")),
+        "fingerprints",
     )
-    nodes = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("least")
+    nodes = stage(rows.groupBy("fp").agg(least), "nodes")
     found = components(links(nodes.select("fp"), max_bits, segments, bucket_rows))
-    rooted = (
-        nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-        .select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    )
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(smallest, "root").select("fp", "component")
-    return rows.join(named, "fp")
+    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("top")), "root").select("fp", "top")
+    first = F.col("id").eqNullSafe(F.col("top.id")) & (F.col("mark") == F.col("top.mark"))
+    return rows.join(named, "fp").select("id", "mark", "fp", F.col("top.id").alias("component"), first.alias("first"))
+
+
+def one_of_each(docs, id_col="doc_id", text_col="text", **options):
+    """``docs`` with one row of each near-duplicate group: that of the smallest id, nulls last."""
+    found = stage(near_duplicates(docs, id_col, text_col, **options), "groups")
+    kept = without(docs, found.where(~F.col("first")), id_col, text_col)
+    repeated = stage(found.where("first").groupBy("id", "mark").count().where("count > 1").select("id", "mark"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    # rows that repeat both id and text: one of them, by a hash of all columns
+    alone = without(kept, repeated, id_col, text_col)
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    again = without(kept, found.join(repeated, ["id", "mark"], "left_anti"), id_col, text_col)
+    one = again.groupBy(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_mark")).agg(F.min_by(every, F.xxhash64(every)).alias("_row"))
+    return alone.unionByName(one.select("_row.*"))
 
 
 def hex16(column):

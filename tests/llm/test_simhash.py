@@ -77,3 +77,16 @@ def test_query(spark, sf_dir):
     prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in rows}
     label = groups([prints[i] for i in ids], lambda a, b: (a ^ b).bit_count() <= 2)
     assert {r["doc_id"]: r["component_id"] for r in rows} == {i: ids[g] for i, g in zip(ids, label)}
+
+
+def test_one_of_each(spark, edge_docs, no_docs):
+    kept = simhash.one_of_each(edge_docs)
+    assert kept.columns == edge_docs.columns
+    found = simhash.near_duplicates(edge_docs).collect()
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    prints = {(r["id"], r["mark"]): r["fp"] for r in found}
+    label = groups(list(prints.values()), lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    assert len(rows) == len(set(label)) and len(set(rows)) == len(rows)
+    wanted = {r["component"] for r in found if r["component"] is not None}
+    assert {i for i, _ in rows if i is not None} == wanted
+    assert simhash.one_of_each(no_docs).count() == 0
