@@ -119,6 +119,19 @@ def elements_from_nodes(spark, sf_dir):
     return rows.select("sample_id", *[_sorted(F.col(f)).alias(f) for f in FIELDS])
 
 
+@query(
+    "c7_elements_from_dump",
+    with_views(
+        f"SELECT project || '/' || sample_id || '.cpp' AS filename, {_sql_sorted(ids('text'))} AS ids, {_sql_sorted(_ALL_CALLS)} AS calls, "
+        f"{_sql_sorted(controls('text'))} AS controls FROM samples",
+        "samples",
+    ),
+)
+def elements_from_dump(spark, sf_dir):
+    sets = alignment.file_elements(alignment.dump_nodes(views.samples(spark, sf_dir)))
+    return sets.select("filename", *[_sorted(F.col(f)).alias(f) for f in FIELDS])
+
+
 @query(
     "c8_select_label_columns",
     with_views(
@@ -176,17 +189,17 @@ def manifest_nodes(spark, sf_dir):
 
 @query(
     "j2_join_source_cpg",
-    with_views(
-        "SELECT s.sample_id::VARCHAR AS sample_id, s.split, CASE WHEN s.split <> 'test' THEN 'sources/' || project || '/' || sample_id || '.cpp' END AS source_path "
-        "FROM samples s",
-        "samples",
+    _with_cells(
+        "SELECT s.sample_id::VARCHAR AS sample_id, s.split, CASE WHEN s.split <> 'test' THEN 'sources/' || project || '/' || sample_id || '.cpp' END AS source_path, "
+        "CASE WHEN s.split = 'train' THEN md5(c.cpg) WHEN s.split = 'val' THEN md5('[]--====--') END AS digest "
+        "FROM samples s JOIN file_cells c ON c.filename = project || '/' || sample_id || '.cpp'"
     ),
 )
 def source_cells(spark, sf_dir):
     rows = views.samples(spark, sf_dir)
     manifest = writers.source_bodies(rows.where("split <> 'test'")).drop("body")
     cells = alignment.join_manifest_nodes(manifest, alignment.aggregate_nodes_by_file(_dump(rows)))
-    return alignment.join_source_cells(rows, cells).select("sample_id", "split", "source_path")
+    return alignment.join_source_cells(rows, cells).select("sample_id", "split", "source_path", F.md5("cpg").alias("digest"))
 
 
 @query(
@@ -275,7 +288,7 @@ def positions(spark, sf_dir):
 @query(
     "j4_validate_alignment",
     with_views(
-        "SELECT count(*) AS test_rows, (SELECT count(*) FROM samples) AS label_rows, 0::BIGINT AS mismatched_rows, 1::INTEGER AS labels_match FROM samples",
+        "SELECT count(*) AS test_rows, (SELECT count(*) FROM samples) AS label_rows, 0::BIGINT AS repeated_keys, 0::BIGINT AS mismatched_rows, 1::INTEGER AS labels_match FROM samples",
         "samples",
     ),
 )
@@ -288,7 +301,7 @@ def validate(spark, sf_dir):
     "j4_validate_misaligned",
     with_views(
         "SELECT count(*) AS test_rows, count(*) FILTER (split <> 'val') AS label_rows, "
-        "count(*) FILTER (split = 'val' OR (split = 'test' AND dos = 0)) AS mismatched_rows, 0::INTEGER AS labels_match FROM samples",
+        "0::BIGINT AS repeated_keys, count(*) FILTER (split = 'val' OR (split = 'test' AND dos = 0)) AS mismatched_rows, 0::INTEGER AS labels_match FROM samples",
         "samples",
     ),
 )
@@ -296,3 +309,16 @@ def validate_misaligned(spark, sf_dir):
     rows = views.samples(spark, sf_dir).select("sample_id", "split", *LABELS)
     other = rows.where("split <> 'val'").withColumn("dos", F.when(F.col("split") == "test", 1).otherwise(F.col("dos")))
     return alignment.validate_alignment(rows, other)
+
+
+@query(
+    "j4_validate_repeated",
+    with_views(
+        "SELECT count(*) AS test_rows, count(*) + count(*) FILTER (split = 'test') AS label_rows, count(*) FILTER (split = 'test') AS repeated_keys, "
+        "0::BIGINT AS mismatched_rows, 0::INTEGER AS labels_match FROM samples",
+        "samples",
+    ),
+)
+def validate_repeated(spark, sf_dir):
+    rows = views.samples(spark, sf_dir).select("sample_id", "split", *LABELS)
+    return alignment.validate_alignment(rows, rows.unionByName(rows.where("split = 'test'")))

@@ -69,7 +69,7 @@ def split(spark, sf_dir):
 @query(
     "p7_legacy_view",
     with_views(
-        "SELECT row_number() OVER (ORDER BY sample_id) - 1 AS \"index\", sample_id, text AS processed_func, text AS code, "
+        "SELECT row_number() OVER (PARTITION BY split ORDER BY sample_id) - 1 AS \"index\", sample_id, text AS processed_func, text AS code, "
         "info AS \"+info\", priv AS \"+priv\", mem AS \"mem.\", exec AS exec_code, mem AS mem_corr, "
         f"array_to_string({_LIST}, ',') AS labels, '' AS cpg FROM samples",
         "samples",
@@ -108,11 +108,16 @@ def key(spark, sf_dir):
 
 @query(
     "p21_drop_rename_columns",
-    with_views(f"SELECT sample_id, split, text, {LABEL_LIST} FROM samples", "samples"),
+    with_views(
+        f"SELECT sample_id, split, text, {LABEL_LIST}, array_to_string(list_sort(['sample_id', 'split', 'text', 'raw_classification', 'project', 'cve_id', 'cwe_id', 'vul', "
+        "'tags', 'labels', 'exec_code', 'mem_corr', " + ", ".join(f"'{l}'" for l in LABELS) + "]), ',') AS left_columns FROM samples",
+        "samples",
+    ),
 )
 def drop_rename(spark, sf_dir):
     view = prep.legacy_view(views.samples(spark, sf_dir), numbered=False)
-    return prep.drop_rename_columns(view).select("sample_id", "split", "text", *LABELS)
+    kept = prep.drop_rename_columns(view)
+    return kept.select("sample_id", "split", "text", *LABELS, F.lit(",".join(sorted(kept.columns))).alias("left_columns"))
 
 
 @query(

@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from ..constants import LABELS, RAW_CSV_COLUMNS
 from ..operators.alignment import dump_nodes
-from ..operators.prep import label_totals, legacy_view, prep_summary, split_sizes
+from ..operators.prep import legacy_view
 from ..sources import readers, views, writers
 from ..staging import scratch_path
 from .registry import query
-from .views import LABEL_LIST, names, call_names, controls, with_views
+from .views import LABEL_LIST, call_names, clean, controls, names, with_views
 
 _RAW_NAMES = {ours: theirs for theirs, ours in RAW_CSV_COLUMNS.items()}
 
@@ -33,6 +33,36 @@ def scan_raw_csv(spark, sf_dir):
     return rows.select("sample_id", "raw_classification", "project", "text", "vul")
 
 
+def _write_other_csv(spark, sf_dir):
+    """The raw columns in another order, between columns that are not asked for."""
+    path = scratch_path(spark, "raw-csv")
+    raw = views.raw_samples(spark, sf_dir).orderBy("sample_id")
+    columns = [F.col(ours).cast("string").alias(theirs) for ours, theirs in reversed(_RAW_NAMES.items())]
+    raw.select(F.concat(F.lit("x,"), "sample_id").alias("id"), *columns, F.lit('a "b"\nc').alias("Summary")).write.options(**writers.CSV_OPTIONS).csv(path)
+    return path
+
+
+@query(
+    "s1_scan_raw_csv_by_name",
+    with_views(
+        "SELECT row_number() OVER (ORDER BY sample_id) - 1 AS sample_id, raw_classification, project, text, '1' AS vul FROM raw_samples",
+        "raw_samples",
+    ),
+)
+def scan_other_csv(spark, sf_dir):
+    rows = readers.scan_raw_csv(spark, _write_other_csv(spark, sf_dir))
+    return rows.select("sample_id", "raw_classification", "project", "text", "vul")
+
+
+@query(
+    "s1_scan_raw_csv_max_rows",
+    with_views("SELECT row_number() OVER (ORDER BY sample_id) - 1 AS sample_id, project, md5(text) AS digest FROM raw_samples ORDER BY sample_id LIMIT 77", "raw_samples"),
+)
+def scan_first_rows(spark, sf_dir):
+    rows = readers.scan_raw_csv(spark, _write_raw_csv(spark, sf_dir), max_rows=77)
+    return rows.select("sample_id", "project", F.md5("text").alias("digest"))
+
+
 @query(
     "s2_scan_split",
     with_views(f"SELECT sample_id, split, text, {LABEL_LIST} FROM samples WHERE split = 'train'", "samples"),
@@ -43,8 +73,8 @@ def scan_split(spark, sf_dir):
 
 
 _LEGACY_SELECT = (
-    "SELECT row_number() OVER (ORDER BY sample_id) - 1 AS \"index\", sample_id, text, func_before, labels, exec_code, mem_corr FROM ("
-    "SELECT sample_id, text, text AS func_before, exec AS exec_code, mem AS mem_corr, array_to_string(list_filter(["
+    "SELECT row_number() OVER (PARTITION BY split ORDER BY sample_id) - 1 AS \"index\", sample_id, text, func_before, labels, exec_code, mem_corr FROM ("
+    "SELECT sample_id, split, text, text AS func_before, exec AS exec_code, mem AS mem_corr, array_to_string(list_filter(["
     + ", ".join(f"CASE WHEN {l} = 1 THEN '{l}' END" for l in LABELS)
     + "], lambda x: x IS NOT NULL), ',') AS labels FROM samples)"
 )
@@ -135,6 +165,29 @@ def scan_predictions(spark, sf_dir):
     return readers.scan_predictions(spark, path)
 
 
+@query(
+    "s6_scan_predictions_unkeyed",
+    with_views(
+        "SELECT row_number() OVER (ORDER BY sample_id) - 1 AS position, " + ", ".join(f"score_{l} AS {l}" for l in LABELS) + " FROM scored", "scored"
+    ),
+)
+def scan_unkeyed(spark, sf_dir):
+    scored = views.with_scores(views.samples(spark, sf_dir)).orderBy("sample_id")
+    path = scratch_path(spark, "scores")
+    writers.write_label_table(scored, path, "score_")
+    return readers.scan_predictions(spark, path, key=None)
+
+
+@query(
+    "k4_write_true_labels",
+    with_views("SELECT row_number() OVER (ORDER BY sample_id) - 1 AS position, " + LABEL_LIST + " FROM samples", "samples"),
+)
+def write_true_labels(spark, sf_dir):
+    path = scratch_path(spark, "labels")
+    writers.write_label_table(views.samples(spark, sf_dir).orderBy("sample_id"), path)
+    return readers.scan_predictions(spark, path, key=None, kind="integer")
+
+
 @query(
     "k1_write_split_dataset",
     with_views(f"SELECT sample_id, split, text, raw_classification, project, {LABEL_LIST} FROM samples", "samples"),
@@ -157,29 +210,32 @@ def _sql_map(body):
     return f"(SELECT '{{' || string_agg('\"' || k || '\":' || n, ',' ORDER BY k) || '}}' FROM ({body}))"
 
 
+_ANY = " + ".join(LABELS)
+
+
 @query(
     "k3_write_summary_json",
     with_views(
-        "SELECT '{\"kept_rows\":' || (SELECT count(*) FROM samples) || ',\"label_totals\":' || "
-        + _sql_map("SELECT label AS k, sum(y) AS n FROM long_labels GROUP BY label")
-        + " || ',\"processed_rows\":' || (SELECT count(*) FROM labelled)"
-        + f" || ',\"skipped_empty_text\":0,\"skipped_no_label\":' || (SELECT count(*) FROM labelled WHERE NOT ({' + '.join(LABELS)} > 0))"
+        "SELECT '{\"kept_rows\":' || (SELECT count(*) FROM samples)"
+        " || ',\"label_by_split\":{' || (SELECT string_agg('\"' || split || '\":{' || pairs || '}', ',' ORDER BY split) FROM ("
+        "SELECT split, string_agg('\"' || label || '\":' || n, ',' ORDER BY label) AS pairs FROM ("
+        "SELECT split, label, sum(y)::BIGINT AS n FROM long_labels GROUP BY ALL HAVING sum(y) > 0) GROUP BY split)) || '}'"
+        " || ',\"label_totals\":' || "
+        + _sql_map("SELECT label AS k, sum(y)::BIGINT AS n FROM long_labels GROUP BY label")
+        + " || ',\"processed_rows\":' || (SELECT count(*) FROM labelled) || ',\"seed\":42'"
+        + f" || ',\"skipped_empty_text\":' || (SELECT count(*) FROM labelled WHERE {_ANY} > 0 AND {clean('text')} = '')"
+        + f" || ',\"skipped_no_label\":' || (SELECT count(*) FROM labelled WHERE {_ANY} = 0)"
         + " || ',\"split_sizes\":' || "
         + _sql_map("SELECT split AS k, count(*) AS n FROM samples GROUP BY split")
+        + " || ',\"top_raw_classifications\":[' || (SELECT string_agg('{\"raw_classification\":\"' || raw_classification || '\",\"n\":' || n || '}', ',' ORDER BY n DESC, first_id) FROM ("
+        "SELECT raw_classification, count(*) AS n, min(sample_id) AS first_id FROM samples GROUP BY 1 ORDER BY n DESC, first_id LIMIT 25)) || ']'"
         + " || '}' AS value",
         "long_labels",
     ),
 )
 def write_summary_json(spark, sf_dir):
-    raw = views.raw_samples(spark, sf_dir)
-    clean = views.samples(spark, sf_dir)
-    record = prep_summary(raw).withColumns(
-        {
-            "split_sizes": writers.counts_map(split_sizes(clean), "split", "n"),
-            "label_totals": writers.counts_map(label_totals(clean), "label", "n"),
-        }
-    )
-    return spark.read.text(writers.write_summary_json(record, scratch_path(spark, "summary")))
+    path = writers.write_prep_summary(views.raw_samples(spark, sf_dir), views.samples(spark, sf_dir), scratch_path(spark, "summary"), seed=42)
+    return spark.read.text(path)
 
 
 @query(

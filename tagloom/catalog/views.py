@@ -26,9 +26,10 @@ COMMENT = r"""(?sm)//.*?$|/\*.*?\*/|(''(?:[^\\'']|\\.)*''|"(?:[^\\"]|\\.)*")"""
 
 
 def remove_comments(x):
-    a, b = "chr(64976)", "chr(64977)"
-    marked = f"regexp_replace({x}, '{COMMENT}', {a} || '\\1' || {b}, 'g')"
-    return f"replace(replace(replace({marked}, {a} || {b}, ' '), {a}, ''), {b}, '')"
+    """Literals are told from comments by their first character, match by match."""
+    between, matches = f"string_split_regex({x}, '{COMMENT}')", f"regexp_extract_all({x}, '{COMMENT}')"
+    kept = f"list_transform({matches}, lambda m: CASE WHEN starts_with(m, '/') THEN ' ' ELSE m END)"
+    return f"array_to_string(list_transform(list_zip({between}, list_append({kept}, '')), lambda z: z[1] || z[2]), '')"
 
 
 def literals(x, greedy=False):

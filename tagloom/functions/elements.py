@@ -141,3 +141,13 @@ def node_tokens(nodes, legacy=False):
             F.array_distinct(F.flatten(F.transform(value, fn))) for value, fn in zip(values, split)
         )
     return tuple(F.array_distinct(split_identifier(F.array_join(value, " "))) for value in values)
+
+
+def one_node_tokens(kind, name, code, legacy=False):
+    """Tokens of a single dump node: of its name, or of its code for a control structure."""
+    named = [identifier_tokens_legacy, call_tokens_legacy, control_tokens_legacy] if legacy else [split_identifier] * 3
+    values = (name, name, code)
+    choice = None
+    for label, fn, value in zip(NODE_KINDS, named, values):
+        choice = (F.when if choice is None else choice.when)(kind == label, fn(value))
+    return choice

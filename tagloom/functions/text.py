@@ -27,9 +27,6 @@ C_HEADERS = "#include <stdint.h>\n#include <stddef.h>\n\n"
 _LITERAL = r"""'(?:[^\\']++|\\.)*+'|"(?:[^\\"]++|\\.)*+\""""
 _COMMENT_OR_LITERAL = r"(?smd)//.*?$|/\*.*?\*/|(" + _LITERAL + ")"
 
-# Noncharacters that cannot occur in interchanged text.
-_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
-
 
 def _column(value):
     return F.col(value) if isinstance(value, str) else value
@@ -58,12 +55,14 @@ def minimal_clean_text(value):
 def remove_comments(value):
     """Each ``//`` or ``/* */`` comment becomes one blank; literals stay as they are.
 
-    Both branches of the pattern are wrapped in markers; an empty pair is a
-    comment, and the markers around literals are dropped again.
+    The text between comments and literals alternates with these, so each match
+    is put back, or its blank, after the stretch before it.
     """
-    marked = F.regexp_replace(_column(value), _COMMENT_OR_LITERAL, f"{_OPEN}$1{_CLOSE}")
-    blanked = F.replace(marked, F.lit(_OPEN + _CLOSE), F.lit(" "))
-    return F.translate(blanked, _OPEN + _CLOSE, "")
+    text = _column(value)
+    between = F.split(text, _COMMENT_OR_LITERAL, -1)
+    matches = F.regexp_extract_all(text, F.lit(_COMMENT_OR_LITERAL), F.lit(0))
+    kept = F.transform(matches, lambda m: F.when(F.startswith(m, F.lit("/")), F.lit(" ")).otherwise(m))
+    return F.array_join(F.zip_with(between, F.concat(kept, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
 
 
 def replace_string_literals(value, greedy=False):

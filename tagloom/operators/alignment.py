@@ -1,16 +1,13 @@
 """Joining node dumps, manifests, scores and labels by key."""
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import functions as F
 
-from ..constants import LABELS
-from ..functions.elements import NODE_KINDS, node_cell, node_json
+from ..constants import CELL_TERMINATOR, FIELDS, LABELS
+from ..functions.elements import NODE_KINDS, node_cell, node_json, one_node_tokens
 from ..functions.text import source_key
-from ..staging import lookup_join, number_rows, stage_sized
+from ..sources.writers import source_bodies
+from ..staging import number_rows
 
-NODES_PER_CELL = 100_000
 EMPTY_CELL = "[]--====--"
 
 
@@ -40,46 +37,63 @@ def dump_nodes(samples, extension=".cpp"):
     )
 
 
-def aggregate_nodes_by_file(nodes, per_cell=NODES_PER_CELL, block=4096):
-    """Node cells per file, nodes in line order.
+def aggregate_nodes_by_file(nodes):
+    """One node cell per file, nodes in line order: the form in which cells are exported.
 
-    A file of at most ``per_cell`` nodes gives one cell with ``part`` 0.  Files
-    are counted first; one with more nodes gives a cell per block of neighbouring
-    lines, in rising ``part`` from 1, so that no task holds a whole huge file.
+    A cell is one value, so a file has to fit into a row.  Rules do not need the
+    cells; ``file_elements`` takes the token sets from the node rows.
     """
-    counts = nodes.groupBy("filename").agg(F.count(F.lit(1)).alias("_n"))
-    huge = stage_sized(counts.where(F.col("_n") > per_cell), "huge-files")
-    part = F.lit(0).cast("long")
-    if huge.rows:
-        nodes = lookup_join(nodes, huge, "filename", spread=["line_no"], how="left")
-        part = F.when(F.col("_n").isNull(), part).otherwise(F.floor(F.col("line_no") / block) + 1)
     packed = F.struct("line_no", node_json(F.col("label"), F.col("value"), F.col("code")).alias("json"))
-    cells = nodes.select("filename", part.alias("part"), packed.alias("_node")).groupBy("filename", "part").agg(
+    cells = nodes.select("filename", packed.alias("_node")).groupBy("filename").agg(
         F.array_sort(F.collect_list("_node")).alias("_nodes")
     )
-    return cells.select(
-        "filename", "part", F.size("_nodes").cast("long").alias("n_nodes"), node_cell(F.col("_nodes.json")).alias("cpg")
+    return cells.select("filename", F.size("_nodes").cast("long").alias("n_nodes"), node_cell(F.col("_nodes.json")).alias("cpg"))
+
+
+def file_elements(nodes, min_chars=100, legacy=False):
+    """(filename, ids, calls, controls): the token sets of a file's cell, without making the cell.
+
+    Repeats of a token go before the shuffle.  A cell of at most ``min_chars``
+    characters has no tokens; its length follows from the lengths of its nodes.
+    """
+    kinds = dict(zip(NODE_KINDS, FIELDS))
+    json = node_json(F.col("label"), F.col("value"), F.col("code"))
+    field = F.element_at(F.create_map(*[F.lit(v) for pair in kinds.items() for v in pair]), F.col("label"))
+    marked = nodes.select(
+        "filename", field.alias("field"), F.length(json).cast("long").alias("_chars"),
+        one_node_tokens(F.col("label"), F.coalesce("value", F.lit("")), F.coalesce("code", F.lit("")), legacy).alias("_tokens"),
+    )
+    long = marked.select("filename", "field", "_chars", F.posexplode_outer("_tokens").alias("_pos", "_token"))
+    once = F.coalesce(F.col("_pos"), F.lit(0)) == 0
+    sets = long.groupBy("filename").agg(
+        F.sum(F.when(once, F.col("_chars") + len(", "))).alias("_chars"),
+        *[F.collect_set(F.when(F.col("field") == f, F.col("_token"))).alias(f) for f in FIELDS],
     )
+    whole = F.col("_chars") - len(", ") + len("[]" + CELL_TERMINATOR) > min_chars
+    none = F.array().cast("array<string>")
+    return sets.select("filename", *[F.when(whole, F.col(f)).otherwise(none).alias(f) for f in FIELDS])
+
+
+def with_file_elements(rows, elements, root="sources"):
+    """Rows with the token sets of their source file; files without nodes have none."""
+    keyed = source_bodies(rows, root).select("sample_id", source_key("source_path").alias("filename"))
+    none = F.array().cast("array<string>")
+    sets = keyed.join(elements, "filename", "left").select("sample_id", *[F.coalesce(f, none).alias(f) for f in FIELDS])
+    return rows.join(sets, "sample_id")
 
 
 def join_manifest_nodes(manifest, cells):
     """Every manifest row with its cell; files without nodes get an empty one."""
     keyed = manifest.withColumn("filename", source_key("source_path"))
     return keyed.join(cells, "filename", "left").withColumns(
-        {
-            "cpg": F.coalesce("cpg", F.lit(EMPTY_CELL)),
-            "n_nodes": F.coalesce("n_nodes", F.lit(0)),
-            "part": F.coalesce("part", F.lit(0)),
-        }
+        {"cpg": F.coalesce("cpg", F.lit(EMPTY_CELL)), "n_nodes": F.coalesce("n_nodes", F.lit(0))}
     )
 
 
 def join_source_cells(source, manifest):
     """Source rows with path and cell, matched on the id as a string."""
     left = source.withColumn("sample_id", F.col("sample_id").cast("string"))
-    right = manifest.select(
-        F.col("sample_id").cast("string").alias("sample_id"), "source_path", "filename", "part", "cpg"
-    )
+    right = manifest.select(F.col("sample_id").cast("string").alias("sample_id"), "source_path", "filename", "cpg")
     return left.join(right, "sample_id", "left")
 
 
@@ -96,16 +110,26 @@ def align_predictions(scores, truth, elements=None, key="sample_id", labels=LABE
 
 
 def validate_alignment(test, labels_table, key="sample_id", labels=LABELS):
-    """Row counts of both tables and whether every label agrees, as one row."""
-    left = test.select(F.col(key), F.lit(1).alias("_l"), *[F.col(l).cast("int").alias(f"l_{l}") for l in labels])
-    right = labels_table.select(F.col(key), F.lit(1).alias("_r"), *[F.col(l).cast("int").alias(f"r_{l}") for l in labels])
-    same = reduce(and_, [F.col(f"l_{l}").eqNullSafe(F.col(f"r_{l}")) for l in labels])
-    matched = F.col("_l").isNotNull() & F.col("_r").isNotNull() & same
-    return left.join(right, key, "full").agg(
-        F.count("_l").alias("test_rows"),
-        F.count("_r").alias("label_rows"),
-        F.count_if(~matched).alias("mismatched_rows"),
-        (F.count_if(~matched) == 0).cast("int").alias("labels_match"),
+    """Row counts of both tables, repeated and differing keys, and whether every label agrees, as one row.
+
+    Each side is counted by key before the join, so a repeated key neither
+    multiplies rows nor evens out a difference in length.
+    """
+
+    def side(table, name):
+        values = F.struct(*[F.col(l).cast("int").alias(l) for l in labels])
+        return table.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias(f"_n{name}"), F.max(values).alias(f"_v{name}"))
+
+    left, right = (side(t, n).withColumn("_key", F.struct("_key")) for t, n in ((test, "l"), (labels_table, "r")))
+    both = left.join(right, "_key", "full")  # keys in a struct: a null key meets a null key
+    same = F.col("_nl").isNotNull() & F.col("_nr").isNotNull() & F.col("_vl").eqNullSafe(F.col("_vr"))
+    repeated = (F.coalesce("_nl", F.lit(0)) > 1) | (F.coalesce("_nr", F.lit(0)) > 1)
+    return both.agg(
+        F.coalesce(F.sum("_nl"), F.lit(0)).alias("test_rows"),
+        F.coalesce(F.sum("_nr"), F.lit(0)).alias("label_rows"),
+        F.count_if(repeated).alias("repeated_keys"),
+        F.count_if(~same).alias("mismatched_rows"),
+        (F.count_if(~same | repeated) == 0).cast("int").alias("labels_match"),
     )
 
 

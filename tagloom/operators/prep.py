@@ -1,11 +1,12 @@
 """Preparation: labels, cleaning, splits, legacy views, summaries and samples."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..constants import LABELS, METADATA_COLUMNS
 from ..functions.labels import assign_split, label_columns, label_mask, labels_to_list
 from ..functions.text import minimal_clean_text, strip
-from ..staging import number_rows, top_n
+from ..staging import number_within, top_n
 from .metrics import stack
 
 
@@ -81,12 +82,15 @@ def label_by_split_rollup(clean, labels=LABELS):
     )
 
 
-def top_raw_classifications(clean, n=25):
-    """The most frequent category strings; the one seen first wins a tie."""
+def top_raw_classifications(clean, n=25, ranked=False):
+    """The most frequent category strings; the one seen first wins a tie.  ``ranked`` adds their place."""
     counts = clean.groupBy("raw_classification").agg(
         F.count(F.lit(1)).alias("n"), F.min("sample_id").alias("first_id")
     )
-    return counts.orderBy(F.desc("n"), "first_id").limit(n).select("raw_classification", "n")
+    top = counts.orderBy(F.desc("n"), "first_id").limit(n)
+    if ranked:  # a window over the n rows that are left
+        return top.select("raw_classification", "n", F.row_number().over(Window.orderBy(F.desc("n"), "first_id")).alias("rank"))
+    return top.select("raw_classification", "n")
 
 
 def label_set_counts(clean, labels=LABELS):
@@ -107,7 +111,9 @@ def union_splits(*splits):
 
 def legacy_view(clean, numbered=True):
     """Alias columns of older consumers, with tags, joined labels and an empty cell."""
-    rows = number_rows(clean, ["sample_id"], "index", start=0) if numbered else clean
+    rows = clean
+    if numbered:  # every split is a table of its own and starts at 0
+        rows = number_within(clean, ["split"], ["sample_id"], "index").withColumn("index", F.col("index") - 1)
     view = rows.withColumns(
         {
             "processed_func": F.col("text"),
@@ -128,7 +134,7 @@ def legacy_view(clean, numbered=True):
 LEGACY_DROPPED = (
     "Unnamed: 0", "Unnamed: 0.1", "CVE Page", "Summary", "Vulnerability Classification", "codeLink",
     "commit_id", "commit_message", "del_lines", "file_name", "vul_func_with_fix", "flaw_line",
-    "flaw_line_index", "sql", "r.spl.", "dir.", "trav.", "http", "xss", "corr.", "code",
+    "flaw_line_index", "sql", "r.spl.", "dir.", "trav.", "http", "xss", "corr.", "cpg", "code",
 )
 LEGACY_RENAMED = {"+info": "info", "+priv": "priv", "mem.": "mem"}
 

@@ -4,14 +4,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
-from ..constants import LABELS, LEGACY_RULE_LABELS
-from ..operators.alignment import (
-    aggregate_nodes_by_file,
-    align_predictions,
-    join_manifest_nodes,
-    join_source_cells,
-    validate_alignment,
-)
+from ..constants import FIELDS, LABELS, LEGACY_RULE_LABELS
+from ..operators.alignment import align_predictions, file_elements, validate_alignment, with_file_elements
 from ..operators.metrics import classification_report, compute_metrics, metric_delta_report
 from ..operators.prep import sample_subset
 from ..operators.rules import (
@@ -23,7 +17,6 @@ from ..operators.rules import (
     refinement_stats,
     rule_hits,
 )
-from ..sources.writers import source_bodies
 from ..staging import stage
 
 
@@ -74,10 +67,7 @@ def run_refinement(train, test, scored, config=None):
     config = config or RefinementConfig()
     attach = elements_from_cells if config.legacy else build_elements
     labels = config.rule_labels
-    part = ["part"] if "part" in train.columns else []
-    train_elements = stage(
-        attach(train).select("sample_id", *part, *labels, "ids", "calls", "controls"), "train-elements"
-    )
+    train_elements = stage(attach(train).select("sample_id", *labels, "ids", "calls", "controls"), "train-elements")
     test_elements = attach(test).select("sample_id", "ids", "calls", "controls")
     return refine_with_elements(train_elements, test_elements, scored, config)
 
@@ -91,23 +81,15 @@ def check_alignment(test, truth, labels=LABELS):
     report = validate_alignment(test, truth, labels=labels).first()
     if report["test_rows"] != report["label_rows"]:
         raise AlignmentError(f"row counts differ: {report.asDict()}")
+    if report["repeated_keys"]:
+        raise AlignmentError(f"keys repeat: {report.asDict()}")
     if not report["labels_match"]:
         raise AlignmentError(f"labels differ: {report.asDict()}")
     return report
 
 
-def with_cells(rows, cells, root="sources"):
-    """Rows with the node cell of their source file.
-
-    A file whose cell was split gives one row per ``part``; counting and rule
-    hits put the token sets of such rows together again.
-    """
-    manifest = source_bodies(rows, root).drop("body")
-    return join_source_cells(rows, join_manifest_nodes(manifest, cells)).withColumn("sample_id", F.col("sample_id").cast("long"))
-
-
 def run_aligned_refinement(train, test, nodes, scores, truth, config=LEGACY_CONFIG, train_limit=None, test_limit=None, seed=42):
-    """Views, alignment gate, node cells, then the refinement.
+    """Views, alignment gate, token sets of the files' nodes, then the refinement.
 
     ``scores`` holds ``score_*`` columns and ``truth`` the label columns of the
     test view, both by ``sample_id``.
@@ -116,6 +98,8 @@ def run_aligned_refinement(train, test, nodes, scores, truth, config=LEGACY_CONF
     test = sample_subset(test, test_limit, seed)
     report = check_alignment(test, truth, config.labels)
     scored = align_predictions(scores, truth, labels=config.labels)
-    cells = stage(aggregate_nodes_by_file(nodes), "cells")
-    out = run_refinement(with_cells(train, cells), with_cells(test, cells), scored, config)
+    elements = stage(file_elements(nodes), "file-elements")
+    labels = config.rule_labels
+    sets = [with_file_elements(rows, elements).select("sample_id", *labels, *FIELDS) for rows in (train, test)]
+    out = refine_with_elements(stage(sets[0], "train-elements"), sets[1], scored, config)
     return {**out, "alignment": report}

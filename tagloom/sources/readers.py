@@ -1,22 +1,24 @@
 """Scans: raw CSV, prepared splits, delimited legacy files, node dumps, vectors, scores."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import LABELS, RAW_CSV_COLUMNS
 from ..functions.elements import NODE_KINDS
-from ..staging import number_rows, stage
+from ..staging import lookup_join, stage, stage_sized
 
-RAW_CSV_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in RAW_CSV_COLUMNS])
+RAW_CSV_SCHEMA = T.StructType([T.StructField(ours, T.StringType()) for ours in RAW_CSV_COLUMNS.values()])
 
 # Lines of tool output inside a node dump.
 DUMP_CHATTER = ("executing ", "Creating project ")
 
 
-def _csv(spark, schema, sep=","):
+def _csv(spark, sep=","):
+    """A file whose header differs from the first one's is an error, not a shift of its columns."""
     return (
-        spark.read.schema(schema)
-        .option("header", True)
+        spark.read.option("header", True)
+        .option("enforceSchema", False)
         .option("sep", sep)
         .option("multiLine", True)
         .option("quote", '"')
@@ -27,34 +29,74 @@ def _csv(spark, schema, sep=","):
     )
 
 
+def _by_name(rows, schema, names=None):
+    """The columns of ``schema``, found by their names in the file, whatever their order and company."""
+    names = names or {}
+    wanted = {f.name: names.get(f.name, f.name) for f in schema.fields}
+    missing = [theirs for theirs in wanted.values() if theirs not in rows.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} among {', '.join(rows.columns)}")
+    return [F.col(f"`{wanted[f.name]}`").cast(f.dataType).alias(f.name) for f in schema.fields]
+
+
+def _numbered(rows, name, file="_file"):
+    """0-based record numbers, files in path order.
+
+    A quoted file is one partition, so the place of a record in its file is a
+    difference of row ids, and one row per file gives the offsets.  The rows are
+    staged once, neither shuffled nor sorted.
+    """
+    placed = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "records")
+    files = placed.groupBy(file).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # one row per file, so a single-partition window is bounded
+    before = Window.orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stage_sized(files.select(file, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset")), "files")
+    found = lookup_join(placed, offsets, file, spread=["_row"])
+    return found.withColumn(name, F.col("_row") + F.col("_offset")).drop(file, "_row", "_offset")
+
+
+def _first_files(spark, path, max_rows):
+    """The leading files of ``path`` that hold at least ``max_rows`` records; counting reads no text column."""
+    counts = _csv(spark).csv(path).groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    running = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return [r["_file"] for r in running.where(F.col("_before") < max_rows).orderBy("_file").limit(max(max_rows, 1)).collect()]
+
+
 def scan_raw_csv(spark, path, schema=RAW_CSV_SCHEMA, rename=RAW_CSV_COLUMNS, numbered=True, max_rows=None):
     """Raw CSV with line breaks inside quotes; bytes that are not UTF-8 become U+FFFD.
 
-    ``sample_id`` is the 0-based record number, files in path order, and missing
-    values are empty strings.  A quoted
-    CSV file cannot be split, so give many files and keep the result as parquet.
+    Columns are found by their names in the header; others are not read, and a
+    missing one is an error.  ``sample_id`` is the 0-based record number, files
+    in path order, and missing values are empty strings.  With ``max_rows`` only
+    the files that hold these records are read.  A quoted CSV file cannot be
+    split, so give many files and keep the result as parquet.
     """
-    rows = _csv(spark, schema).csv(path).withColumnsRenamed(dict(rename))
-    names = rows.columns
-    rows = rows.select(*[F.coalesce(F.col(n), F.lit("")).alias(n) for n in names], F.col("_metadata.file_path").alias("_file"))
+    path = path if max_rows is None else _first_files(spark, path, max_rows)
+    rows = _csv(spark).csv(path)
+    theirs = {ours: name for name, ours in rename.items()}
+    columns = _by_name(rows, schema, theirs)
+    file = F.col("_metadata.file_path").alias("_file")
+    rows = rows.select(*columns, file).select(*[F.coalesce(f.name, F.lit("")).alias(f.name) for f in schema.fields], "_file")
     if not numbered:
-        return rows.drop("_file")
-    placed = rows.withColumn("_row", F.monotonically_increasing_id())
-    placed = number_rows(stage(placed, "raw"), ["_file", "_row"], "sample_id", start=0)
-    placed = placed.drop("_file", "_row")
+        return rows.drop("_file") if max_rows is None else rows.drop("_file").limit(max_rows)
+    placed = _numbered(rows, "sample_id").select(*schema.names, "sample_id")
     return placed if max_rows is None else placed.where(F.col("sample_id") < max_rows)
 
 
 def scan_split(spark, path, split=None, fmt="parquet", schema=None, labels=LABELS):
     """A prepared table (or one of its splits) with integer labels; gzip is read by suffix."""
-    rows = spark.read.parquet(path) if fmt == "parquet" else _csv(spark, schema).csv(path)
+    rows = spark.read.parquet(path) if fmt == "parquet" else _csv(spark).csv(path)
+    if fmt != "parquet":
+        rows = rows.select(*_by_name(rows, schema))
     if split is not None:
         rows = rows.where(F.col("split") == split)
     return rows.withColumns({label: F.col(label).cast("int") for label in labels})
 
 
 def scan_delimited_legacy(spark, path, schema, sep="#"):
-    return _csv(spark, schema, sep).csv(path)
+    rows = _csv(spark, sep).csv(path)
+    return rows.select(*_by_name(rows, schema))
 
 
 def scan_node_dump(spark, path):
@@ -108,10 +150,16 @@ def scan_vocabulary_text(spark, path):
 
 
 def scan_predictions(spark, path, labels=LABELS, fmt="csv", key="sample_id", kind="double"):
-    """Score or label table with a key and one column per label."""
-    schema = T.StructType([T.StructField(key, T.LongType())])
+    """Score or label table with one column per label, found by name.
+
+    ``key`` names the key column.  With ``key=None`` the file has none, and
+    ``position``, the 0-based record number, is what such tables are aligned by.
+    """
+    schema = T.StructType([] if key is None else [T.StructField(key, T.LongType())])
     for label in labels:
         schema = schema.add(label, kind)
-    if fmt == "parquet":
-        return spark.read.schema(schema).parquet(path)
-    return _csv(spark, schema).csv(path)
+    rows = spark.read.parquet(path) if fmt == "parquet" else _csv(spark).csv(path)
+    columns = _by_name(rows, schema)
+    if key is not None:
+        return rows.select(*columns)
+    return _numbered(rows.select(*columns, F.col("_metadata.file_path").alias("_file")), "position").select("position", *labels)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..constants import LABELS
 from ..functions.text import dotted_extension, ensure_c_source, safe_project_name
+from ..operators.prep import label_by_split, label_totals, prep_summary, split_sizes, top_raw_classifications
 
 
 # values are written as they are: quoted, untrimmed, quotes doubled
@@ -53,6 +54,48 @@ def write_summary_json(record, path):
     return path
 
 
+def write_prep_summary(raw, clean, path, seed=42, top=25):
+    """Counters of a preparation as one JSON object: rows, splits, labels, the most frequent category strings.
+
+    Each part has as many entries as there are splits, labels or ``top`` strings.
+    """
+    by_split = label_by_split(clean).groupBy("split").agg(F.array_sort(F.collect_list(F.struct("label", "n"))).alias("n"))
+    nested = F.transform(F.array_sort(F.collect_list(F.struct("split", "n"))), lambda e: F.struct(e["split"], F.map_from_entries(e["n"])))
+    ranked = top_raw_classifications(clean, top, ranked=True)
+    record = prep_summary(raw).withColumns(
+        {
+            "seed": F.lit(seed),
+            "split_sizes": counts_map(split_sizes(clean), "split", "n"),
+            "label_totals": counts_map(label_totals(clean), "label", "n"),
+            "label_by_split": by_split.agg(F.map_from_entries(nested)).scalar(),
+            "top_raw_classifications": ranked.agg(
+                F.transform(F.array_sort(F.collect_list(F.struct("rank", "raw_classification", "n"))), lambda e: e.dropFields("rank"))
+            ).scalar(),
+        }
+    )
+    return write_summary_json(record, path)
+
+
+def write_label_table(rows, path, prefix="", labels=LABELS):
+    """One column per label and no key, in the order of the rows: raw scores or true labels of older consumers."""
+    rows.select(*[F.col(f"{prefix}{l}").alias(l) for l in labels]).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    return path
+
+
+def write_rule_table(rules, path):
+    """A rule table as JSON lines sorted by label, field, polarity and token; sorting is spread over tasks."""
+    json_lines(rules.orderBy("label", "field", "polarity", "token")).write.mode("overwrite").text(path)
+    return path
+
+
+def write_report_json(report, path):
+    """A classification report as one JSON object: name → precision, recall, f1 and support."""
+    values = [c for c in report.columns if c != "name"]
+    entries = F.array_sort(F.collect_list(F.struct("name", F.struct(*sorted(values)).alias("v"))))
+    report.agg(F.to_json(F.map_from_entries(entries)).alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
 def write_predictions(predictions, path, fmt="parquet"):
     writer = predictions.write.mode("overwrite")
     writer.parquet(path) if fmt == "parquet" else writer.options(**CSV_OPTIONS).csv(path)

@@ -59,9 +59,9 @@ def test_all_metrics(spark, seed, empty):
 
 
 def test_small_known_values(spark):
-    rows = [((1, 0), (1, 0)), ((1, 1), (1, 0))]
+    rows = [((0, 1), (0, 1)), ((1, 1), (0, 1)), ((0, 0), (1, 1)), ((1, 0), (1, 0))]
     got = M.metrics_wide(frame(spark, rows, ("a", "b")), ("a", "b")).first()
-    assert (got.exact_match_ratio, got.accuracy, got.hamming_score) == (0.5, 0.75, 0.75)
+    assert (got.exact_match_ratio, got.accuracy, got.hamming_score) == (0.5, 0.625, 0.625)
 
 
 def test_report_and_confusion(spark):

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tagloom.constants import FIELDS, LABELS, LEGACY_RULE_LABELS
 from tagloom.operators import rules as R
-from tagloom.operators.alignment import aggregate_nodes_by_file, dump_nodes
-from tagloom.plans.refinement import AlignmentError, check_alignment, with_cells
+from tagloom.operators.alignment import aggregate_nodes_by_file, dump_nodes, file_elements, with_file_elements
+from tagloom.plans.refinement import AlignmentError, check_alignment
 from tagloom.sources import views
 from tagloom.staging import stage, stage_sized
 
@@ -110,19 +110,20 @@ def test_refinement(spark, monkeypatch, legacy, limit, strict):
     assert (stats.affected, stats.correct) == (flips, right)
 
 
-def test_split_cells_give_the_same_rules(spark, sf_dir):
-    """A file whose cell is split into parts counts once."""
+def test_node_rows_give_the_sets_of_their_cells(spark, sf_dir):
+    """Short files included: the rule on the length of a cell holds for the whole file."""
     rows = stage(views.samples(spark, sf_dir).where("sample_id < 60"))
-    nodes = stage(dump_nodes(rows))
-    whole = aggregate_nodes_by_file(nodes)
-    parts = aggregate_nodes_by_file(nodes, per_cell=50, block=20)
-    assert parts.where("part > 0").count() > whole.count()
-    assert parts.agg(F.sum("n_nodes")).first() == whole.agg(F.sum("n_nodes")).first()
-    counts = []
-    for cells in (whole, parts):
-        elements = R.elements_from_cells(with_cells(rows, cells), min_chars=0)
-        counts.append({tuple(r) for r in R.token_counts(elements, LEGACY_RULE_LABELS).collect()})
-    assert counts[0] == counts[1]
+    short = [("a/1.cpp", i, "IDENTIFIER", f"x{i}", "") for i in range(1)] + [("a/2.cpp", i, "IDENTIFIER", f"longName{i}", "") for i in range(50)]
+    short += [("a/2.cpp", 60, "CALL", "goTo", ""), ("a/2.cpp", 61, "CONTROL_STRUCTURE", "", "while")]
+    nodes = stage(dump_nodes(rows).unionByName(spark.createDataFrame(short, "filename string, line_no long, label string, value string, code string")))
+    cells = aggregate_nodes_by_file(nodes)
+    assert cells.count() == nodes.select("filename").distinct().count()
+    tidy = lambda frame: {(r.filename, *[tuple(sorted(r[f])) for f in FIELDS]) for r in frame.collect()}
+    sets = tidy(file_elements(nodes))
+    assert sets == tidy(R.elements_from_cells(cells))
+    assert ("a/1.cpp", (), (), ()) in sets and any(s[0] == "a/2.cpp" and s[2:] == (("go", "to"), ("while",)) for s in sets)
+    joined = with_file_elements(rows, file_elements(nodes))
+    assert joined.count() == rows.count() and joined.where(F.size("ids") > 0).count() == rows.count()
 
 
 def test_alignment_gate(spark):
@@ -130,6 +131,10 @@ def test_alignment_gate(spark):
     assert check_alignment(rows, rows).labels_match == 1
     with pytest.raises(AlignmentError):
         check_alignment(rows, rows.where("sample_id > 0"))
+    with pytest.raises(AlignmentError):  # as long, with one id twice in place of another
+        check_alignment(rows, rows.where("sample_id > 0").unionByName(rows.where("sample_id = 1")))
+    with pytest.raises(AlignmentError):
+        check_alignment(rows.unionByName(rows), rows.unionByName(rows))
     with pytest.raises(AlignmentError):
         check_alignment(rows, rows.withColumn("dos", 1 - F.col("dos")))
 
