@@ -1,6 +1,8 @@
 """Small helpers shared by the corpus operators."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.staging import stage_sized
 
@@ -21,6 +23,22 @@ def fresh(df, *names):
     return out
 
 
+def in_slices(frame, fields, function, rows=512):
+    """Rows through ``function`` (Arrow batch → arrays) in slices, so that no batch of long texts is built whole.
+
+    ``fields`` are the result's; the function gets the columns of ``frame`` in
+    order and returns an array for each field.
+    """
+    names = [f.name for f in fields]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_arrays(function(batch.slice(at, rows)), names=names)
+
+    return frame.mapInArrow(run, T.StructType(fields))
+
+
 NO_ID = -(1 << 63)
 
 
