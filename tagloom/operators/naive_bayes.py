@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import LABELS, P_VALUE_GRID
-from ..staging import BROADCAST_BYTES, Sized, stage, stage_sized
+from ..staging import Sized, lookup_join, stage, stage_sized
 from .metrics import metrics_wide, stack
 from .tfidf import select_by_p
 
@@ -129,10 +129,7 @@ def gnb_scores(rows, entries, models, moments, grid_indexes=None, key="sample_id
     """
     indexes = range(len(models.grid)) if grid_indexes is None else grid_indexes
     wanted = [(g, l) for g in indexes for l in models.labels]
-    if models.parameters.fits(BROADCAST_BYTES):
-        joined = entries.join(F.broadcast(models.parameters.df), "term_id")
-    else:
-        joined = entries.join(models.parameters.df, "term_id")
+    joined = lookup_join(entries, models.parameters, "term_id", spread=[key])
     sums = []
     for g, l in wanted:
         i = models.column(g, l)

@@ -10,6 +10,11 @@ from ..staging import number_within, top_n
 from .metrics import stack
 
 
+def once(rows, name, value):
+    """Adds a costly column so that filters on it do not compute it again: they stop at the one-element explode."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def prepare(raw, seed=42):
     """Raw rows to clean labelled samples: one narrow stage, no shuffle.
 
@@ -17,24 +22,24 @@ def prepare(raw, seed=42):
     """
     category = strip(F.coalesce("raw_classification", F.lit("")))
     known = [c for c in METADATA_COLUMNS if c in raw.columns]
+    labelled = once(raw, "_mask", label_mask("raw_classification")).where(F.col("_mask") > 0)
     return (
-        raw.withColumn("_mask", label_mask("raw_classification"))
-        .where(F.col("_mask") > 0)
-        .withColumn("text", minimal_clean_text("text"))
-        .where(F.col("text") != "")
+        once(labelled, "_clean", minimal_clean_text("text"))
+        .where(F.col("_clean") != "")
         .select(
-            "sample_id", assign_split("sample_id", seed).alias("split"), "text",
+            "sample_id", assign_split("sample_id", seed).alias("split"), F.col("_clean").alias("text"),
             category.alias("raw_classification"), *known, *label_columns("_mask"),
         )
     )
 
 
 def filter_labeled(raw):
-    return raw.withColumn("mask", label_mask("raw_classification")).where(F.col("mask") > 0)
+    return once(raw, "mask", label_mask("raw_classification")).where(F.col("mask") > 0)
 
 
 def filter_nonempty_text(rows):
-    return rows.withColumn("text", minimal_clean_text("text")).where(F.col("text") != "")
+    cleaned = once(rows, "_clean", minimal_clean_text("text")).where(F.col("_clean") != "")
+    return cleaned.withColumn("text", F.col("_clean")).drop("_clean")
 
 
 def prep_summary(raw):

@@ -95,11 +95,8 @@ def idf(documents, df):
 
 def tfidf_fit(train, max_features=20_000, terms="terms", key="sample_id"):
     """Vocabulary and smoothed idf, learned on the given (training) rows only."""
-    chosen = stage_sized(vocab_topk(term_counts(train, terms), max_features), "vocabulary")
-    once = exploded(train, F.array_distinct(terms), (key,))
-    frequencies = lookup_join(once, chosen, "term", spread=[key]).groupBy("term", "cf").agg(
-        F.count(F.lit(1)).alias("df")
-    )
+    statistics = stage(term_statistics(train, terms), "term-statistics")
+    frequencies = vocab_topk(statistics, max_features)
     documents = train.count()
     numbered = number_rows(frequencies, ["term"], "term_id", start=0)
     table = numbered.select(
@@ -234,9 +231,7 @@ def select_by_p(moments, grid=P_VALUE_GRID, labels=LABELS):
 
 def select_features(entries, selected):
     """Entries of the selected terms; ``selected`` is a measured (bounded) table of term ids."""
-    if selected.fits():
-        return entries.join(F.broadcast(selected.df), "term_id", "left_semi")
-    return entries.join(selected.df, "term_id", "left_semi")
+    return lookup_join(entries, selected, "term_id", spread=["w"], how="left_semi")
 
 
 def token_length_histogram(rows, cap=512, width=16, tokens="tokens"):

@@ -6,8 +6,7 @@ Three things here keep every plan safe at scale:
   ``spark.checkpoint.dir``.  It cuts lineage, survives lost executors and lets
   later scans prune columns.
 * ``lookup_join`` broadcasts the small side only after measuring it; past the
-  limit it does a salted shuffle join, so that one hot key is spread over many
-  tasks.
+  limit it does a shuffle join that salts the keys measured to be hot.
 * ``number_rows`` and ``top_n`` order data without a single-task window.
 """
 
@@ -20,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-JOIN_SALTS = 16
+HOT_ROWS = 1_000_000
+TOP_IN_ONE_TASK = 100_000
 
 
 def scratch_path(spark, name):
@@ -87,20 +87,30 @@ def stage_sized(df, name="table"):
     return Sized(staged, measured["rows"], measured["bytes"])
 
 
-def lookup_join(big, small, on, spread, how="inner", limit=BROADCAST_BYTES, salts=JOIN_SALTS):
+def lookup_join(big, small, on, spread, how="inner", limit=BROADCAST_BYTES, hot_rows=HOT_ROWS):
     """Join a long table with a looked-up table on ``on``.
 
     ``small`` is a ``Sized``.  Under the limit it is broadcast and ``big`` is not
-    shuffled.  Over it, ``big`` rows of one key are spread over ``salts``
-    partitions by ``spread`` and the looked-up side is repeated per salt.
+    shuffled.  Over it, the keys of ``big`` with more than ``hot_rows`` rows are
+    counted first.  Rows of such a key are spread by ``spread`` over one salt per
+    ``hot_rows`` of them, and its looked-up row is repeated as often; all other
+    keys are joined as they are.
     """
     on = [on] if isinstance(on, str) else list(on)
     if small.fits(limit):
         return big.join(F.broadcast(small.df), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    repeated = small.df.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
+    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    # at most one row per hot_rows of the long table
+    hot = stage_sized(counts.select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")), "hot-keys")
+    if not hot.rows:
+        return big.join(small.df.hint("merge"), on, how)
+
+    def marked(df):
+        side = F.broadcast(hot.df) if hot.fits(limit) else hot.df.hint("merge")
+        return df.join(side, on, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+
+    salted = marked(big).withColumn("_salt", F.pmod(F.xxhash64(*spread), F.col("_salts").cast("long")).cast("int")).drop("_salts")
+    repeated = marked(small.df).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     return salted.join(repeated.hint("merge"), on + ["_salt"], how).drop("_salt")
 
 
@@ -136,27 +146,31 @@ def number_within(df, groups, order, name="row_number"):
     group (one row per group) is then taken off.
     """
     numbered = stage(number_rows(df, [F.col(g) for g in groups] + list(order), "_number"), "ranked")
-    first = numbered.groupBy(*groups).agg(F.min("_number").alias("_first"))
+    first = stage_sized(numbered.groupBy(*groups).agg(F.min("_number").alias("_first")), "groups")
     return (
-        numbered.join(F.broadcast(first), list(groups))
+        lookup_join(numbered, first, list(groups), spread=["_number"])
         .withColumn(name, F.col("_number") - F.col("_first") + 1)
         .drop("_number", "_first")
     )
 
 
 def top_n(df, n, coarse, order):
-    """The first ``n`` rows by ``order``; ``coarse`` is a key that sorts like it.
+    """The first ``n`` rows by ``order``; ``coarse`` is a number that sorts like it.
 
-    A histogram of ``coarse`` gives the key at which ``n`` rows are reached, and
-    only rows up to that key enter the final top-k, instead of ``n`` rows from
-    every task.
+    A quantile sketch of ``coarse``, a bounded buffer per task, gives a cut that
+    leaves little more than ``n`` rows, and one count checks that it leaves
+    enough.  What is left goes through one task if ``n`` is small, else it is
+    numbered by a range sort.
     """
-    keyed = df.withColumn("_coarse", coarse)
-    histogram = keyed.groupBy("_coarse").agg(F.count(F.lit(1)).alias("_n"))
-    # distinct coarse keys are few by construction (counts, hash prefixes)
-    running = histogram.select(
-        "_coarse", F.sum("_n").over(Window.orderBy("_coarse")).alias("_running")
-    )
-    cutoff = running.where(F.col("_running") >= n).agg(F.min("_coarse").alias("c")).scalar()
-    kept = keyed.where(F.coalesce(F.col("_coarse") <= cutoff, F.lit(True)))
-    return kept.orderBy(*order).limit(n).drop("_coarse")
+    keyed = df.withColumn("_coarse", coarse.cast("double"))
+    accuracy = 10_000
+    total = keyed.count()
+    if total > n:
+        share = min(1.0, (n + 1) / total * 1.01 + 2.0 / accuracy)
+        cut = keyed.agg(F.percentile_approx("_coarse", F.lit(share), F.lit(accuracy)).alias("c")).first()["c"]
+        if cut is not None and keyed.where(F.col("_coarse") <= cut).count() >= n:
+            keyed = keyed.where(F.col("_coarse") <= cut)
+    kept = keyed.drop("_coarse")
+    if n <= TOP_IN_ONE_TASK:
+        return kept.orderBy(*order).limit(n)
+    return number_rows(kept, order, "_place").where(F.col("_place") <= n).drop("_place")
