@@ -11,15 +11,16 @@ at both coordinates are compared before anything is removed.
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagloom.llm.common import fresh
-from tagloom.staging import stage, stage_sized
+from tagloom.llm.common import fresh, in_slices
+from tagloom.staging import stage
 
 BYTES_AT_ONCE = 8 << 20
 SHINGLE = 4
-LIMIT = 32 * 1024 * 1024
 PACKED = "bucket int, kind int, docs binary, marks binary, starts binary, sizes binary, first binary, second binary, src_docs binary, src_marks binary, src_starts binary"
 SPANS = "doc long, mark long, pos int, size int, src_doc long, src_mark long, src_pos int"
 ARRAYS = ("docs", "marks", "starts", "sizes", "src_docs", "src_marks", "src_starts")
@@ -109,7 +110,7 @@ def _compact(doc, mark, pos, src_doc, src_mark, src_pos):
     return doc[heads], mark[heads], pos[heads], sizes, src_doc[heads], src_mark[heads], src_pos[heads]
 
 
-def _mapper(k, buckets, seed, wide):
+def _mapper(k, buckets, seed, wide, bits):
     """Windows of the documents of a task, packed by bucket.
 
     Windows that repeat within a batch are settled there: of equal ones only
@@ -121,6 +122,8 @@ def _mapper(k, buckets, seed, wide):
         frame = frame.sort_values(["doc", "mark"], kind="stable")
         docs, marks = frame["doc"].to_numpy(np.int64), frame["mark"].to_numpy(np.int64)
         owner, pos, first, second, minimizer = windows(frame["text"].tolist(), k, seed)
+        first >>= np.uint64(64 - bits)
+        second = second if wide else np.zeros_like(second)
         order = np.lexsort((np.arange(len(first)), second, first))
         heads = np.r_[True, (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])] if len(order) else np.zeros(0, bool)
         source = np.empty(len(order), np.int64)
@@ -227,23 +230,17 @@ def _digests(k):
     return run
 
 
-def _by_document(docs, table, how):
-    """Documents with the rows of ``table``, one per (doc, mark), broadcast if its measured size allows."""
-    sized = stage_sized(table.withColumn("weight", F.to_json("spans")), "lists")
-    lists = sized.df.drop("weight")
-    return docs.join(F.broadcast(lists) if sized.fits(LIMIT) else lists.hint("merge"), ["doc", "mark"], how)
-
-
 def _lists(spans):
     return spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "size")).alias("spans"))
 
 
-def repeated_spans(keyed, k=13, seed=42, windows_per_bucket=1_000_000):
+def repeated_spans(keyed, k=13, seed=42, windows_per_bucket=1_000_000, bits=64):
     """(doc, mark, pos, size, src_doc, src_mark, src_pos): ``size`` windows that start in a smaller document too.
 
     ``keyed`` has doc, mark and binary text.  Source coordinates are checked
     word for word by 128-bit digests of both texts; should different windows
-    have had one hash, the search is run again under another seed.
+    have had one hash, the search is run again under another seed and with more
+    bits.  ``bits`` are those of the first try.
     """
     spark = keyed.sparkSession
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -253,7 +250,7 @@ def repeated_spans(keyed, k=13, seed=42, windows_per_bucket=1_000_000):
     wide = max(0, -(-(2 * count.bit_length() + 8 - 64) // 8))
     while True:
         spans = (
-            keyed.mapInPandas(_mapper(k, buckets, seed, wide), PACKED)
+            keyed.mapInPandas(_mapper(k, buckets, seed, wide, bits), PACKED)
             .groupBy("bucket").applyInPandas(_reducer(wide), SPANS)
         )
         paths = stage(
@@ -261,7 +258,7 @@ def repeated_spans(keyed, k=13, seed=42, windows_per_bucket=1_000_000):
         )
         here = paths.select("doc", "mark", "pos", "size")
         there = paths.select(F.col("src_doc").alias("doc"), F.col("src_mark").alias("mark"), F.col("src_pos").alias("pos"), "size")
-        asked = _by_document(keyed, _lists(here.union(there).distinct()), "inner")
+        asked = keyed.join(_lists(here.union(there)), ["doc", "mark"])
         digests = stage(
             asked.select("doc", "mark", "text", "spans").mapInPandas(_digests(k), "doc long, mark long, pos int, size int, digest binary"),
             "digests",
@@ -271,7 +268,7 @@ def repeated_spans(keyed, k=13, seed=42, windows_per_bucket=1_000_000):
         wrong = checked.where(~F.coalesce(F.col("digest") == F.col("src_digest"), F.lit(False)))
         if wrong.isEmpty():
             return paths
-        seed, wide = seed + 1, min(8, wide + 2)
+        seed, wide, bits = seed + 1, min(8, wide + 2), 64
 
 
 def remove_repeats(docs, id_col="doc_id", text_col="text", k=13, out_col="kept", windows_per_bucket=1_000_000):
@@ -284,40 +281,42 @@ def remove_repeats(docs, id_col="doc_id", text_col="text", k=13, out_col="kept",
     take nothing from others.  Rows of one id are one document as to order, each
     judged on its own text.  Other columns stay.
     """
-    doc, mark, raw, spans, done, n_words, n_removed = fresh(docs, "_doc", "_mark", "_raw", "_spans", "_done", "n_words", "n_removed")
-    many = stage(docs.groupBy(F.col(id_col).alias(doc)).count().where("count > 1").select(doc), "many")
-    base = docs.withColumn(doc, F.col(id_col).cast("long")).withColumn(raw, F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    doc, mark, spans, again, n_words, n_removed, out_col = fresh(docs, "_doc", "_mark", "_spans", "_again", "n_words", "n_removed", out_col)
+    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    many = stage(docs.groupBy(F.col(id_col).cast("long").alias(doc)).count().where("count > 1").select(doc), "many")
+    base = docs.withColumn(doc, F.col(id_col).cast("long"))
     if many.isEmpty():
         base = base.withColumn(mark, F.lit(0).cast("long"))
     else:
-        again = many.withColumn(done, F.lit(True))
-        base = base.join(again, doc, "left").withColumn(mark, F.when(F.col(done), F.xxhash64(raw)).otherwise(F.lit(0))).drop(done)
-    keyed = base.select(F.col(doc).alias("doc"), F.col(mark).alias("mark"), F.col(raw).alias("text")).where("doc is not null").distinct() if not many.isEmpty() else (
-        base.select(F.col(doc).alias("doc"), F.col(mark).alias("mark"), F.col(raw).alias("text")).where("doc is not null")
-    )
+        base = base.join(many.withColumn(again, F.lit(True)), doc, "left")
+        base = base.withColumn(mark, F.when(F.col(again), F.xxhash64(raw)).otherwise(F.lit(0))).drop(again)
+    keyed = base.select(F.col(doc).alias("doc"), F.col(mark).alias("mark"), raw.alias("text")).where("doc is not null")
+    if not many.isEmpty():
+        keyed = keyed.distinct()
     paths = repeated_spans(keyed, k, windows_per_bucket=windows_per_bucket)
-    lists = _lists(paths.select("doc", "mark", "pos", "size"))
-    sized = stage_sized(lists.withColumn("weight", F.to_json("spans")), "lists")
-    side = sized.df.drop("weight").toDF(doc, mark, spans)
-    joined = base.join(F.broadcast(side) if sized.fits(LIMIT) else side.hint("merge"), [doc, mark], "left")
-
-    @F.pandas_udf("n_words long, n_removed long, kept string")
-    def cut(text: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        out = []
-        for one, found in zip(text, lists):
-            words = one.split()
-            n = len(words)
-            if found is not None and len(found):
-                gone = np.zeros(n + 1, np.int64)
+    lists = stage(_lists(paths.select("doc", "mark", "pos", "size")), "lists")
+    joined = base.join(lists.toDF(doc, mark, spans), [doc, mark], "left")
+
+    width, at = len(docs.columns), docs.columns.index(text_col)
+    fields = [*docs.schema.fields, T.StructField(n_words, T.LongType()), T.StructField(n_removed, T.LongType()), T.StructField(out_col, T.StringType())]
+
+    def cut(part):
+        """The columns of the documents, and what is left of their words."""
+        totals, removed, left = [], [], []
+        for text, found in zip(part.column(at).cast(pa.binary()).to_pylist(), part.column(width).to_pylist()):
+            words = text.split() if text else []
+            kept = words
+            if found:
+                gone = np.zeros(len(words) + 1, np.int64)
                 for span in found:
                     gone[span["pos"]] += 1
                     gone[span["pos"] + span["size"] + k - 1] -= 1
-                words = [w for w, g in zip(words, np.cumsum(gone).tolist()) if not g]
-            out.append((n, n - len(words), b" ".join(words).decode()))
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
-
-    cut_ = joined.withColumn(done, cut(F.col(raw), F.col(spans)))
-    return cut_.select(
-        *(F.col(f"`{c}`") for c in docs.columns), F.col(f"{done}.n_words").alias(n_words), F.col(f"{done}.n_removed").alias(n_removed),
-        F.col(f"{done}.kept").alias(out_col),
-    )
+                kept = [w for w, g in zip(words, np.cumsum(gone).tolist()) if not g]
+            totals.append(len(words))
+            removed.append(len(words) - len(kept))
+            left.append(b" ".join(kept))
+        return [
+            *part.columns[:width], pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.binary()).cast(pa.string()),
+        ]
+
+    return in_slices(joined.select(*(F.col(f"`{c}`") for c in docs.columns), spans), fields, cut)
