@@ -139,7 +139,7 @@ def tfidf_fit(spark, sf_dir):
 
 
 def _named(entries, vocabulary):
-    return entries.join(F.broadcast(vocabulary.table.df.select("term_id", "term")), "term_id")
+    return entries.join(vocabulary.table.df.select("term_id", "term"), "term_id")
 
 
 @query("f2_tfidf_transform", with_weights("SELECT sample_id, term, round(w, 6) AS w FROM w"))
@@ -299,6 +299,15 @@ def word2vec_fit(spark, sf_dir):
     return vectors.word_vectors(model)
 
 
+@query(
+    "f7_word2vec_vocabulary",
+    with_views("SELECT term AS word, 16 AS dims FROM uni WHERE split = 'train' GROUP BY term HAVING count(*) >= 5", "uni"),
+)
+def word2vec_vocabulary(spark, sf_dir):
+    """What of a fit does not depend on its random start: the words and the size of their vectors."""
+    return word2vec_fit(spark, sf_dir).select("word", F.size("vector").alias("dims"))
+
+
 _PHRASES = """w1 AS MATERIALIZED (SELECT term, count(*) AS n FROM uni WHERE split = 'train' GROUP BY term),
 nb AS MATERIALIZED (SELECT sample_id, split, pos, term AS a, lead(term) OVER (PARTITION BY sample_id ORDER BY pos) AS b FROM uni),
 w2 AS MATERIALIZED (SELECT a, b, count(*) AS n_ab FROM nb WHERE split = 'train' AND b IS NOT NULL GROUP BY ALL),

@@ -116,10 +116,14 @@ def with_hits(select, prefix, labels, extra="", needs=()):
 _HIT_COLUMNS = ", ".join(R.HIT_COLUMNS)
 
 
+def _rules(elements, legacy):
+    """Measured rule masks of the train split."""
+    return R.learn_rules(elements.where("split = 'train'"), LEGACY_RULE_LABELS if legacy else LABELS, legacy=legacy)[1]
+
+
 def _learned(spark, sf_dir, legacy):
     elements = _elements(spark, sf_dir)
-    labels = LEGACY_RULE_LABELS if legacy else LABELS
-    _, masks = R.learn_rules(elements.where("split = 'train'"), labels, legacy=legacy)
+    masks = _rules(elements, legacy)
     test = elements.where("split = 'test'")
     return test, R.rule_hits(test, masks)
 

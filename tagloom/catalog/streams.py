@@ -6,12 +6,12 @@ from ..constants import LABELS
 from ..operators.metrics import compute_metrics, threshold_scores
 from ..sources import views
 from ..staging import scratch_path, stage
-from ..streaming.prepare import read_stream, stream_counts, stream_prepare
+from ..streaming.prepare import read_stream, stream_counts, stream_prepare, stream_summary
 from ..streaming.publish import incremental_publish
 from ..streaming.refine import stream_refine
 from .evaluation import with_metrics
-from .refinement import _REFINED_SELECT, _learned, _long_refined, _scored_test, _with_refined
-from .registry import query
+from .refinement import _REFINED_SELECT, _elements, _long_refined, _rules, _scored_test, _with_refined
+from .registry import ORACLES, query
 from .views import LABEL_LIST, with_views
 
 
@@ -43,12 +43,34 @@ def _landed(table, name, parts=4):
     return path
 
 
+@query("x1_stream_summary", ORACLES["a1_prep_summary"])
+def summary_stream(spark, sf_dir):
+    return stream_summary(_raw_stream(spark, sf_dir))
+
+
+def _scored_with_text(spark, sf_dir):
+    scored = _scored_test(spark, sf_dir)
+    return scored.join(views.samples(spark, sf_dir).select("sample_id", "text"), "sample_id")
+
+
 @query("x2_stream_refine", _with_refined(_REFINED_SELECT))
 def refine_stream(spark, sf_dir):
-    _, hits = _learned(spark, sf_dir, False)
-    scored = _scored_test(spark, sf_dir)
+    rules = _rules(_elements(spark, sf_dir), False)
+    scored = _scored_with_text(spark, sf_dir)
     arrivals = read_stream(spark, _landed(scored, "landed"), scored.schema, files_per_trigger=2)
-    return _long_refined(stream_refine(arrivals, stage(hits, "hits")))
+    return _long_refined(stream_refine(arrivals, rules))
+
+
+@query("x2_stream_refine_late", _with_refined(_REFINED_SELECT))
+def refine_late_stream(spark, sf_dir):
+    """Half of the samples land after the stream has run once; it goes on where it stopped."""
+    rules = _rules(_elements(spark, sf_dir), False)
+    scored = stage(_scored_with_text(spark, sf_dir), "scored")
+    path, out, state = (scratch_path(spark, n) for n in ("landed", "refined", "stream-state"))
+    for late in (0, 1):
+        scored.where(F.col("sample_id") % 2 == late).write.mode("append").parquet(path)
+        refined = stream_refine(read_stream(spark, path, scored.schema), rules, out_path=out, checkpoint=state)
+    return _long_refined(refined)
 
 
 _RUNS = (

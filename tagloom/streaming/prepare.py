@@ -1,8 +1,6 @@
 """Streamed preparation with running counters."""
 
-from pyspark.sql import functions as F
-
-from ..operators.prep import label_by_split, prepare
+from ..operators.prep import label_by_split, prep_summary, prepare
 from ..staging import scratch_path
 
 
@@ -24,14 +22,19 @@ def start_prepare(raw_stream, out_path, checkpoint, seed=42, once=True):
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _running(table, name, checkpoint, once):
+    writer = table.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def start_counts(raw_stream, name, checkpoint, seed=42, once=True):
     """Running positives per split and label, at most 3 x 8 rows, as an in-memory table."""
-    counts = label_by_split(prepare(raw_stream, seed))
-    writer = (
-        counts.writeStream.format("memory").queryName(name)
-        .outputMode("complete").option("checkpointLocation", checkpoint)
-    )
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return _running(label_by_split(prepare(raw_stream, seed)), name, checkpoint, once)
+
+
+def start_summary(raw_stream, name, checkpoint, once=True):
+    """Running counters of processed, kept and skipped rows, one row, as an in-memory table."""
+    return _running(prep_summary(raw_stream), name, checkpoint, once)
 
 
 def stream_prepare(raw_stream, seed=42):
@@ -42,9 +45,18 @@ def stream_prepare(raw_stream, seed=42):
     return spark.read.schema(prepare(raw_stream, seed).schema).parquet(out)
 
 
-def stream_counts(raw_stream, seed=42):
-    spark = raw_stream.sparkSession
+def _finished(start, *args):
+    """Runs a counter over what has arrived and returns its table."""
+    spark = args[0].sparkSession
     state = scratch_path(spark, "stream-state")
     name = "counts_" + state.rsplit("-", 1)[1]
-    start_counts(raw_stream, name, state, seed).awaitTermination()
-    return spark.table(name).select(F.col("split"), F.col("label"), F.col("n"))
+    start(args[0], name, state, *args[1:]).awaitTermination()
+    return spark.table(name)
+
+
+def stream_counts(raw_stream, seed=42):
+    return _finished(start_counts, raw_stream, seed).select("split", "label", "n")
+
+
+def stream_summary(raw_stream):
+    return _finished(start_summary, raw_stream)
