@@ -263,12 +263,12 @@ def token_difference(spark, sf_dir):
     "j3_align_predictions",
     with_views(
         "SELECT sample_id, " + ", ".join(f"score_{l}, true_{l}" for l in LABELS)
-        + ", len(ids)::INTEGER AS n_ids FROM scored JOIN element_sets USING (sample_id) WHERE scored.split = 'test'",
+        + ", len(ids)::INTEGER AS n_ids FROM scored JOIN element_sets USING (sample_id)",
         "scored", "element_sets",
     ),
 )
 def align(spark, sf_dir):
-    rows = views.samples(spark, sf_dir).where("split = 'test'")
+    rows = views.samples(spark, sf_dir)
     scores = views.with_scores(rows).select("sample_id", *[f"score_{l}" for l in LABELS])
     sets = rules.build_elements(rows).select("sample_id", F.size("ids").alias("n_ids"))
     joined = alignment.align_predictions(scores, rows, sets)

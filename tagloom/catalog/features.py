@@ -78,11 +78,11 @@ def _index(rows, first_id=1):
 
 @query(
     "j5_vocab_lookup",
-    with_index("SELECT sample_id, (pos - 1)::INTEGER AS pos, token_id::INTEGER AS token_id FROM uni JOIN vocab_ids ON term = token WHERE split <> 'train'"),
+    with_index("SELECT sample_id, (pos - 1)::INTEGER AS pos, token_id::INTEGER AS token_id FROM uni JOIN vocab_ids ON term = token"),
 )
 def vocab_lookup(spark, sf_dir):
     rows = _tokens(spark, sf_dir)
-    return tfidf.vocab_lookup(rows.where("split <> 'train'"), _index(rows))
+    return tfidf.vocab_lookup(rows, _index(rows))
 
 
 _SEQUENCES = (
@@ -163,7 +163,7 @@ _LEGACY_TERMS = (
 @query(
     "f3_tfidf_legacy",
     with_weights(
-        "SELECT sample_id, term, round(w, 6) AS w FROM w WHERE split = 'test'",
+        "SELECT sample_id, term, round(w, 6) AS w FROM w",
         "samples", source="lterms", extra=_LEGACY_TERMS,
     ),
 )
@@ -172,7 +172,7 @@ def tfidf_legacy(spark, sf_dir):
     rows = tfidf.with_tokens(text, tokenizer=word_tokens).select("sample_id", "split", "tokens")
     rows = tfidf.with_terms(stage(rows, "tokens"))
     vocabulary = tfidf.tfidf_fit(rows.where("split = 'train'"), MAX_FEATURES)
-    entries = _named(tfidf.tfidf_entries(rows.where("split = 'test'"), vocabulary), vocabulary)
+    entries = _named(tfidf.tfidf_entries(rows, vocabulary), vocabulary)
     return entries.select("sample_id", "term", F.round("w", 6).alias("w"))
 
 
@@ -219,14 +219,14 @@ def min_p_select(spark, sf_dir):
 @query(
     "j9_select_features",
     with_chi2(
-        "SELECT sample_id, term, round(w, 6) AS w FROM w WHERE split = 'test' AND term IN (SELECT term FROM ("
+        "SELECT sample_id, term, round(w, 6) AS w FROM w WHERE term IN (SELECT term FROM ("
         + _SELECTED + ") WHERE p_value = 0.5)"
     ),
 )
 def select_features(spark, sf_dir):
     _, vocabulary, entries, moments = _fitted(spark, sf_dir)
     selected = stage_sized(tfidf.select_by_p(moments, (0.5,)).select("term_id"), "selected")
-    kept = tfidf.select_features(entries.where("split = 'test'"), selected)
+    kept = tfidf.select_features(entries, selected)
     return _named(kept, vocabulary).select("sample_id", "term", F.round("w", 6).alias("w"))
 
 

@@ -131,11 +131,12 @@ _FILLED = "coalesce(text, '')"
 @query(
     "p22_fill_missing_text",
     f"SELECT doc_id, len({code_tokens(_FILLED)})::INTEGER AS n_tokens "
-    "FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN text END AS text FROM documents)",
+    "FROM (SELECT doc_id, html AS text FROM documents LEFT JOIN pages ON doc_id = page_id)",
 )
 def fill_missing(spark, sf_dir):
-    documents = views.documents(spark, sf_dir)
-    holes = documents.select("doc_id", F.when(F.col("lang") == "en", F.col("text")).alias("text"))
+    """The page of a document's number as its text: most documents have none."""
+    pages = views.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    holes = views.documents(spark, sf_dir).select("doc_id").join(pages, "doc_id", "left")
     return holes.select("doc_id", F.size(T.code_tokens("text")).alias("n_tokens"))
 
 

@@ -10,6 +10,8 @@ Three things here keep every plan safe at scale:
 * ``number_rows`` and ``top_n`` order data without a single-task window.
 """
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
@@ -31,6 +33,7 @@ def scratch_path(spark, name):
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="tagloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)  # a local session's own folder ends with it
         context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/tagloom/{name}-{uuid.uuid4().hex}"
 
