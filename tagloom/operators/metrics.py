@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..constants import LABELS, PUBLISHED_METRICS, SCORE_GRID
+from ..staging import stage
 
 AVERAGES = ("micro", "macro", "weighted", "samples")
 PRF = ("precision", "recall", "f1")
@@ -176,28 +177,34 @@ def metric_delta_report(before, after):
     )
 
 
-AUROC_BINS = 255
+AUROC_ROWS_PER_BIN = 50_000
+AUROC_MOST_BINS = 8_192
 
 
-def auroc_by_label(table, labels=LABELS, score="score_", true="true_"):
+def auroc_by_label(table, labels=LABELS, score="score_", true="true_", rows_per_bin=AUROC_ROWS_PER_BIN):
     """Area under the ROC curve per label, null when a label has one class only.
 
-    Equal scores are added up first.  The distinct scores of all labels are cut
-    into bins of like size, so that the running sums inside a (label, bin) and
-    over the bins of a label are both bounded; no task ranks a whole label.
+    Equal scores are added up first.  The distinct scores of all labels, whose
+    number is measured, are cut into bins of about ``rows_per_bin``, so that the
+    running sums inside a (label, bin) and over the bins of a label are both
+    bounded; no task ranks a whole label.
     """
     rows = [(f"'{l}'", f"cast({score}{l} AS double)", f"{true}{l}") for l in labels]
     long = table.selectExpr(stack(("label", "s", "y"), *rows))
-    counts = long.groupBy("label", "s").agg(
-        F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg")
+    counts = stage(
+        long.groupBy("label", "s").agg(
+            F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg")
+        ),
+        "score-counts",
     )
-    shares = [i / (AUROC_BINS + 1) for i in range(1, AUROC_BINS + 1)]
-    cuts = counts.agg(F.percentile_approx("s", shares, 10000).alias("c")).first()["c"] or []
+    n_bins = min(AUROC_MOST_BINS, max(16, counts.count() // rows_per_bin))
+    shares = [i / n_bins for i in range(1, n_bins)]
+    cuts = counts.agg(F.percentile_approx("s", shares, 40 * n_bins).alias("c")).first()["c"] or []
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     if len(splits) < 3:
         splits = [float("-inf"), 0.5, float("inf")]
     binned = Bucketizer(splits=splits, inputCol="s", outputCol="bin").transform(counts)
-    # at most labels x (AUROC_BINS + 1) rows
+    # at most labels x AUROC_MOST_BINS rows
     bins = binned.groupBy("label", "bin").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     over_bins = Window.partitionBy("label").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     below = bins.select("label", "bin", F.coalesce(F.sum("bn").over(over_bins), F.lit(0.0)).alias("neg_below"))
