@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from ..constants import LABELS, PUBLISHED_METRICS, SCORE_GRID
 from ..operators import metrics as M
-from ..sources import views
-from .registry import query
+from ..sources import views, writers
+from ..staging import scratch_path
+from .registry import ORACLES, query
 from .views import with_views
 
 
@@ -135,6 +136,15 @@ def classification_report(spark, sf_dir):
     return report.select("name", *[F.round(k, 6).alias(k) for k in _NAMES], "support")
 
 
+@query("k3_write_report_json", ORACLES["e10_classification_report"])
+def write_report(spark, sf_dir):
+    report = M.classification_report(_predictions(spark, sf_dir)).select("name", *_NAMES, "support")
+    lines = spark.read.text(writers.write_report_json(report, scratch_path(spark, "report")))
+    entry = "struct<" + ", ".join(f"{k}: double" for k in _NAMES) + ", support: bigint>"
+    rows = lines.select(F.explode(F.from_json("value", f"map<string, {entry}>")).alias("name", "v"))
+    return rows.select("name", *[F.round(f"v.{k}", 6).alias(k) for k in _NAMES], "v.support")
+
+
 @query(
     "a11_confusion_by_label",
     with_metrics("SELECT label, tp::BIGINT AS tp, (pp - tp)::BIGINT AS fp, (tt - tp)::BIGINT AS fn, (n - pp - tt + tp)::BIGINT AS tn FROM by_label"),
@@ -227,6 +237,16 @@ def threshold_grid(spark, sf_dir):
     return long.select("threshold", "metric", F.round("value", 6).alias("value"))
 
 
+@query("k4_write_threshold_search", ORACLES["m6_score_threshold_search"])
+def write_threshold_search(spark, sf_dir):
+    path = scratch_path(spark, "search")
+    writers.write_predictions(M.threshold_grid(_predictions(spark, sf_dir).where("split = 'val'")), path, "csv")
+    rows = spark.read.option("header", True).csv(path)
+    numbers = rows.select(*[F.col(c).cast("double").alias(c) for c in rows.columns])
+    long = M.to_long(numbers, M.metric_columns(), ("threshold",))
+    return long.select("threshold", "metric", F.round("value", 6).alias("value"))
+
+
 @query(
     "w4_best_threshold",
     with_metrics(

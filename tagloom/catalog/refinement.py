@@ -6,8 +6,8 @@ from ..constants import FIELDS, LABELS, LEGACY_RULE_LABELS
 from ..operators import rules as R
 from ..operators.alignment import dump_nodes, split_prediction_table
 from ..plans.refinement import LEGACY_CONFIG, RefinementConfig, run_aligned_refinement, run_refinement
-from ..sources import views
-from ..staging import stage
+from ..sources import views, writers
+from ..staging import scratch_path, stage
 from .evaluation import metric_ctes, metric_rows
 from .registry import query
 from .views import with_views
@@ -75,6 +75,28 @@ _rule_query("r5_build_rule_table", False)
 _rule_query("r5_build_rule_table_legacy", True)
 
 
+@query(
+    "r4_infreq_stat_by_field",
+    with_views("SELECT label, field, polarity, token, round(ratio, 6) AS ratio FROM notebook_rules", "notebook"),
+)
+def capped_rules(spark, sf_dir):
+    """With the cap of each field that the interactive version of the rules has."""
+    freqs = R.prevalence_by_universe(_train(spark, sf_dir), LEGACY_RULE_LABELS)
+    return _round(R.build_rule_table(freqs, LEGACY_RULE_LABELS, legacy=True, caps=R.NOTEBOOK_CAPS), "ratio")
+
+
+@query(
+    "k3_write_rule_table",
+    with_views(
+        "SELECT '{\"field\":\"' || field || '\",\"label\":\"' || label || '\",\"polarity\":\"' || polarity || '\",\"token\":\"' || token || '\"}' AS value FROM lib_rules",
+        "lib",
+    ),
+)
+def write_rule_table(spark, sf_dir):
+    table = _rules(_train(spark, sf_dir), False).select("label", "field", "polarity", "token")
+    return spark.read.text(writers.write_rule_table(table, scratch_path(spark, "rule-table")))
+
+
 @query(
     "w3_rank_ratio",
     with_views(
@@ -116,14 +138,14 @@ def with_hits(select, prefix, labels, extra="", needs=()):
 _HIT_COLUMNS = ", ".join(R.HIT_COLUMNS)
 
 
-def _rules(elements, legacy):
+def _masks(elements, legacy):
     """Measured rule masks of the train split."""
     return R.learn_rules(elements.where("split = 'train'"), LEGACY_RULE_LABELS if legacy else LABELS, legacy=legacy)[1]
 
 
 def _learned(spark, sf_dir, legacy):
     elements = _elements(spark, sf_dir)
-    masks = _rules(elements, legacy)
+    masks = _masks(elements, legacy)
     test = elements.where("split = 'test'")
     return test, R.rule_hits(test, masks)
 

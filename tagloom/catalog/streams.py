@@ -10,7 +10,7 @@ from ..streaming.prepare import read_stream, stream_counts, stream_prepare, stre
 from ..streaming.publish import incremental_publish
 from ..streaming.refine import stream_refine
 from .evaluation import with_metrics
-from .refinement import _REFINED_SELECT, _elements, _long_refined, _rules, _scored_test, _with_refined
+from .refinement import _REFINED_SELECT, _elements, _long_refined, _masks, _scored_test, _with_refined
 from .registry import ORACLES, query
 from .views import LABEL_LIST, with_views
 
@@ -55,7 +55,7 @@ def _scored_with_text(spark, sf_dir):
 
 @query("x2_stream_refine", _with_refined(_REFINED_SELECT))
 def refine_stream(spark, sf_dir):
-    rules = _rules(_elements(spark, sf_dir), False)
+    rules = _masks(_elements(spark, sf_dir), False)
     scored = _scored_with_text(spark, sf_dir)
     arrivals = read_stream(spark, _landed(scored, "landed"), scored.schema, files_per_trigger=2)
     return _long_refined(stream_refine(arrivals, rules))
@@ -64,7 +64,7 @@ def refine_stream(spark, sf_dir):
 @query("x2_stream_refine_late", _with_refined(_REFINED_SELECT))
 def refine_late_stream(spark, sf_dir):
     """Half of the samples land after the stream has run once; it goes on where it stopped."""
-    rules = _rules(_elements(spark, sf_dir), False)
+    rules = _masks(_elements(spark, sf_dir), False)
     scored = stage(_scored_with_text(spark, sf_dir), "scored")
     path, out, state = (scratch_path(spark, n) for n in ("landed", "refined", "stream-state"))
     for late in (0, 1):

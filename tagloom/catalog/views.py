@@ -3,6 +3,7 @@
 from ..constants import LABELS, LEGACY_RULE_LABELS
 from ..functions.labels import ALIASES
 from ..functions.text import SPACE_CLASS, SPACE_POINTS
+from ..operators.rules import NOTEBOOK_CAPS
 from ..sources.views import CATEGORIES
 
 SPACES = "||".join(f"chr({p})" for p in SPACE_POINTS)
@@ -217,10 +218,12 @@ def prevalence_views(labels, prefix, by_universe):
     )
 
 
-def rules_view(prefix, legacy, threshold=1.5):
+def rules_view(prefix, legacy, threshold=1.5, caps=None, name=None):
+    """Rules of <prefix>_other as <name>_rules; ``caps`` by field replace the one cap of the lowest other frequency."""
     if legacy:
         pos = "CASE WHEN max_other <> 0 THEN freq / max_other WHEN freq <> 0 THEN 1000.0 ELSE 0.0 END"
-        low = "least(10000.0, min_other)"
+        cap = "10000.0" if caps is None else "CASE field " + " ".join(f"WHEN '{f}' THEN {c}" for f, c in caps.items()) + " END"
+        low = f"least({cap}, min_other)"
         neg = f"CASE WHEN {low} <> 0 AND freq <> 0 THEN {low} / freq WHEN {low} <> 0 THEN 1000.0 ELSE 0.0 END"
         keep_pos, keep_neg = f"({pos}) > {threshold}", f"({neg}) > {threshold}"
     else:
@@ -229,13 +232,14 @@ def rules_view(prefix, legacy, threshold=1.5):
         keep_pos = f"CASE WHEN max_other > 0 THEN freq / max_other > {threshold} ELSE freq > 0 END"
         keep_neg = f"CASE WHEN freq > 0 THEN min_other / freq > {threshold} ELSE min_other > 0 END"
     return (
-        f"{prefix}_rules AS MATERIALIZED (SELECT label, field, 'pos' AS polarity, token, {pos} AS ratio FROM {prefix}_other WHERE {keep_pos} "
+        f"{name or prefix}_rules AS MATERIALIZED (SELECT label, field, 'pos' AS polarity, token, {pos} AS ratio FROM {prefix}_other WHERE {keep_pos} "
         f"UNION ALL SELECT label, field, 'neg', token, {neg} FROM {prefix}_other WHERE {keep_neg})"
     )
 
 
 VIEWS["lib"] = (("element_tokens",), prevalence_views(LABELS, "lib", False) + ",\n" + rules_view("lib", False))
 VIEWS["leg"] = (("element_tokens",), prevalence_views(LEGACY_RULE_LABELS, "leg", True) + ",\n" + rules_view("leg", True))
+VIEWS["notebook"] = (("leg",), rules_view("leg", True, caps=NOTEBOOK_CAPS, name="notebook"))
 
 
 def with_views(select, *names):
