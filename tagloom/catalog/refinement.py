@@ -10,7 +10,7 @@ from ..sources import views, writers
 from ..staging import scratch_path, stage
 from .evaluation import metric_ctes, metric_rows
 from .registry import query
-from .views import with_views
+from .views import call_names, calls, split_identifier, with_views
 
 
 def _elements(spark, sf_dir, labels=LABELS):
@@ -291,14 +291,21 @@ def run_enhanced(spark, sf_dir):
     return _gain(out)
 
 
-@query("r12_run_enhanced_legacy", _with_refined(_GAIN, legacy=True, threshold=0.3, extra=_RUN_METRICS))
+def _of_cells(sql):
+    """The same over token sets from node cells, in which keywords before a bracket are calls too."""
+    every = "list_distinct(" + split_identifier("array_to_string(" + call_names("text") + ", ' ')") + ")"
+    assert calls("text") in sql
+    return sql.replace(calls("text"), every)
+
+
+@query("r12_run_enhanced_legacy", _of_cells(_with_refined(_GAIN, legacy=True, threshold=0.3, extra=_RUN_METRICS)))
 def run_enhanced_legacy(spark, sf_dir):
     rows = views.samples(spark, sf_dir)
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     return _gain(run_refinement(train, test, _scored_test(spark, sf_dir), LEGACY_CONFIG))
 
 
-@query("r13_run_aligned_enhanced", _with_refined(_GAIN, legacy=True, threshold=0.3, extra=_RUN_METRICS))
+@query("r13_run_aligned_enhanced", _of_cells(_with_refined(_GAIN, legacy=True, threshold=0.3, extra=_RUN_METRICS)))
 def run_aligned(spark, sf_dir):
     rows = views.samples(spark, sf_dir)
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")

@@ -8,7 +8,7 @@ from tagloom.constants import LABELS
 from tagloom.functions.labels import ALIASES, assign_split, label_columns, label_mask
 from tagloom.operators import prep
 from tagloom.sources.readers import scan_predictions, scan_raw_csv
-from tagloom.staging import number_rows, number_within, top_n
+from tagloom.staging import lookup_join, number_rows, number_within, stage_sized, top_n
 
 
 def spec_labels(raw):
@@ -99,7 +99,7 @@ def test_tables_without_a_key(spark, tmp_path):
         scan_predictions(spark, str(tmp_path))
 
 
-def test_numbering_and_top_n(spark):
+def test_numbering_and_top_n(spark, monkeypatch):
     rows = spark.range(0, 1000, 1, 7).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 10).alias("k"))
     numbered = number_rows(rows, [F.desc("k"), F.col("id")], "n", start=0).collect()
     expected = sorted(((-(i % 10), i) for i in range(1000)))
@@ -109,6 +109,19 @@ def test_numbering_and_top_n(spark):
     top = top_n(rows, 137, -F.col("k"), [F.desc("k"), F.col("id")]).collect()
     assert [r.id for r in top] == [i for _, i in expected[:137]]
     assert top_n(rows, 5000, -F.col("k"), ["id"]).count() == 1000
+    monkeypatch.setattr("tagloom.staging.TOP_IN_ONE_TASK", 10)
+    assert {r.id for r in top_n(rows, 137, -F.col("k"), [F.desc("k"), F.col("id")]).collect()} == {i for _, i in expected[:137]}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_hot_keys_are_joined_like_others(spark, how):
+    """Over the limit, with one key that holds half of the rows and one that the looked-up side lacks."""
+    big = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"))
+    small = stage_sized(spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v")))
+    want = sorted(map(tuple, big.join(small.df, "k", how).collect()), key=repr)
+    for hot_rows in (1 << 30, 500, 7):
+        got = lookup_join(big, small, "k", spread=["id"], how=how, limit=0, hot_rows=hot_rows)
+        assert sorted(map(tuple, got.collect()), key=repr) == want
 
 
 @pytest.mark.parametrize("n", [None, 0, 17, 5000])
