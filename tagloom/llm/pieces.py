@@ -21,9 +21,9 @@ from tagloom.llm.common import fresh
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 BYTE_SYMBOL = 0xE000  # inside the encoder only: a character outside the vocabulary is its UTF-8 bytes
-CHARS_AT_ONCE = 1 << 19
+CHARS_AT_ONCE = 1 << 18
 ROWS_AT_ONCE = 1024
-ARCS_KEPT = 4_000_000
+ARCS_KEPT = 3_000_000
 
 
 @dataclass(frozen=True)
