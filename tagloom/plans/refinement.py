@@ -2,8 +2,6 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import functions as F
-
 from ..constants import FIELDS, LABELS, LEGACY_RULE_LABELS
 from ..operators.alignment import align_predictions, file_elements, validate_alignment, with_file_elements
 from ..operators.metrics import classification_report, compute_metrics, metric_delta_report
