@@ -23,7 +23,7 @@ SPACE = "▁"
 BYTE_SYMBOL = 0xE000  # inside the encoder only: a character outside the vocabulary is its UTF-8 bytes
 CHARS_AT_ONCE = 1 << 18
 ROWS_AT_ONCE = 1024
-ARCS_KEPT = 3_000_000
+ARCS_KEPT = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -156,25 +156,25 @@ class Lattices:
 
     def __init__(self, vocabulary, sharpness):
         self.trie, self.log_weight = vocabulary.trie, vocabulary.log_weights(sharpness)
+        room = ARCS_KEPT + ARCS_KEPT // 4
+        self.bound, self.piece, self.origin = np.empty(room), np.empty(room, np.int32), np.empty(room, np.int32)
         self.clear()
 
     def clear(self):
+        """Forget all units; the tables keep their memory."""
         self.last, self.nodes, self.arcs = {}, 0, 0
-        self.bound, self.piece, self.origin = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _append(self, **columns):
-        """Add arcs to the tables, which grow by half when they are full."""
-        added = len(columns["bound"])
-        if self.arcs + added > len(self.bound):
-            room = max(3 * len(self.bound) // 2, self.arcs + added)
+        """Add arcs to the tables, which are made for the arcs kept and grow only for a larger single addition."""
+        arcs = self.arcs + len(columns["bound"])
+        if arcs > len(self.bound):
             for name in columns:
-                old = getattr(self, name)
-                grown = np.empty(room, old.dtype)
-                grown[: self.arcs] = old[: self.arcs]
+                grown = np.empty(arcs, getattr(self, name).dtype)
+                grown[: self.arcs] = getattr(self, name)[: self.arcs]
                 setattr(self, name, grown)
         for name, values in columns.items():
-            getattr(self, name)[self.arcs : self.arcs + added] = values
-        self.arcs += added
+            getattr(self, name)[self.arcs : arcs] = values
+        self.arcs = arcs
 
     def add(self, units):
         """Forward-filter new units, all together; sums of weights are kept as logs."""
