@@ -130,13 +130,18 @@ def memberships(docs, classifier, id_col="doc_id", text_col="text"):
     return raised.select("id", "mark", "tokens", "rows", *((F.col(f"e_{k}") / whole).alias(f"p_{k}") for k in domains))
 
 
-def fit_rates(members, domains, targets, max_rate=None, goal=None, tolerance=1e-3, most_steps=60, steps_per_table=8):
+def fit_rates(members, domains, targets, max_rate=None, goal=None, anchor=None, tolerance=1e-3, most_steps=60, steps_per_table=8):
     """``members`` with a rate per row: expected domain totals of tokens as near to the targets as they get.
 
     ``targets`` maps domains to weights, which are normalised; a domain without
     one has weight 0.  The targets are these shares of ``goal`` tokens: all
-    tokens, or with ``max_rate`` no more than every domain can give.  From rate
-    1, each step lowers the sum over domains of (total - target)^2 / current
+    tokens, or with ``max_rate`` no more than every domain can give.  With
+    ``max_rate`` and an ``anchor``, all that this domain can give is its share of
+    the goal, and a domain that cannot reach its own share only has it as an
+    upper bound: it falls short and has no part in the sum below, so its
+    scarcity lowers no rate.  An anchor that no labelled row has is an error.
+
+    From rate 1, each step lowers the sum over domains of (total - target)^2 / current
     total along its gradient and clips at 0 and ``max_rate``.  That scaling makes
     a length of 1 safe and treats large and small domains alike; later lengths
     follow the curvature that the last step met.  A step is
@@ -152,6 +157,14 @@ def fit_rates(members, domains, targets, max_rate=None, goal=None, tolerance=1e-
     now = [totals[f"t_{k}"] or 0.0 for k in count]
     asked = [max(0.0, targets.get(d, 0.0)) for d in domains]
     share = [a / (sum(asked) or 1.0) for a in asked]
+    scarce = [False] * len(domains)
+    if anchor is not None:
+        if max_rate is None or goal is not None:
+            raise ValueError("an anchor sets the goal of rates with a bound")
+        if anchor not in domains or not share[domains.index(anchor)]:
+            raise ValueError(f"no labelled row or no target for the anchor {anchor!r}")
+        goal = max_rate * now[domains.index(anchor)] / share[domains.index(anchor)]
+        scarce = [d != anchor and max_rate * t <= goal * s for d, t, s in zip(domains, now, share)]
     if goal is None:
         goal = sum(now)
         if max_rate is not None:
@@ -161,7 +174,7 @@ def fit_rates(members, domains, targets, max_rate=None, goal=None, tolerance=1e-
     for _ in range(most_steps):
         moved = F.sum(weight * (rate - before) * (rate - before)).alias("moved")
         got = state.agg(moved, *(F.sum(weight * rate * F.col(f"p_{k}")).alias(f"t_{k}") for k in count)).first()
-        off = [(got[f"t_{k}"] or 0.0) - w for k, w in zip(count, wanted)]
+        off = [0.0 if scarce[k] else (got[f"t_{k}"] or 0.0) - w for k, w in zip(count, wanted)]
         if all(abs(o) <= tolerance * max(w, goal / len(domains) * tolerance) for o, w in zip(off, wanted)):
             break
         if last:

@@ -1,5 +1,6 @@
 import math
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,39 @@ def test_rates_meet_the_targets(spark, max_rate):
     assert max_rate or np.abs(rate - best).max() < 0.05  # at the bound many rates meet the targets as well
 
 
+def test_a_scarce_domain_lowers_no_clean_rate(spark):
+    """0.1 % toxic rows: they stay, clean rows stay, only the ample domain is lowered to its share of the clean tokens."""
+    kinds = ["toxic" if i < 2 else "low" if i < 300 else "clean" for i in range(2000)]
+    rows = [(i, i, 10, 1, *(1.0 if k == d else 0.0 for d in ("clean", "low", "toxic"))) for i, k in enumerate(kinds)]
+    members = spark.createDataFrame(rows, "id long, mark long, tokens long, rows long, p_0 double, p_1 double, p_2 double")
+    out = mixing.fit_rates(members, ("clean", "low", "toxic"), MIX, max_rate=1.0, anchor="clean").collect()
+    rates = {d: [r["rate"] for r in out if kinds[r["id"]] == d] for d in MIX}
+    assert set(rates["clean"]) == set(rates["toxic"]) == {1.0}
+    assert math.isclose(sum(rates["low"]) / len(rates["clean"]), 0.04 / 0.94, rel_tol=2e-3)
+
+
+@pytest.mark.parametrize("shares", [[0.869, 0.13, 0.001], [0.989, 0.01, 0.001], [0.7, 0.001, 0.299]])
+def test_stage_keeps_clean_documents(spark, sf_dir, monkeypatch, shares):
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}" for a in "abcde" for b in "klmnopqr"]
+    kinds = np.repeat(["clean", "low", "toxic"], [round(3000 * s) for s in shares]).tolist()
+    texts = [rng.permutation(words).tolist() for _ in kinds]  # so only the marks of a domain tell
+    texts = [[w.upper() + "!!" for w in t] if k == "low" else t + ["nasty", "vile"] if k == "toxic" else t for k, t in zip(kinds, texts)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", len(" ".join(t))) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame(list(enumerate(kinds)), "doc_id long, domain string")
+    monkeypatch.setattr(corpus_pipeline, "labelled_domains", lambda *_: labels)
+    kept = [kinds[r["doc_id"]] for r in corpus_pipeline.source_mixing(spark, docs, sf_dir).select("doc_id").collect()]
+    assert kept.count("clean") >= 0.99 * kinds.count("clean")
+    for kind, share in MIX.items():
+        assert kind == "clean" or kept.count(kind) <= 1.6 * share / MIX["clean"] * kinds.count("clean") + 3
+
+
+def test_an_anchor_without_labels_is_an_error(spark):
+    members = spark.createDataFrame([(1, 1, 10, 1, 1.0)], "id long, mark long, tokens long, rows long, p_0 double")
+    with pytest.raises(ValueError, match="clean"):
+        mixing.fit_rates(members, ("toxic",), MIX, max_rate=1.0, anchor="clean")
+
+
 def test_take_has_the_rate_as_mean(spark):
     frame = spark.range(20000).withColumn("rate", F.lit(1.3)).select(mixing.take(F.col("rate"), "id").alias("n"))
     counts = {r["n"]: r["count"] for r in frame.groupBy("n").count().collect()}
