@@ -3,10 +3,12 @@
 A window of k words is an edge from its first k - 1 words to its last.  Windows
 are dealt to partitions by their minimizer, the least hash of the short shingles
 inside, so neighbouring windows mostly stay together and equal windows always
-do.  A partition finds the edges that repeat across documents, names each by the
-coordinates of its first occurrence, and compacts stretches that follow the same
-source without a branch.  Stretches are glued across partitions, and the words
-at both coordinates are compared before anything is removed.
+do.  A bucket with over twice the windows aimed at is dealt again by the hash of
+the whole window, where equal windows still meet.  A partition finds the edges
+that repeat across documents, names each by the coordinates of its first
+occurrence, and compacts stretches that follow the same source without a branch.
+Stretches are glued across partitions, and the words at both coordinates are
+compared before anything is removed.
 """
 
 import numpy as np
@@ -70,8 +72,11 @@ def _sliding_min(values, n):
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def windows(texts, k, seed):
-    """(text number, position, hash, second hash, minimizer) of all windows of a list of byte texts."""
+def windows(texts, k, seed, hashes=True):
+    """(text number, position, hash, second hash, minimizer) of all windows of a list of byte texts.
+
+    Both hashes are empty unless ``hashes``.
+    """
     split = [t.split() for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
     total = int(sizes.sum())
@@ -81,14 +86,16 @@ def windows(texts, k, seed):
     digest = xxhash.xxh64_intdigest
     words = np.fromiter((digest(w) for one in split for w in one), np.uint64, total)
     del split
-    first = _sequence_hash(words, k, seed)
-    second = _sequence_hash(words, k, seed + 0x5DEECE66D)
+    first = _sequence_hash(words, k, seed) if hashes else None
+    second = _sequence_hash(words, k, seed + 0x5DEECE66D) if hashes else None
     shingle = min(SHINGLE, k)
     minimizer = _sliding_min(_sequence_hash(words, shingle, 7), k - shingle + 1)
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(texts)), sizes)[: total - k + 1]
     place = np.arange(total - k + 1)
     inside = place + k <= ends[owner]
+    if not hashes:
+        return owner[inside], (place - (ends - sizes)[owner])[inside], empty, empty, minimizer[inside]
     return owner[inside], (place - (ends - sizes)[owner])[inside], first[inside], second[inside], minimizer[inside]
 
 
@@ -110,14 +117,50 @@ def _compact(doc, mark, pos, src_doc, src_mark, src_pos):
     return doc[heads], mark[heads], pos[heads], sizes, src_doc[heads], src_mark[heads], src_pos[heads]
 
 
-def _mapper(k, buckets, seed, wide, bits):
+def _slices(batch):
+    """The rows of a batch by about BYTES_AT_ONCE of text."""
+    part = batch["text"].str.len().cumsum().to_numpy() // BYTES_AT_ONCE
+    for low in np.unique(part):
+        yield batch[part == low]
+
+
+def _counter(k, buckets, seed):
+    """(bucket, n): windows of the documents of a task by bucket, as the mapper deals them at first."""
+
+    def run(batches):
+        for batch in batches:
+            for frame in _slices(batch):
+                minimizer = windows(frame["text"].tolist(), k, seed, hashes=False)[4]
+                bucket, n = np.unique((_mix(minimizer) % np.uint64(buckets)).astype(np.int64), return_counts=True)
+                yield pd.DataFrame({"bucket": bucket, "n": n})
+
+    return run
+
+
+def hot_buckets(keyed, k, buckets, seed, windows_per_bucket):
+    """Bucket → parts of about ``windows_per_bucket`` windows, of buckets with over twice as many."""
+    counted = keyed.select("text").mapInPandas(_counter(k, buckets, seed), "bucket long, n long")
+    hot = counted.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * windows_per_bucket)
+    return {r["bucket"]: -(-r["n"] // windows_per_bucket) for r in hot.collect()}
+
+
+def _mapper(k, deal, seed, wide, bits):
     """Windows of the documents of a task, packed by bucket.
 
+    ``deal`` is the number of buckets and the parts of hot ones, which are dealt to
+    as many buckets of their own, after all others, by the hash of the whole window.
+
     Windows that repeat within a batch are settled there: of equal ones only
     those of the smallest document go on, so a window that very many documents
     share reaches its bucket once per batch.
     """
 
+    buckets, hot = deal
+    split = np.zeros(buckets, np.int64)
+    for b, parts in hot.items():
+        split[b] = parts
+    moved = buckets + np.cumsum(split) - split  # the first part of a hot bucket
+
     def settle(frame):
         frame = frame.sort_values(["doc", "mark"], kind="stable")
         docs, marks = frame["doc"].to_numpy(np.int64), frame["mark"].to_numpy(np.int64)
@@ -143,6 +186,10 @@ def _mapper(k, buckets, seed, wide, bits):
             put(int(docs[here[0]] % buckets), 1, spans)
         open_ = np.flatnonzero(~later)
         bucket = (_mix(minimizer[open_]) % np.uint64(buckets)).astype(np.int64)
+        if hot:
+            parts = split[bucket]
+            part = (_mix(first[open_]) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64)
+            bucket = np.where(parts > 0, moved[bucket] + part, bucket)
         order = np.argsort(bucket, kind="stable")
         open_, bucket = open_[order], bucket[order]
         edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(open_) else [0]
@@ -157,10 +204,7 @@ def _mapper(k, buckets, seed, wide, bits):
 
     def run(batches):
         for batch in batches:
-            size = batch["text"].str.len().cumsum().to_numpy()
-            part = size // BYTES_AT_ONCE
-            for low in np.unique(part):
-                yield settle(batch[part == low])
+            yield from map(settle, _slices(batch))
 
     return run
 
@@ -248,9 +292,10 @@ def repeated_spans(keyed, k=13, seed=42, windows_per_bucket=1_000_000, bits=64):
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), count // windows_per_bucket)
     # so many hash bits that a pair of different windows with one hash is unlikely in the whole corpus
     wide = max(0, -(-(2 * count.bit_length() + 8 - 64) // 8))
+    hot = hot_buckets(keyed, k, buckets, seed, windows_per_bucket)  # minimizers do not depend on the seed
     while True:
         spans = (
-            keyed.mapInPandas(_mapper(k, buckets, seed, wide, bits), PACKED)
+            keyed.mapInPandas(_mapper(k, (buckets, hot), seed, wide, bits), PACKED)
             .groupBy("bucket").applyInPandas(_reducer(wide), SPANS)
         )
         paths = stage(

@@ -59,6 +59,28 @@ def test_like_by_hand(spark, monkeypatch, seed, k, options):
     assert run(frame, k=k, **options) == by_hand(rows, k)
 
 
+def test_a_run_that_most_documents_share(spark):
+    """Windows that straddle one common run, with other words around it, do not all meet in one group."""
+    rng = random.Random(6)
+    runs = [[f"c{i}", "rights", "are", "reserved"] for i in range(3000)]
+    common = min(runs, key=lambda r: debruijn.windows([" ".join(r).encode()], 4, 42)[4][0])  # a run of a low hash
+    rows = [
+        (i, " ".join([f"a{rng.randrange(99999)}" for _ in range(12)] + common + [f"b{rng.randrange(99999)}" for _ in range(12)]))
+        for i in range(600)
+    ]
+    rows += [(600 + i, text) for i, (_, text) in enumerate(rows[:30])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = frame.selectExpr("doc_id AS doc", "0L AS mark", "CAST(text AS binary) AS text")
+    largest = {}
+    for per in (500, 10**6):
+        hot = debruijn.hot_buckets(keyed, 13, 16, 42, per)
+        packed = keyed.mapInPandas(debruijn._mapper(13, (16, hot), 42, 0, 64), debruijn.PACKED).where("kind = 0")
+        sizes = packed.selectExpr("bucket", "length(first) / 8 AS n").groupBy("bucket").sum("n").collect()
+        largest[per] = max(n for _, n in sizes)
+    assert largest[10**6] > 5000 and largest[500] <= 1000
+    assert run(frame, windows_per_bucket=500) == by_hand(rows)
+
+
 def test_edge_table(edge_docs, no_docs):
     for docs in (edge_docs, no_docs):
         rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
