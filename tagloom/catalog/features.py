@@ -292,11 +292,14 @@ def doc_vector(spark, sf_dir):
     return _dims(means.select("sample_id", vectors.vector_to_array("doc_vector").alias("v")), ["sample_id"], "v")
 
 
+def _word_vectors(spark, sf_dir, **settings):
+    rows = _tokens(spark, sf_dir).where("split = 'train'")
+    return vectors.word_vectors(vectors.word2vec_fit(rows, **settings))
+
+
 @query("f7_word2vec_fit")
 def word2vec_fit(spark, sf_dir):
-    rows = _tokens(spark, sf_dir).where("split = 'train'")
-    model = vectors.word2vec_fit(rows, vector_size=16, window=5, min_count=5, epochs=1)
-    return vectors.word_vectors(model)
+    return _word_vectors(spark, sf_dir)
 
 
 @query(
@@ -304,7 +307,17 @@ def word2vec_fit(spark, sf_dir):
     with_views("SELECT term AS word, 16 AS dims FROM uni WHERE split = 'train' GROUP BY term HAVING count(*) >= 5", "uni"),
 )
 def word2vec_vocabulary(spark, sf_dir):
-    """What of a fit does not depend on its random start: the words and the size of their vectors."""
+    """What of a fit does not depend on its random start: the words and the size of their vectors; a small fit."""
+    found = _word_vectors(spark, sf_dir, vector_size=16, window=5, min_count=5, epochs=1)
+    return found.select("word", F.size("vector").alias("dims"))
+
+
+@query(
+    "f7_word2vec_whole_vocabulary",
+    with_views("SELECT term AS word, 100 AS dims FROM uni WHERE split = 'train' GROUP BY term", "uni"),
+)
+def word2vec_whole_vocabulary(spark, sf_dir):
+    """The same of the fit at the operator's defaults."""
     return word2vec_fit(spark, sf_dir).select("word", F.size("vector").alias("dims"))
 
 

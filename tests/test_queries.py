@@ -8,6 +8,7 @@ from compare import compare, duck
 
 import __spark_entry__ as entry
 from tagloom.catalog import ORACLES, QUERIES
+from tagloom.operators import vectors
 
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query(spark, sf_dir, name):
@@ -21,3 +22,13 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) < set(entry.queries()) and set(QUERIES) <= set(entry.queries())
     # iterative fits; their fixed parts and closed-form counterparts have queries with SQL
     assert set(QUERIES) - set(ORACLES) == {"f7_word2vec_fit", "m3_binary_relevance", "m4_classifier_chain", "m7_train_doc_classifier"}
+
+
+def test_word_vectors_at_the_defaults(spark, sf_dir, monkeypatch):
+    fits = []
+    real = vectors.word2vec_fit
+    monkeypatch.setattr(vectors, "word2vec_fit", lambda rows, **given: fits.append((given, real(rows, **given))) or fits[-1][1])
+    for name in ("f7_word2vec_fit", "m7_train_doc_classifier"):
+        QUERIES[name](spark, sf_dir).count()
+        given, model = fits.pop()
+        assert not given and model.getVectorSize() == 100 and model.getMinCount() == 1 and model.getMaxIter() == 10
