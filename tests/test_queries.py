@@ -7,7 +7,7 @@ import pytest
 from compare import compare, duck
 
 import __spark_entry__ as entry
-from tagloom.catalog import ORACLES, QUERIES
+from tagloom.catalog import ORACLES, QUERIES, models
 from tagloom.operators import vectors
 
 @pytest.mark.parametrize("name", list(ORACLES))
@@ -32,3 +32,11 @@ def test_word_vectors_at_the_defaults(spark, sf_dir, monkeypatch):
         QUERIES[name](spark, sf_dir).count()
         given, model = fits.pop()
         assert not given and model.getVectorSize() == 100 and model.getMinCount() == 1 and model.getMaxIter() == 10
+
+
+def test_classifiers_see_every_component(spark, sf_dir):
+    for name in ("m3_binary_relevance_gaussian", "m4_classifier_chain_gaussian"):
+        assert "embedding[64]" in ORACLES[name + "_whole"]
+    rows = models._vector_rows(spark, sf_dir)
+    width = duck(sf_dir).execute("SELECT max(len(embedding)) FROM embeddings").fetchone()[0]
+    assert {len(r["features"]) for r in rows.select("features").collect()} == {width}
