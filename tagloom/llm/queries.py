@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat, debruijn, imatch, langid, metric, mixing, pieces, secrets, simhash, templates
+from tagloom.llm import chat, collocations, debruijn, imatch, langid, metric, mixing, pieces, secrets, simhash, templates
 from tagloom.llm.common import table
 
 QUERIES = {}
@@ -161,3 +161,44 @@ def op2_source_mixing(spark, sf_dir):
     rates = mixing.fit_rates(members, classifier.domains, MIX)
     posteriors = [F.col(f"p_{k}").alias(f"p_{d}") for k, d in sorted(enumerate(classifier.domains), key=lambda x: x[1])]
     return rates.select(F.col("id").alias("doc_id"), "tokens", *posteriors, "rate", mixing.take(F.col("rate"), "id", "mark").alias("copies"))
+
+
+@query
+def op12_phrase_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+ORACLES["op12_phrase_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+    FROM documents
+), totals AS (
+    SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM pieces GROUP BY lang
+), starts AS (
+    SELECT lang, words, unnest(range(1, len(words) + 1)) AS pos FROM pieces
+), counted AS MATERIALIZED (
+    SELECT lang, size, array_to_string(words[pos:pos + size - 1], ' ') AS phrase, count(*) AS a
+    FROM starts, range(1, 5) AS sizes(size) WHERE pos + size - 1 <= len(words) GROUP BY ALL HAVING count(*) >= 30
+), candidates AS MATERIALIZED (
+    SELECT *, string_split(phrase, ' ') AS words FROM counted WHERE size > 1
+), halves AS MATERIALIZED (
+    SELECT lang, phrase, a, k, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:], ' ') AS rest
+    FROM candidates, range(1, 4) AS ks(k) WHERE k < size
+), cuts AS MATERIALIZED (
+    SELECT h.lang, h.phrase, h.a, k, x.a AS l, y.a AS r, CAST(2000000 * h.a::HUGEINT // (x.a + y.a) AS BIGINT) AS score
+    FROM halves h JOIN counted x ON x.lang = h.lang AND x.phrase = h.head JOIN counted y ON y.lang = h.lang AND y.phrase = h.rest
+), weakest AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+    SELECT DISTINCT c.lang, array_to_string(c.words[pos:pos + part - 1], ' ') AS phrase, c.a AS longer
+    FROM candidates c, range(2, 4) AS parts(part), range(1, 4) AS places(pos) WHERE part < c.size AND pos + part - 1 <= c.size
+), dropped AS (
+    SELECT DISTINCT w.lang, w.phrase FROM weakest w JOIN inside i ON w.lang = i.lang AND w.phrase = i.phrase
+    WHERE 100 * i.longer::HUGEINT >= 80 * w.a::HUGEINT
+), ranked AS (
+    SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+    FROM weakest ANTI JOIN dropped USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
