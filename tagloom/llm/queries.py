@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat, collocations, debruijn, imatch, langid, metric, mixing, pieces, secrets, simhash, templates
+from tagloom.llm import chat, collocations, debruijn, imatch, langid, metric, mixing, negatives, pieces, secrets, simhash, templates
 from tagloom.llm.common import table
 
 QUERIES = {}
@@ -202,3 +202,32 @@ WITH pieces AS (
 )
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op13_hard_negatives"] = r"""
+WITH vectors AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+    SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS dim FROM vectors
+), scored AS MATERIALIZED (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS id, any_value(a.label) = any_value(b.label) AS same, CAST(sum(a.x * b.x) AS BIGINT) AS score
+    FROM parts a JOIN parts b ON a.dim = b.dim WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id
+), positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+    id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10
+"""
