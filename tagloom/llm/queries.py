@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tagloom.llm import chat, collocations, debruijn, imatch, langid, metric, mixing, negatives, pieces, secrets, simhash, templates
+from tagloom.llm import chat, collocations, debruijn, imatch, langid, metric, mixing, negatives, pieces, quality, secrets, simhash, templates
 from tagloom.llm.common import table
 
 QUERIES = {}
@@ -163,6 +163,15 @@ def op2_source_mixing(spark, sf_dir):
     return rates.select(F.col("id").alias("doc_id"), "tokens", *posteriors, "rate", mixing.take(F.col("rate"), "id", "mark").alias("copies"))
 
 
+@query
+def op11_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs.where(~langid.held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"))
+    return quality.rated(docs, model).select(
+        F.col("id").alias("doc_id"), langid.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query
 def op12_phrase_collocations(spark, sf_dir):
     return collocations.mine(table(spark, sf_dir, "documents").select("text", "lang"))
