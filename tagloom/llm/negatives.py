@@ -254,19 +254,18 @@ def _by_dim(table):
 def _windows(waves, positives, low, high):
     """The waves with one query for each anchor and positive, and the scores its negatives may have."""
     anchor, place, score = (positives.column(c).to_numpy() for c in ("anchor", "place", "score"))
-    if len(score) and np.abs(score).max() >= LARGEST // 128:
-        raise OverflowError("scores do not fit into whole numbers of 64 bits")
+    hundreds, rest = np.divmod(score, 100)
+    least, most = low * hundreds - (-low * rest // 100), high * hundreds + high * rest // 100  # no product is much over a score
     out = {}
     for dim, wave in waves.items():
         order = np.argsort(wave["row"])
         found = order[np.minimum(np.searchsorted(wave["row"][order], anchor), len(order) - 1)]
         mine = wave["row"][found] == anchor
-        s = score[mine]
         labels, label_at = np.unique(wave["label"], return_inverse=True)
-        if len(s):
+        if mine.any():
             out[dim] = {
                 **wave, "labels": labels, "label_at": label_at, "anchor_at": found[mine], "query": (anchor[mine] << 8) | place[mine],
-                "low": -((-low * s) // 100), "high": high * s // 100,
+                "low": least[mine], "high": most[mine],
             }
     return out
 
