@@ -3,8 +3,8 @@
 Texts become runs of word codes.  A run sends the keys of its words and word
 pairs, sorted and with counts, to ranges of the key space; a range merges the
 sorted runs and answers each run with those of its keys that may be frequent.
-The answer is an upper bound, so a run then counts the phrases it has left
-exactly, as words.  The frequent phrases form two streams: sorted by their words
+What is left of a run asks in the same way for its longer phrases.  Answers are
+upper bounds, so a run then counts the phrases it has left exactly, as words.  The frequent phrases form two streams: sorted by their words
 from the left, a phrase comes right after its own beginnings, and sorted from
 the right, after its own ends.  One pass over each, with a stack as deep as a
 phrase, gives the counts of all left and right parts and of the best extension
@@ -27,9 +27,10 @@ KEY_BITS = 40
 FEWEST_RANGE_BITS = 10
 UNKNOWN = "und"
 
-RUNS = "codes binary, words array<binary>, word_langs binary, langs array<string>, totals array<long>"
+CODED = ("codes", "words", "word_langs", "counts", "langs")
+RUNS = "codes binary, words binary, word_langs binary, counts binary, langs array<string>, totals array<long>"
 KEYS = "range int, run long, keys binary, counts binary"
-PHRASES = "lang string, size int, phrase binary, n long"
+PHRASES = "lang string, phrase binary, n long"
 SCANNED = "lang string, words array<string>, own boolean, n long, parts array<long>, extension long"
 
 
@@ -65,6 +66,31 @@ def split_words(data, offsets):
     return words, owner, opening
 
 
+def _packed(values):
+    """Whole numbers below 2^32, byte by byte, compressed."""
+    raw = np.ascontiguousarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(data):
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1).astype(np.int64)
+
+
+def _row(codes, opening, words, word_langs, counts, langs, totals):
+    """One run as a row; words come as a list of byte strings without blanks, frequent ones best first."""
+    joined = b" ".join(words)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([_packed(codes << 1 | opening)], pa.binary()),
+            pa.array([len(joined).to_bytes(8, "little") + pa.compress(joined, codec="zstd", asbytes=True)], pa.binary()),
+            pa.array([_packed(word_langs)], pa.binary()), pa.array([_packed(counts)], pa.binary()),
+            pa.array([langs], pa.list_(pa.string())), pa.array([totals], pa.list_(pa.int64())),
+        ],
+        names=["codes", "words", "word_langs", "counts", "langs", "totals"],
+    )
+
+
 def _run(part):
     """One row of coded words: a code names a word of one language, its lowest bit opens a piece."""
     named = part.column(0).dictionary_encode()
@@ -76,17 +102,14 @@ def _run(part):
     coded = words.dictionary_encode()
     langs = len(named.dictionary)
     lang = named.indices.to_numpy()[owner]
-    pairs, codes = np.unique(coded.indices.to_numpy().astype(np.int64) * langs + lang, return_inverse=True)
-    totals = np.bincount(lang, minlength=langs)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([((codes << 1) | opening).astype(np.int32).tobytes()], pa.binary()),
-            pa.array([coded.dictionary.take(pa.array(pairs // langs)).to_pylist()], pa.list_(pa.binary())),
-            pa.array([(pairs % langs).astype(np.int32).tobytes()], pa.binary()),
-            pa.array([named.dictionary.to_pylist()], pa.list_(pa.string())),
-            pa.array([totals.tolist()], pa.list_(pa.int64())),
-        ],
-        names=["codes", "words", "word_langs", "langs", "totals"],
+    pairs, codes, counts = np.unique(coded.indices.to_numpy().astype(np.int64) * langs + lang, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    pairs = pairs[order]
+    return _row(
+        place[codes], opening, coded.dictionary.take(pa.array(pairs // langs)).to_pylist(), pairs % langs, counts[order],
+        named.dictionary.to_pylist(), np.bincount(lang, minlength=langs).tolist(),
     )
 
 
@@ -105,69 +128,99 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
+def _keys(marks):
+    return _mix(marks) >> np.uint64(64 - KEY_BITS)
+
+
 class _Coded:
-    """A run read back: its words, and the keys of words and of pairs."""
+    """A run read back."""
 
-    def __init__(self, codes, words, word_langs, langs):
-        raw = np.frombuffer(codes, np.int32)
+    def __init__(self, codes, words, word_langs, counts, langs, *_):
+        raw = _unpacked(codes)
         self.codes, self.opening = raw >> 1, (raw & 1).astype(bool)
-        self.langs, self.word_langs = langs, np.frombuffer(word_langs, np.int32)
-        self.words = words
+        size = int.from_bytes(words[:8], "little")
+        self.words = pa.decompress(words[8:], decompressed_size=size, codec="zstd", asbytes=True).split(b" ") if size else []
+        self.langs, self.word_langs, self.counts = langs, _unpacked(word_langs), _unpacked(counts)
         seeds = [xxhash.xxh64_intdigest(lang.encode()) for lang in langs]
         digest = xxhash.xxh64_intdigest
-        marks = np.fromiter((digest(w, seeds[g]) for w, g in zip(words, self.word_langs)), np.uint64, len(words))
-        self.counts = np.bincount(self.codes, minlength=len(words))
-        self.keys = _mix(marks) >> np.uint64(64 - KEY_BITS)
-        follows = ~self.opening[1:]
-        places = np.flatnonzero(follows)
-        both = self.codes[:-1][places].astype(np.int64) << 32 | self.codes[1:][places]
-        self.pairs, which, self.pair_counts = np.unique(both, return_inverse=True, return_counts=True)
-        self.pair_at = np.full(len(self.codes), -1, np.int64)
-        self.pair_at[places] = which
-        left, right = self.pairs >> 32, self.pairs & 0xFFFFFFFF
-        self.pair_keys = _mix(_mix(marks[left]) * np.uint64(0x9E3779B97F4A7C15) + marks[right]) >> np.uint64(64 - KEY_BITS)
-
-    def stream(self):
-        """(keys in order, their counts up to 255)."""
-        keys = np.concatenate([self.keys, self.pair_keys])
-        order = np.argsort(keys)
-        return keys[order], np.minimum(np.concatenate([self.counts, self.pair_counts])[order], 255).astype(np.uint8)
+        self.marks = np.fromiter((digest(w, seeds[g]) for w, g in zip(self.words, self.word_langs)), np.uint64, len(self.words))
+
+    def grams(self, longest, keep=None):
+        """For two words and more: (size, beginnings, last words, counts, marks, kept), one entry per distinct phrase.
+
+        A beginning is the number of the phrase without its last word.  Only
+        phrases that ``keep`` (size, marks) allows are made longer.
+        """
+        at = np.flatnonzero(~self.opening[1:])
+        linked = np.zeros(len(self.codes) + longest, bool)
+        linked[at] = True
+        names, marks = self.codes[at], self.marks
+        for size in range(2, longest + 1):
+            distinct, which, counts = np.unique(names << 32 | self.codes[at + size - 1], return_inverse=True, return_counts=True)
+            heads, lasts = distinct >> 32, distinct & 0xFFFFFFFF
+            marks = _mix(marks[heads]) * np.uint64(0x9E3779B97F4A7C15) + self.marks[lasts]
+            kept = np.ones(len(marks), bool) if keep is None else keep(size, marks)
+            yield size, heads, lasts, counts, marks, kept
+            on = kept[which] & linked[at + size - 1]
+            at, names = at[on], which[on]
+
+    def short(self):
+        """(keys, counts) of the words and of the pairs."""
+        _, _, _, counts, marks, _ = next(self.grams(2))
+        return np.concatenate([_keys(self.marks), _keys(marks)]), np.concatenate([self.counts, counts])
+
+    def long(self, longest):
+        """(keys, counts) of the longer phrases."""
+        found = [(_keys(marks), counts) for size, _, _, counts, marks, _ in self.grams(longest) if size > 2]
+        return tuple(np.concatenate(c) for c in zip((np.zeros(0, np.uint64), np.zeros(0, np.int64)), *found))
+
+    def reduced(self, kept):
+        """The run cut to the words and neighbouring pairs whose keys are kept; its words keep their counts."""
+        _, heads, lasts, _, marks, _ = next(self.grams(2))
+        pairs = (heads << 32 | lasts)[np.isin(_keys(marks), kept)]
+        at = np.flatnonzero(~self.opening[1:])
+        follows = np.zeros(len(self.codes), bool)
+        follows[at] = np.isin(self.codes[at] << 32 | self.codes[at + 1], pairs)
+        used = follows.copy()
+        used[1:] |= follows[:-1]
+        opening = np.ones(len(self.codes), bool)
+        opening[1:] = ~follows[:-1]
+        words = np.isin(_keys(self.marks), kept)
+        words[self.codes[used]] = True
+        chosen = np.flatnonzero(words)
+        place = np.cumsum(words) - 1
+        return _row(
+            place[self.codes[used]], opening[used], [self.words[i] for i in chosen], self.word_langs[chosen], self.counts[chosen], self.langs,
+            [0] * len(self.langs),
+        )
 
     def phrases(self, kept, longest):
-        """(first word code, size, phrase, count) of all phrases whose words and neighbouring pairs are kept."""
+        """(first word, size, phrase, count) of all words and pairs, and of the longer phrases whose keys are kept."""
         words = pa.array(self.words, pa.binary())
-        alone = np.flatnonzero(np.isin(self.keys, kept))
-        yield alone, 1, words.take(pa.array(alone)), self.counts[alone]
-        kept_pairs = np.isin(self.pair_keys, kept)
-        pairs, counts = self.pairs[kept_pairs], self.pair_counts[kept_pairs]
-        first = pairs >> 32
-        text = pc.binary_join_element_wise(words.take(pa.array(first)), words.take(pa.array(pairs & 0xFFFFFFFF)), b" ")
-        yield first, 2, text, counts
-        # the kept pair at a place names the phrase that starts there, then the phrases one word longer do
-        good = np.zeros(len(self.codes) + longest, bool)
-        known = self.pair_at >= 0
-        good[: len(self.codes)][known] = kept_pairs[self.pair_at[known]]
-        at = np.flatnonzero(good)
-        names = (np.cumsum(kept_pairs) - 1)[self.pair_at[at]]
-        for size in range(3, longest + 1):
-            on = good[at + size - 2]
-            at, names = at[on], names[on]
-            grown, which, counts = np.unique(names << 32 | self.codes[at + size - 1], return_inverse=True, return_counts=True)
-            text = pc.binary_join_element_wise(text.take(pa.array(grown >> 32)), words.take(pa.array(grown & 0xFFFFFFFF)), b" ")
-            first = first[grown >> 32]
-            yield first, size, text, counts
-            names = which
-
-
-def _ranges(bits):
-    """Each run's keys, cut at the ranges of the first ``bits`` bits."""
+        first, text = np.arange(len(words)), words
+        yield first, 1, words, self.counts
+        for size, heads, lasts, counts, _, good in self.grams(longest, lambda size, marks: np.isin(_keys(marks), kept) if size > 2 else np.ones(len(marks), bool)):
+            text = pc.binary_join_element_wise(text.take(pa.array(heads)), words.take(pa.array(lasts)), b" ")
+            first = first[heads]
+            yield first[good], size, text.filter(pa.array(good)), counts[good]
+
+
+def _rows(batch, names):
+    """The rows of an Arrow batch, one at a time."""
+    for row in range(batch.num_rows):
+        yield tuple(batch.column(name)[row].as_py() for name in names)
+
+
+def _ranges(bits, keys_of):
+    """Each run's keys in order, with counts up to 255, cut at the ranges of the first ``bits`` bits."""
     rest = KEY_BITS - bits
 
     def send(batches):
         for batch in batches:
-            for row in range(batch.num_rows):
-                run, *columns = (batch.column(i)[row].as_py() for i in range(5))
-                keys, counts = _Coded(*columns).stream()
+            for run, *columns in _rows(batch, ("run", *CODED)):
+                keys, counts = keys_of(_Coded(*columns))
+                order = np.argsort(keys)
+                keys, counts = keys[order], np.minimum(counts[order], 255).astype(np.uint8)
                 parts, starts = np.unique(keys >> np.uint64(rest), return_index=True)
                 low = (keys & np.uint64((1 << rest) - 1)).astype(np.uint32)
                 cuts = [*starts, len(keys)]
@@ -202,38 +255,48 @@ def _merge(least):
     return answer
 
 
-def _exact(bits, longest):
-    """Counts the phrases of a run that its answers leave."""
+def _answered(bits, function):
+    """A function of (run, its kept keys) to Arrow data, for a run with the answers it got."""
     rest = np.uint64(KEY_BITS - bits)
 
-    def count(runs, answers):
+    def apply(runs, answers):
         parts = [
             np.frombuffer(kept, np.uint32).astype(np.uint64) | np.uint64(part) << rest
             for part, kept in zip(answers.column("range").to_pylist(), answers.column("kept").to_pylist())
         ]
         kept = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        out = []
-        for columns in zip(*(runs.column(c).to_pylist() for c in ("codes", "words", "word_langs", "langs"))):
-            run = _Coded(*columns)
-            names = pa.array(run.langs, pa.string())
-            for first, size, phrase, n in run.phrases(kept, longest):
-                lang = names.take(pa.array(run.word_langs[first]))
-                out.append(pa.table([lang, pa.array(np.full(len(n), size, np.int32)), phrase, pa.array(n.astype(np.int64))], names=["lang", "size", "phrase", "n"]))
-        return pa.concat_tables(out)
+        [columns] = zip(*(runs.column(c).to_pylist() for c in CODED))
+        return function(runs.column("run")[0].as_py(), _Coded(*columns), kept)
+
+    return apply
 
-    return count
+
+def _asked(runs, bits, keys_of, least):
+    """What the ranges answer to the keys of all runs."""
+    sent = runs.mapInArrow(_ranges(bits, keys_of), KEYS).groupBy("range")
+    return sent.applyInArrow(_merge(min(least, 255)), "range int, run long, kept binary").where(F.octet_length("kept") > 0)
 
 
 def phrase_counts(runs, least, longest):
     """(lang, words, n) of all phrases of up to ``longest`` words that occur ``least`` times or more in a language."""
     found = runs.agg(F.coalesce(F.sum(F.aggregate("totals", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0)).alias("n")).first()["n"]
     bits = min(max(FEWEST_RANGE_BITS, int(2 * found // KEYS_PER_RANGE).bit_length()), 30)
-    coded = runs.select("run", "codes", "words", "word_langs", "langs")
-    answers = coded.mapInArrow(_ranges(bits), KEYS).groupBy("range").applyInArrow(_merge(min(least, 255)), "range int, run long, kept binary")
-    counted = (
-        coded.groupBy("run").cogroup(answers.where(F.octet_length("kept") > 0).groupBy("run"))
-        .applyInArrow(_exact(bits, longest), PHRASES).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    )
+
+    def cut(run, coded, kept):
+        return pa.Table.from_batches([coded.reduced(kept)]).append_column("run", pa.array([run], pa.int64()))
+
+    def count(_, coded, kept):
+        names, out = pa.array(coded.langs, pa.string()), []
+        for first, size, phrase, n in coded.phrases(kept, longest):
+            lang = names.take(pa.array(coded.word_langs[first]))
+            out.append(pa.table([lang, phrase, pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"]))
+        return pa.concat_tables(out)
+
+    answers = _asked(runs, bits, _Coded.short, least)
+    reduced = stage(runs.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_answered(bits, cut), f"{RUNS}, run long"), "reduced")
+    answers = _asked(reduced, bits, lambda coded: coded.long(longest), least)
+    counted = reduced.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(_answered(bits, count), PHRASES)
+    counted = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return counted.select("lang", F.split(F.col("phrase").cast("string"), " ").alias("words"), "n")
 
 
