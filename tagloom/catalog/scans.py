@@ -33,6 +33,22 @@ def scan_raw_csv(spark, sf_dir):
     return rows.select("sample_id", "raw_classification", "project", "text", "vul")
 
 
+@query(
+    "s1_scan_raw_csv_single_file",
+    with_views(
+        "SELECT row_number() OVER (ORDER BY sample_id) - 1 AS sample_id, raw_classification, project, text, '1' AS vul FROM raw_samples",
+        "raw_samples",
+    ),
+)
+def scan_single_csv(spark, sf_dir):
+    """One file, read in ranges that begin anywhere: most of them inside quotes."""
+    path = scratch_path(spark, "raw-csv")
+    raw = views.raw_samples(spark, sf_dir).coalesce(1).sortWithinPartitions("sample_id")
+    raw.select(*[F.col(ours).cast("string").alias(theirs) for ours, theirs in _RAW_NAMES.items()]).write.options(**writers.CSV_OPTIONS).csv(path)
+    rows = readers.scan_raw_csv(spark, path, range_bytes=1 << 18)
+    return rows.select("sample_id", "raw_classification", "project", "text", "vul")
+
+
 def _write_other_csv(spark, sf_dir):
     """The raw columns in another order, between columns that are not asked for."""
     path = scratch_path(spark, "raw-csv")

@@ -36,13 +36,25 @@ def counts_stream(spark, sf_dir):
     return stream_counts(_raw_stream(spark, sf_dir))
 
 
-def _landed(table, name, parts=4):
+def _landed(table, name, parts=4, key="sample_id"):
     """The table as several files, as they would land one after the other."""
     path = scratch_path(table.sparkSession, name)
-    table.repartition(parts, "sample_id").write.parquet(path)
+    table.repartition(parts, key).write.parquet(path)
     return path
 
 
+@query("x1_stream_counts_restarted", ORACLES["x1_stream_counts"])
+def counts_restarted(spark, sf_dir):
+    """Half of the rows land after the stream has stopped; the table goes on from its batches."""
+    docs = stage(views.table(spark, sf_dir, "documents"), "documents")
+    path, out, state = (scratch_path(spark, n) for n in ("landed", "counters", "stream-state"))
+    for late in (0, 1):
+        docs.where(F.pmod("doc_id", F.lit(2)) == late).repartition(3, "doc_id").write.mode("append").parquet(path)
+        stream = views.raw_from_documents(read_stream(spark, path, docs.schema, files_per_trigger=2))
+        counts = stream_counts(stream, out_path=out, checkpoint=state)
+    return counts.select("split", "label", "n")
+
+
 @query("x1_stream_summary", ORACLES["a1_prep_summary"])
 def summary_stream(spark, sf_dir):
     return stream_summary(_raw_stream(spark, sf_dir))
@@ -92,3 +104,19 @@ def publish_stream(spark, sf_dir):
         published = incremental_publish(runs, threshold_scores, out, state)
     metrics = compute_metrics(published, by=("run_id",))
     return metrics.select("run_id", "metric", F.round("value", 6).alias("value"))
+
+
+@query("x3_incremental_publish_repeated", ORACLES["x3_incremental_publish"])
+def publish_repeated_stream(spark, sf_dir):
+    """Every run is delivered twice in a batch, again in a later one, and once more after a restart."""
+    scored = views.predictions(spark, sf_dir).withColumnRenamed("split", "run_id").drop("raw_classification")
+    scored = stage(scored, "scored")
+    path = _landed(scored.union(scored), "runs")
+    out, state = scratch_path(spark, "published"), scratch_path(spark, "stream-state")
+    scored.repartition(3, "run_id").write.mode("append").parquet(path)
+    for _ in range(2):
+        runs = read_stream(spark, path, scored.schema, files_per_trigger=2)
+        published = incremental_publish(runs, threshold_scores, out, state)
+        scored.repartition(2, "run_id").write.mode("append").parquet(path)
+    metrics = compute_metrics(published, by=("run_id",))
+    return metrics.select("run_id", "metric", F.round("value", 6).alias("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from ..constants import LABELS, RAW_CSV_COLUMNS
 from ..functions.elements import NODE_KINDS
 from ..staging import lookup_join, stage, stage_sized
+from . import records
 
 RAW_CSV_SCHEMA = T.StructType([T.StructField(ours, T.StringType()) for ours in RAW_CSV_COLUMNS.values()])
 
@@ -55,33 +56,52 @@ def _numbered(rows, name, file="_file"):
     return found.withColumn(name, F.col("_row") + F.col("_offset")).drop(file, "_row", "_offset")
 
 
-def _first_files(spark, path, max_rows):
-    """The leading files of ``path`` that hold at least ``max_rows`` records; counting reads no text column."""
-    counts = _csv(spark).csv(path).groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    running = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return [r["_file"] for r in running.where(F.col("_before") < max_rows).orderBy("_file").limit(max(max_rows, 1)).collect()]
+def _split_records(spark, path, max_rows, sep=",", quote='"', range_bytes=None):
+    """Text columns by name and ``_number`` of all records; with ``max_rows``, of the leading files that hold as many.
 
-
-def scan_raw_csv(spark, path, schema=RAW_CSV_SCHEMA, rename=RAW_CSV_COLUMNS, numbered=True, max_rows=None):
+    Files are opened in path order, four times as many at a time, until there are enough records.
+    """
+    if max_rows is None:
+        found = records.read_records(spark, path, quote, range_bytes)
+    else:
+        files, taken = records.listed_files(spark, path), 1
+        while True:
+            found = records.read_records(spark, files[:taken], quote, range_bytes)
+            if taken >= len(files) or found.count() - taken >= max_rows:
+                break
+            taken = min(4 * taken, len(files))
+    names = records.header(found, sep, quote)
+    numbered = records.number_records(found, "_number")
+    parsed = numbered.select(records.fields(F.col("_record"), len(names), sep, quote).alias("_fields"), "_number")
+    return parsed.select(*[F.col("_fields")[f"c{i}"].alias(n) for i, n in enumerate(names)], "_number")
+
+
+def scan_raw_csv(spark, path, schema=RAW_CSV_SCHEMA, rename=RAW_CSV_COLUMNS, numbered=True, max_rows=None, split=True, range_bytes=None):
     """Raw CSV with line breaks inside quotes; bytes that are not UTF-8 become U+FFFD.
 
     Columns are found by their names in the header; others are not read, and a
     missing one is an error.  ``sample_id`` is the 0-based record number, files
     in path order, and missing values are empty strings.  With ``max_rows`` only
-    the files that hold these records are read.  A quoted CSV file cannot be
-    split, so give many files and keep the result as parquet.
+    the leading files that hold these records are opened.  Files are read in
+    byte ranges by all tasks, whatever their size; quotes may then stand only
+    around fields, and an unpaired one is an error.  ``split=False`` reads each
+    file in one task and takes stray quotes as they come.
     """
-    path = path if max_rows is None else _first_files(spark, path, max_rows)
-    rows = _csv(spark).csv(path)
     theirs = {ours: name for name, ours in rename.items()}
-    columns = _by_name(rows, schema, theirs)
-    file = F.col("_metadata.file_path").alias("_file")
-    rows = rows.select(*columns, file).select(*[F.coalesce(f.name, F.lit("")).alias(f.name) for f in schema.fields], "_file")
-    if not numbered:
-        return rows.drop("_file") if max_rows is None else rows.drop("_file").limit(max_rows)
-    placed = _numbered(rows, "sample_id").select(*schema.names, "sample_id")
-    return placed if max_rows is None else placed.where(F.col("sample_id") < max_rows)
+    if split:
+        rows = _split_records(spark, path, max_rows, range_bytes=range_bytes)
+        columns = [*_by_name(rows, schema, theirs), F.col("_number").alias("sample_id")]
+    else:
+        if max_rows is not None:
+            raise ValueError("max_rows needs split=True")
+        rows = _csv(spark).csv(path)
+        columns = [*_by_name(rows, schema, theirs), F.col("_metadata.file_path").alias("_file")]
+    filled = rows.select(*columns).withColumns({f.name: F.coalesce(f.name, F.lit("")) for f in schema.fields})
+    if not split and numbered:
+        filled = _numbered(filled, "sample_id")
+    if max_rows is not None:
+        filled = filled.where(F.col("sample_id") < max_rows)
+    return filled.select(*schema.names, *(["sample_id"] if numbered else []))
 
 
 def scan_split(spark, path, split=None, fmt="parquet", schema=None, labels=LABELS):

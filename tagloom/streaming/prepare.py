@@ -1,8 +1,12 @@
 """Streamed preparation with running counters."""
 
+from pyspark.sql import functions as F
+
 from ..operators.prep import label_by_split, prep_summary, prepare
 from ..staging import scratch_path
 
+BATCH = "batch_id"
+
 
 def read_stream(spark, path, schema, pattern=None, files_per_trigger=None):
     reader = spark.readStream.schema(schema)
@@ -22,19 +26,45 @@ def start_prepare(raw_stream, out_path, checkpoint, seed=42, once=True):
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def _running(table, name, checkpoint, once):
-    writer = table.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint)
+def _start_deltas(raw_stream, count, out_path, checkpoint, once):
+    """The counters of each batch as a few rows of their own; a replayed batch overwrites them."""
+
+    def add(batch, batch_id):
+        (
+            count(batch).withColumn(BATCH, F.lit(batch_id))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(out_path)
+        )
+
+    writer = raw_stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def start_counts(raw_stream, name, checkpoint, seed=42, once=True):
-    """Running positives per split and label, at most 3 x 8 rows, as an in-memory table."""
-    return _running(label_by_split(prepare(raw_stream, seed)), name, checkpoint, once)
+def start_counts(raw_stream, out_path, checkpoint, seed=42, once=True):
+    """Running positives per split and label: at most 3 x 8 rows a batch, in a table that others can read."""
+    return _start_deltas(raw_stream, lambda batch: label_by_split(prepare(batch, seed)), out_path, checkpoint, once)
+
+
+def start_summary(raw_stream, out_path, checkpoint, once=True):
+    """Running counters of processed, kept and skipped rows: one row a batch, in a table that others can read."""
+    return _start_deltas(raw_stream, prep_summary, out_path, checkpoint, once)
 
 
-def start_summary(raw_stream, name, checkpoint, once=True):
-    """Running counters of processed, kept and skipped rows, one row, as an in-memory table."""
-    return _running(prep_summary(raw_stream), name, checkpoint, once)
+def read_counts(spark, path):
+    """The counters up to the last finished batch; the table may be growing."""
+    return spark.read.parquet(path).groupBy("split", "label").agg(F.sum("n").alias("n"))
+
+
+def read_summary(spark, path):
+    """The summary up to the last finished batch; the table may be growing."""
+    rows = spark.read.parquet(path)
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns if c != BATCH])
+
+
+def merge_deltas(spark, read, path, out_path):
+    """The counters of ``path`` as a fresh table of one batch, for a stream that has made very many."""
+    rows = read(spark, path)
+    rows.withColumn(BATCH, F.lit(-1).cast("long")).write.partitionBy(BATCH).parquet(out_path)
+    return out_path
 
 
 def stream_prepare(raw_stream, seed=42):
@@ -45,18 +75,19 @@ def stream_prepare(raw_stream, seed=42):
     return spark.read.schema(prepare(raw_stream, seed).schema).parquet(out)
 
 
-def _finished(start, *args):
+def _finished(start, read, raw_stream, out_path, checkpoint, *args):
     """Runs a counter over what has arrived and returns its table."""
-    spark = args[0].sparkSession
-    state = scratch_path(spark, "stream-state")
-    name = "counts_" + state.rsplit("-", 1)[1]
-    start(args[0], name, state, *args[1:]).awaitTermination()
-    return spark.table(name)
+    spark = raw_stream.sparkSession
+    out = out_path or scratch_path(spark, "stream-counters")
+    start(raw_stream, out, checkpoint or scratch_path(spark, "stream-state"), *args).awaitTermination()
+    return read(spark, out)
 
 
-def stream_counts(raw_stream, seed=42):
-    return _finished(start_counts, raw_stream, seed).select("split", "label", "n")
+def stream_counts(raw_stream, seed=42, out_path=None, checkpoint=None):
+    """Given the folders of an earlier run, goes on where it stopped."""
+    return _finished(start_counts, read_counts, raw_stream, out_path, checkpoint, seed)
 
 
-def stream_summary(raw_stream):
-    return _finished(start_summary, raw_stream)
+def stream_summary(raw_stream, out_path=None, checkpoint=None):
+    """Given the folders of an earlier run, goes on where it stopped."""
+    return _finished(start_summary, read_summary, raw_stream, out_path, checkpoint)
