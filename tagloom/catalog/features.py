@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..constants import P_VALUE_GRID
 from ..functions.text import code_tokens_legacy, word_tokens
-from ..operators import tfidf, vectors
+from ..operators import cooccurrence, tfidf, vectors
 from ..plans.baseline import BaselineConfig, fit_features, tokenised
 from ..sources import views
 from ..staging import stage, stage_sized
@@ -49,7 +49,7 @@ def term_counts(spark, sf_dir):
 )
 def vocab_topk(spark, sf_dir):
     rows = _terms(spark, sf_dir).where("split = 'train'")
-    return tfidf.vocab_topk(tfidf.term_counts(rows), MAX_FEATURES)
+    return tfidf.vocab_topk(stage(tfidf.term_counts(rows), "term-counts"), MAX_FEATURES)
 
 
 _INDEX = (
@@ -302,16 +302,6 @@ def word2vec_fit(spark, sf_dir):
     return _word_vectors(spark, sf_dir)
 
 
-@query(
-    "f7_word2vec_vocabulary",
-    with_views("SELECT term AS word, 16 AS dims FROM uni WHERE split = 'train' GROUP BY term HAVING count(*) >= 5", "uni"),
-)
-def word2vec_vocabulary(spark, sf_dir):
-    """What of a fit does not depend on its random start: the words and the size of their vectors; a small fit."""
-    found = _word_vectors(spark, sf_dir, vector_size=16, window=5, min_count=5, epochs=1)
-    return found.select("word", F.size("vector").alias("dims"))
-
-
 @query(
     "f7_word2vec_whole_vocabulary",
     with_views("SELECT term AS word, 100 AS dims FROM uni WHERE split = 'train' GROUP BY term", "uni"),
@@ -321,6 +311,47 @@ def word2vec_whole_vocabulary(spark, sf_dir):
     return word2vec_fit(spark, sf_dir).select("word", F.size("vector").alias("dims"))
 
 
+_MEETINGS = """near_ AS MATERIALIZED (SELECT x.term AS a, y.term AS b, count(*) AS n FROM uni x JOIN uni y USING (sample_id)
+  WHERE x.split = 'train' AND y.pos > x.pos AND y.pos <= x.pos + 25 GROUP BY ALL),
+met AS MATERIALIZED (SELECT a, b, sum(n)::BIGINT AS n FROM (SELECT * FROM near_ UNION ALL SELECT b, a, n FROM near_) GROUP BY ALL)"""
+
+
+def _with_meetings(select):
+    return with_views("", "uni").rstrip() + ",\n" + _MEETINGS + "\n" + select
+
+
+@query(
+    "f7_cooccurrence_counts",
+    _with_meetings(
+        "SELECT a AS word, count(*) AS partners, sum(n)::BIGINT AS meetings, max(n) AS most, sum(n * length(b))::BIGINT AS letters FROM met GROUP BY a"
+    ),
+)
+def cooccurrence_counts(spark, sf_dir):
+    """All pairs, as a few sums for each word."""
+    counts = cooccurrence.cooccurrence_counts(_tokens(spark, sf_dir).where("split = 'train'"))
+    return counts.groupBy(F.col("a").alias("word")).agg(
+        F.count(F.lit(1)).alias("partners"), F.sum("n").alias("meetings"), F.max("n").alias("most"), F.sum(F.col("n") * F.length("b")).alias("letters")
+    )
+
+
+@query(
+    "f7_positive_pmi",
+    _with_meetings(
+        "SELECT a AS word, count(*) AS partners, round(sum(pmi), 4) AS pmi, round(max(pmi), 6) AS most FROM (SELECT a, b, ln(n::DOUBLE * (SELECT sum(n) FROM met) / (x.s::DOUBLE * y.s)) AS pmi FROM met "
+        "JOIN (SELECT a, sum(n) AS s FROM met GROUP BY a) x USING (a) JOIN (SELECT a AS b, sum(n) AS s FROM met GROUP BY a) y USING (b)) WHERE pmi > 0 GROUP BY a"
+    ),
+)
+def positive_pmi(spark, sf_dir):
+    counts = stage(cooccurrence.cooccurrence_counts(_tokens(spark, sf_dir).where("split = 'train'")), "cooccurrences")
+    mutual = cooccurrence.positive_pmi(counts).groupBy(F.col("a").alias("word"))
+    return mutual.agg(F.count(F.lit(1)).alias("partners"), F.round(F.sum("pmi"), 4).alias("pmi"), F.round(F.max("pmi"), 6).alias("most"))
+
+
+@query("f7_pmi_vectors")
+def pmi_vectors(spark, sf_dir):
+    return cooccurrence.pmi_vectors(_tokens(spark, sf_dir).where("split = 'train'"))
+
+
 _PHRASES = """w1 AS MATERIALIZED (SELECT term, count(*) AS n FROM uni WHERE split = 'train' GROUP BY term),
 nb AS MATERIALIZED (SELECT sample_id, split, pos, term AS a, lead(term) OVER (PARTITION BY sample_id ORDER BY pos) AS b FROM uni),
 w2 AS MATERIALIZED (SELECT a, b, count(*) AS n_ab FROM nb WHERE split = 'train' AND b IS NOT NULL GROUP BY ALL),

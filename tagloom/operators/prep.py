@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..constants import LABELS, METADATA_COLUMNS
 from ..functions.labels import assign_split, label_columns, label_mask, labels_to_list
 from ..functions.text import minimal_clean_text, strip
-from ..staging import number_within, top_n
+from ..staging import lookup_join, number_within, stage, stage_sized, top_n
 from .metrics import stack
 
 
@@ -158,12 +158,16 @@ def _hash_bucket(digest):
 
 
 def sample_subset(rows, n=None, seed=42):
-    """Exactly ``n`` rows without replacement, chosen by a hash of seed and id, sorted by id."""
+    """Exactly ``n`` rows without replacement, chosen by a hash of seed and (unique) id, sorted by id.
+
+    Only ids and hashes are ranked; the rows are then looked up.
+    """
     if not n or n <= 0:
         return rows
-    keyed = rows.withColumn("_digest", F.sha1(F.concat(F.lit(f"{seed}:"), F.col("sample_id").cast("string"))))
-    chosen = top_n(keyed, n, _hash_bucket(F.col("_digest")), ["_digest", "sample_id"])
-    return chosen.drop("_digest").orderBy("sample_id")
+    digest = F.sha1(F.concat(F.lit(f"{seed}:"), F.col("sample_id").cast("string")))
+    keyed = stage(rows.select("sample_id", digest.alias("_digest")), "digests")
+    chosen = stage_sized(top_n(keyed, n, _hash_bucket(F.col("_digest")), ["_digest", "sample_id"]).select("sample_id"), "chosen")
+    return lookup_join(rows, chosen, "sample_id", spread=["sample_id"], how="left_semi").orderBy("sample_id")
 
 
 def limit_head(rows, n=None, order="sample_id"):

@@ -160,6 +160,7 @@ def number_within(df, groups, order, name="row_number"):
 def top_n(df, n, coarse, order):
     """The first ``n`` rows by ``order``; ``coarse`` is a number that sorts like it.
 
+    The rows are read up to four times: stage what is costly to make.
     A quantile sketch of ``coarse``, a bounded buffer per task, gives a cut that
     leaves little more than ``n`` rows, and one count checks that it leaves
     enough.  What is left goes through one task if ``n`` is small, else it is
