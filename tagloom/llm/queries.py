@@ -119,28 +119,36 @@ WITH lines AS (
     SELECT doc_id, number, string_split(text, chr(10))[number] AS line,
         list_filter(string_split_regex(string_split(text, chr(10))[number], '[\x09-\x0D\x20]+'), lambda t: t <> '') AS tokens
     FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS number FROM documents)
-), masked AS (
+), masked AS MATERIALIZED (
     SELECT *, len(tokens) AS n, list_transform(tokens, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS mask,
-        len(list_filter(tokens, lambda t: NOT regexp_matches(t, '[0-9]'))) AS constant
+        array_to_string(tokens, ' ') AS whole
     FROM lines
+), leaves AS MATERIALIZED (
+    SELECT n, mask[1:2] AS lead FROM masked WHERE n >= 3 GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5
+), placed AS MATERIALIZED (
+    SELECT doc_id, number, n, lead, unnest(mask) AS token, generate_subscripts(mask, 1) AS place
+    FROM (SELECT *, mask[1:2] AS lead FROM masked) JOIN leaves USING (n, lead)
+), constants AS MATERIALIZED (
+    SELECT n, lead, place, token, true AS constant FROM placed WHERE place > 2 AND token <> '<*>' GROUP BY ALL HAVING count(DISTINCT doc_id) >= 5
+), kept AS (
+    SELECT doc_id, number, n, place, CASE WHEN place <= 2 OR constant THEN token ELSE '<*>' END AS token
+    FROM placed LEFT JOIN constants USING (n, lead, place, token)
 ), formed AS (
-    SELECT doc_id, number, line, n, CASE WHEN constant >= 3 AND 2 * constant >= n THEN mask ELSE tokens END AS form FROM masked
-), leaves AS (
-    SELECT doc_id, number, CASE WHEN field < 0 THEN '= ' || n || ' ' || array_to_string(form, ' ')
-        ELSE field || ' ' || n || ' ' || array_to_string(
-            list_concat(list_concat(form[1:2 + (n - 2) * field // 5], ['<*>']), form[3 + (n - 2) * (field + 1) // 5:]), ' ') END AS leaf
-    FROM formed, range(-1, 5) AS fields(field) WHERE n >= 10 OR (field < 0 AND n > 0)
+    SELECT doc_id, number, array_to_string(list(token ORDER BY place), ' ') AS form FROM kept GROUP BY doc_id, number, n
+    HAVING 2 * count(*) FILTER (token <> '<*>' AND regexp_matches(token, '[A-Za-z]|[^\x00-\x7F]')) > n AND count(*) FILTER (token = '<*>') > 0
+), keyed AS MATERIALIZED (
+    SELECT doc_id, number, '= ' || whole AS key FROM masked WHERE n > 0 UNION ALL SELECT doc_id, number, '~ ' || form FROM formed
 ), recurring AS (
-    SELECT leaf, min(doc_id) AS first FROM leaves GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5
+    SELECT key, min(doc_id) AS first FROM keyed GROUP BY key HAVING count(DISTINCT doc_id) >= 5
 ), dropped AS (
-    SELECT DISTINCT doc_id, number FROM leaves JOIN recurring USING (leaf) WHERE first < doc_id
-), kept AS (
+    SELECT DISTINCT doc_id, number FROM keyed JOIN recurring USING (key) WHERE first < doc_id
+), remaining AS (
     SELECT lines.doc_id, lines.number, line, dropped.number IS NOT NULL AS gone
     FROM lines LEFT JOIN dropped ON lines.doc_id = dropped.doc_id AND lines.number = dropped.number
 )
 SELECT d.doc_id, count(k.number) AS n_lines, CAST(coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_dropped,
     CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY k.number), '') END AS text
-FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id, d.text
+FROM documents d LEFT JOIN remaining k ON d.doc_id = k.doc_id GROUP BY d.doc_id, d.text
 """
 
 
