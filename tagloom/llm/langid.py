@@ -114,22 +114,25 @@ def joint(texts, model):
     return out, known
 
 
-def fit(docs, text_col="text", lang_col="lang", key_col="doc_id", rows_per_lang=2000, max_langs=256, smoothing=0.1):
+def fit(docs, text_col="text", lang_col="lang", key_col="doc_id", rows_per_lang=2000, smoothing=0.1):
     """Learn a model from the rows with a language.
 
     The classifier is fitted on a bounded sample: about ``rows_per_lang`` rows
-    of each of the ``max_langs`` most frequent languages (ties by name), drawn
-    by a hash of the key.  n-grams are counted in the tasks; one row per task,
-    language and slot is shuffled.  The matrix is at most ``MATRIX_BYTES``: with
-    many languages it has fewer slots.
-
-    Rows with a null language or key are not learned from.  Without any row the
-    model has no language and predicts ``und``.
+    of every language that occurs, drawn by a hash of the key.  n-grams are
+    counted in the tasks; one row per task, language and slot is shuffled.  There
+    are ``SLOTS`` hash slots, halved until the matrix takes no more than
+    ``MATRIX_BYTES``, but 1,024 at least: with many languages the n-grams share
+    slots, no language is left out.  Languages are equally likely beforehand.
+
+    Rows with a null language or key are not learned from; repeated rows count
+    as often as they are drawn.  Long texts are counted a stretch at a time.
+    Other columns are not read.  Without any row the model has no language and
+    predicts ``und``.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("key").isNotNull() & F.col("lang").isNotNull())
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    found = rows.groupBy("lang").count().collect()  # one row per language
     langs = tuple(sorted(r["lang"] for r in found))
     sizes = {r["lang"]: r["count"] for r in found}
     slots = SLOTS
@@ -184,7 +187,7 @@ def predictor(spark, model):
 
 
 def identify(docs, model, id_col="doc_id", text_col="text"):
-    """(id, lang_pred, score) of every row; only the id and the text are read."""
+    """(id, lang_pred, score) of every row; only the id and the text are read.  Repeated rows are judged alike."""
     predict = predictor(docs.sparkSession, model)
     rows = docs.select(F.col(id_col).alias("id"), predict(F.col(text_col)).alias("p"))
     return rows.select("id", "p.lang_pred", "p.score")

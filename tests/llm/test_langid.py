@@ -54,6 +54,19 @@ def test_posteriors_match_a_slow_pass(spark):
         assert got[i][0] == model.langs[best] and abs(got[i][1] - share[best] / share.sum()) < 1e-4
 
 
+def test_no_language_is_left_out(spark, monkeypatch):
+    """Three hundred languages, each with a word of its own; the matrix has fewer slots and all columns."""
+    monkeypatch.setattr(langid, "MATRIX_BYTES", 300 * 4 * 4096)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[(i * k + i // 7) % 26] for k in (1, 3, 5, 7, 11)) + letters[i % 26] + letters[i // 26] * 3
+    rows = [(i, word(i % 300) + " " + word(i % 300), f"l{i % 300:03d}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.langs) == 300 and model.matrix.shape == (4096, 300)
+    got = {r["id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()}
+    assert len(set(got.values())) > 280 and sum(got[i] == lang for i, _, lang in rows) > 0.9 * len(rows)
+
+
 def test_edge_table(edge_docs, no_docs):
     model = langid.fit(edge_docs)
     assert model.langs == ("de", "en", "fr")
