@@ -12,12 +12,14 @@ REJECTED = "rejected"
 class Template:
     """How turns are marked, which texts train, and which role may follow which.
 
-    A turn reads ``<turn role>text</turn>`` and a line end.  Inside a role or a
-    text no marker can appear: a backslash is doubled, a marker gets a backslash
-    before its last character, and in a role every ``<`` and ``>`` has one in
-    front.  Dropping each backslash and keeping the character after it undoes
-    this.  ``moves`` maps a state to the states that may follow; a turn's state
-    is its role, and no state leads out of ``rejected``.
+    A turn reads ``<turn role>text</turn>`` and a line end.  The first characters
+    of the three markers never stand in an escaped role or text: such a character
+    becomes a backslash and its number among them, and a backslash becomes one
+    with the next number.  So no marker can arise inside a turn, whatever the
+    markers are, and replacing the pairs undoes it.  A marker that is empty or
+    begins with a backslash or a digit, and a closing marker that could begin
+    inside another, are errors.  ``moves`` maps a state to the states that may
+    follow; a turn's state is its role, and no state leads out of ``rejected``.
     """
 
     open: str = "<turn "
@@ -33,14 +35,32 @@ class Template:
     )
     final: tuple = ("user", "assistant")
 
-    def header(self, role):
-        return F.concat(F.lit(self.open), F.regexp_replace(role, r"[\\<>]", r"\\$0"), F.lit(self.opened))
+    def __post_init__(self):
+        for marker in (self.open, self.opened, self.close):
+            if not marker or marker[0] == "\\" or marker[0].isdigit():
+                raise ValueError(f"{marker!r} cannot mark turns")
+        for marker in (self.open, self.opened):
+            for at in range(len(marker)):
+                if marker[at:].startswith(self.close) or self.close.startswith(marker[at:]):
+                    raise ValueError(f"{self.close!r} could begin inside {marker!r}")
 
-    def body(self, text):
-        return F.regexp_replace(text, r"\\|<turn(?= )|</turn(?=>)", r"$0\\")
+    @property
+    def escapes(self):
+        """(character, what stands for it); the backslash goes first and comes back last."""
+        special = tuple(dict.fromkeys(m[0] for m in (self.open, self.opened, self.close)))
+        return (("\\", f"\\{len(special)}"), *((c, f"\\{i}") for i, c in enumerate(special)))
+
+    def escaped(self, text):
+        return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), self.escapes, text)
 
     def plain(self, escaped):
-        return F.regexp_replace(escaped, r"(?s)\\(.)", "$1")
+        return reduce(lambda t, pair: F.replace(t, F.lit(pair[1]), F.lit(pair[0])), reversed(self.escapes), escaped)
+
+    def header(self, role):
+        return F.concat(F.lit(self.open), self.escaped(role), F.lit(self.opened))
+
+    def body(self, text):
+        return self.escaped(text)
 
     def next_state(self, state, role):
         allowed = reduce(
@@ -87,13 +107,13 @@ def format_chats(rows, template=None, conv_col="conv_id", turn_col="turn", role_
 def read_back(formatted, template=None):
     """The turns of a formatted text, as an array of (role, text)."""
     template = template or Template()
-    turns = F.filter(F.split(formatted, template.close), lambda part: part != "")
-    role_end = rf"(?s)^{template.open}([^\\>]*+(?:\\.[^\\>]*+)*+){template.opened}"
+    turns = F.filter(F.split(formatted, rf"\Q{template.close}\E"), lambda part: part != "")
 
     def turn(part):
-        role = F.regexp_extract(part, role_end, 1)
-        skip = F.length(role) + len(template.open) + len(template.opened) + 1
-        return F.struct(template.plain(role).alias("role"), template.plain(F.substring(part, skip, F.length(part))).alias("text"))
+        inside = F.substring(part, len(template.open) + 1, F.length(part))
+        end = F.instr(inside, template.opened)
+        role, text = F.substring(inside, 1, end - 1), F.substring(inside, end + len(template.opened), F.length(part))
+        return F.struct(template.plain(role).alias("role"), template.plain(text).alias("text"))
 
     return F.transform(turns, turn)
 

@@ -57,10 +57,8 @@ WITH turns AS (
     UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
     UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), marked AS (
-    SELECT *, length('<turn >') + length('</turn>') + 1
-        + length(role) + (3 * length(role) - length(replace(role, '\', '')) - length(replace(role, '<', '')) - length(replace(role, '>', '')))
-        + length(text) + (length(text) - length(replace(text, '\', '')))
-        + (length(text) - length(replace(text, '<turn ', ''))) // 6 + (length(text) - length(replace(text, '</turn>', ''))) // 7 AS chars,
+    SELECT *, length('<turn >') + length('</turn>') + 1 + length(role) + length(text)
+        + length(role || text) - length(translate(role || text, '\<>', '')) AS chars,
         lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
         lead(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS after
     FROM turns

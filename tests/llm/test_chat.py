@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from compare import compare, duck
@@ -30,6 +31,25 @@ def test_round_trip(spark):
     assert [tuple(t) for t in got[None]["back"]] == [("user", "no key")]
 
 
+@pytest.mark.parametrize("markers", [("<|start|>", "<|sep|>", "<|end|>"), ("### ", ": ", "\n\n"), ("[INST ", "]", "[/INST]"), ("a", "b", "ccc"), ("«", "»\n", "¶")])
+def test_other_templates(spark, markers):
+    template = chat.Template(*markers, loss_roles=("user",))
+    texts = [*TEXTS, "".join(markers), markers[2] * 3, markers[2][:-1], "\\0\\1\\2\\3", "".join(m[0] for m in markers), *markers, "abcabccc\\\\0"]
+    roles = ["user", "a: b", *markers, "\\1"]
+    rows = [(i, j, roles[(i + j) % len(roles)], texts[(i + k) % len(texts)]) for i in range(len(texts)) for j, k in enumerate((0, 3, 7))]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template)
+    for r in out.withColumn("back", chat.read_back(F.col("formatted"), template)).withColumn("loss", chat.loss_text(F.col("segments"), template)).collect():
+        mine = [(role, text or "") for i, _, role, text in rows if i == r["conv"]]
+        assert [tuple(t) for t in r["back"]] == mine
+        assert r["loss"] == "".join(text for role, text in mine if role == "user")
+
+
+@pytest.mark.parametrize("markers", [("", ">", "x"), ("\\a", ">", "x"), ("0", ">", "x"), ("<a", "\n", "\n\n"), ("<", "x<", "<x")])
+def test_templates_that_cannot_work(markers):
+    with pytest.raises(ValueError):
+        chat.Template(*markers)
+
+
 def test_state_machine(spark):
     cases = {"sua": True, "ua": True, "u": True, "uau": True, "s": False, "a": False, "uu": False, "aua": False, "usa": False, "su": True, "uaa": False, "suas": False}
     names = {"s": "system", "u": "user", "a": "assistant"}
