@@ -16,7 +16,7 @@ from tagloom.staging import stage, stage_sized
 
 @dataclass(frozen=True)
 class Rule:
-    """Leftmost non-overlapping matches whose ``group`` has at least ``least`` characters.
+    """Leftmost non-overlapping matches whose ``group`` has at least ``least`` characters; the span begins where group ``begin`` does.
 
     Rules are ASCII: with ``any_case`` letters match in either case, and letters
     of other scripts that fold to ASCII do not.
@@ -27,6 +27,7 @@ class Rule:
     any_case: bool = False
     group: int = 0
     least: int = 0
+    begin: int = 0
 
     @property
     def flags(self):
@@ -39,11 +40,12 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+# These begin where a run of their characters does, so a long run is read once, not from each of its letters.
 MORE_RULES = (
     Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"),
     Rule("prefixed", r"(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35})"),
-    Rule("login", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/@]{3,}@[A-Za-z0-9.-]+"),
+    Rule("login", r"(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]*+)://[^\s/:@]++:[^\s/@]{3,}+@[A-Za-z0-9.-]+", begin=1),
 )
 RULES = BASE_RULES + MORE_RULES
 
@@ -101,7 +103,7 @@ def _spans_udf(rules):
             for order, (rule, pattern) in enumerate(zip(rules, compiled)):
                 if one and bits >> order & 1:
                     found += [
-                        (m.start(), order, m.end()) for m in pattern.finditer(one) if m.end(rule.group) - m.start(rule.group) >= rule.least
+                        (m.start(rule.begin), order, m.end()) for m in pattern.finditer(one) if m.end(rule.group) - m.start(rule.group) >= rule.least
                     ]
             found.sort()
             out.append([{"kind": rules[order].kind, "start": start, "end": end} for start, order, end in found])
@@ -120,8 +122,10 @@ def scan(docs, rules=RULES, text_col="text", out_col="spans", limit=32 * 1024 *
     broadcast if its measured size allows, else both sides are shuffled by hash.
 
     Null and empty texts have an empty array.  Rows and other columns stay as
-    they are; equal texts are judged alike.
+    they are; equal texts are judged alike.  A text of any length is read by each
+    rule in one pass.  An added name that is taken gets an underscore in front.
     """
+    [out_col] = fresh(docs, out_col)
     rules = tuple(rules)
     queries = [trigram_query(r.pattern, r.flags) for r in rules]
     everywhere = sum(1 << i for i, q in enumerate(queries) if q == EVERYTHING)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def by_hand(text, rules):
     for order, rule in enumerate(rules):
         for m in re.finditer(rule.pattern, text or "", rule.flags):
             if len(m[rule.group]) >= rule.least:
-                found.append((m.start(), order, m.end(), rule.kind))
+                found.append((m.start(rule.begin), order, m.end(), rule.kind))
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
 
 
@@ -44,6 +45,27 @@ def test_base_rules_match_their_open_forms():
         assert hexes == [m.span() for m in re.finditer(secrets.BASE_RULES[2].pattern, text)]
 
 
+def test_long_runs_are_read_once():
+    """Ten million letters before ``://``, and as many in a run of token heads, take seconds."""
+    for text in ("a" * 10**7 + "://x:yyyy@host", "eyJ" * 10**6 + "." + "eyJ" * 10**6, "1" * 10**6 + "a" * 10**6, "a-" * 10**6 + "://"):
+        for rule in secrets.RULES:
+            start = time.time()
+            found = [m.span(rule.begin) for m in re.finditer(rule.pattern, text, rule.flags)]
+            assert time.time() - start < 10, (rule.kind, text[:10])
+            assert rule.kind != "login" or len(found) == text.endswith("host")
+
+
+def test_the_begin_of_a_login():
+    found = [m.start(rule.begin) for rule in secrets.RULES if rule.kind == "login" for m in re.finditer(rule.pattern, "see 12ftp://u:pass@h x+ssh://a:bcd@e")]
+    assert found == [6, 21]
+
+
+def test_taken_names(spark):
+    frame = spark.createDataFrame([(1, "0" * 24, "mine")], "doc_id long, text string, spans string")
+    got = secrets.scan(frame)
+    assert got.columns == ["doc_id", "text", "spans", "_spans"] and got.first()["spans"] == "mine" and len(got.first()["_spans"]) == 1
+
+
 def test_trigram_queries():
     a = lambda *t: frozenset(t)
     assert trigram_query("abcd") == {a("abc", "bcd")}
