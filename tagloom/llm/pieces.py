@@ -304,8 +304,12 @@ def encode(docs, vocabulary, key_col="doc_id", text_col="text", out_col="pieces"
     text has null pieces, an empty one an empty array.  With ``lossless_col``
     each row is also decoded in its task and compared with its text.  Narrow: no
     shuffle, and the vocabulary of a model, a bounded size, is all that is
-    broadcast.
+    broadcast.  Added names that are taken get an underscore in front.  A unit
+    between blanks is sampled a character at a time, so one of 200,000 letters
+    takes about half a minute; a text has to fit into its task.
     """
+    out_col, *more = fresh(docs, out_col, *([lossless_col] if lossless_col else []))
+    lossless_col = more[0] if more else None
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     at, width = docs.columns.index(text_col), len(docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])

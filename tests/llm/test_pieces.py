@@ -84,3 +84,10 @@ def test_tables_may_be_cleared(monkeypatch, vocabulary):
 def test_query(spark, sf_dir):
     rows = QUERIES["op9_sentencepiece"](spark, sf_dir)
     assert rows.where("lossless").count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_taken_names(spark):
+    frame = spark.createDataFrame([(1, "a word", "mine", "too")], "doc_id long, text string, pieces string, Lossless string")
+    got = pieces.encode(frame, pieces.load(), lossless_col="lossless")
+    assert got.columns == ["doc_id", "text", "pieces", "Lossless", "_pieces", "_lossless"]
+    assert got.first()["pieces"] == "mine" and got.first()["_lossless"] is True and got.write.format("noop").mode("overwrite").save() is None
