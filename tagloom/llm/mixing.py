@@ -5,6 +5,7 @@ table gives each document a posterior over domains, and projected gradient steps
 fit nonnegative rates whose expected token totals per domain match the targets.
 """
 
+import warnings
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,6 +18,15 @@ BREAK = r"[\x00-/:-@\[-`{-\x7f]+"
 NOT_SYMBOL = r"[^!#$%&*|<>{}=+~^@\\]+"
 NOT_CAPITAL = r"[^A-Z]+"
 ALL, PLAIN = "#doc", "#plain"
+MOST_DOMAINS = 500
+
+
+class NotConverged(RuntimeError):
+    """Rates neither meet the targets nor have come to rest within the steps allowed."""
+
+
+class Unmet(UserWarning):
+    """Rates have come to rest, but the targets cannot be met; says by how many tokens each domain misses its own."""
 
 
 @dataclass(frozen=True)
@@ -58,17 +68,18 @@ def _known(features, lexicon):
     return F.concat(F.array(F.lit(ALL)), F.when(F.size(words) == 0, F.array(F.lit(PLAIN))).otherwise(F.array().cast("array<string>")), matched)
 
 
-def fit(docs, labels, id_col="doc_id", text_col="text", domain_col="domain", fit_rows=20_000, lexicon_size=512, max_domains=64, shrink=30):
+def fit(docs, labels, id_col="doc_id", text_col="text", domain_col="domain", fit_rows=20_000, lexicon_size=512, shrink=30):
     """A naive Bayes classifier of the labelled rows' domains, on presence of telling words and of shapes.
 
     Fitted on a bounded sample: about ``fit_rows`` labelled rows, drawn by a hash
-    of the id, the ``max_domains`` most frequent domains, and the
-    ``lexicon_size`` words that tell most among those with which some domain is
-    at least twice as likely.  A feature's effect on the odds is shrunk as by
+    of the id, every domain among them, and the ``lexicon_size`` words that tell
+    most among those with which some domain is at least twice as likely.  A domain
+    is a column of all later tables; over ``MOST_DOMAINS`` of them are an error.  A feature's effect on the odds is shrunk as by
     ``shrink`` further rows of the overall shares, so rare words tell little.
     The sample's ids are the only thing broadcast here.  Rows with a null id or
     domain are not learned from; a labelled id counts once, with the least of its
-    domains, and equal texts count once.  Ties go to the smaller name.
+    domains, and equal texts count once, null ones as empty.  Ties go to the
+    smaller name.  Other columns are not read.
     """
     given = labels.select(F.col(id_col).alias("id"), F.col(domain_col).cast("string").alias("domain")).dropna()
     total = max(given.count(), 1)
@@ -77,7 +88,10 @@ def fit(docs, labels, id_col="doc_id", text_col="text", domain_col="domain", fit
     rows = docs.join(F.broadcast(sample.withColumnRenamed("id", id_col)), id_col, "left_semi")
     texts = described(rows, id_col, text_col).join(F.broadcast(sample), "id")
     learned = stage(texts.groupBy("mark").agg(F.min_by("domain", "id").alias("domain"), F.min_by("features", "id").alias("features")), "learned")
-    domains = tuple(r["domain"] for r in learned.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(max_domains).collect())
+    found = learned.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MOST_DOMAINS + 1).collect()
+    if len(found) > MOST_DOMAINS:
+        raise ValueError(f"over {MOST_DOMAINS} domains; merge some of them")
+    domains = tuple(r["domain"] for r in found)
     each = [F.sum((F.col("domain") == d).cast("long")).alias(f"n_{k}") for k, d in enumerate(domains)]
 
     def counted(features):
@@ -130,7 +144,7 @@ def memberships(docs, classifier, id_col="doc_id", text_col="text"):
     return raised.select("id", "mark", "tokens", "rows", *((F.col(f"e_{k}") / whole).alias(f"p_{k}") for k in domains))
 
 
-def fit_rates(members, domains, targets, max_rate=None, goal=None, anchor=None, tolerance=1e-3, most_steps=60, steps_per_table=8):
+def fit_rates(members, domains, targets, max_rate=None, goal=None, anchor=None, tolerance=1e-3, rest=0.01, most_steps=500, steps_per_table=8):
     """``members`` with a rate per row: expected domain totals of tokens as near to the targets as they get.
 
     ``targets`` maps domains to weights, which are normalised; a domain without
@@ -144,8 +158,13 @@ def fit_rates(members, domains, targets, max_rate=None, goal=None, anchor=None,
     From rate 1, each step lowers the sum over domains of (total - target)^2 / current
     total along its gradient and clips at 0 and ``max_rate``.  That scaling makes
     a length of 1 safe and treats large and small domains alike; later lengths
-    follow the curvature that the last step met.  A step is
-    one aggregate of a few numbers; the rates between written tables are an
+    follow the curvature that the last step met.  The steps end when every
+    total is within ``tolerance`` of its target, or when the projected gradient
+    vanishes: a step moves the rates by no more than ``rest`` squared in the
+    weighted mean square, or the last 24 have lowered that sum by no more than the
+    share ``rest``; an ``Unmet`` warning then names the tokens that each domain
+    misses.  ``most_steps`` without either raise ``NotConverged``.  A
+    step is one aggregate of a few numbers; the rates between written tables are an
     expression, so a lost task recomputes them.
     """
     count = range(len(domains))
@@ -171,12 +190,21 @@ def fit_rates(members, domains, targets, max_rate=None, goal=None, anchor=None,
             goal = min([goal, *(max_rate * t / s for t, s in zip(now, share) if s and t)])
     wanted = [goal * s for s in share]
     rate, before, last, taken, length = F.col("rate"), F.lit(1.0), None, 0, 1.0
-    for _ in range(most_steps):
+    heights, volume = [], max(sum(now), 1.0)
+    while True:
         moved = F.sum(weight * (rate - before) * (rate - before)).alias("moved")
         got = state.agg(moved, *(F.sum(weight * rate * F.col(f"p_{k}")).alias(f"t_{k}") for k in count)).first()
         off = [0.0 if scarce[k] else (got[f"t_{k}"] or 0.0) - w for k, w in zip(count, wanted)]
         if all(abs(o) <= tolerance * max(w, goal / len(domains) * tolerance) for o, w in zip(off, wanted)):
             break
+        heights.append(sum(o * o / t for o, t in zip(off, now) if t))
+        best = min(heights)
+        still = taken >= 24 and heights[-1] <= (1 + rest) * best and best >= (1 - rest) * min(heights[:-24])
+        if still or taken and (got["moved"] or 0.0) <= (rest * rest) ** 2 * volume:
+            warnings.warn(Unmet({d: round(o) for d, o in zip(domains, off)}), stacklevel=2)
+            break
+        if taken >= most_steps:
+            raise NotConverged(f"after {taken} steps domains miss their targets by {dict(zip(domains, off))} tokens")
         if last:
             bent = sum((o - q) ** 2 / t for o, q, t in zip(off, last, now) if t)
             length = min(20.0, max(1.0, (got["moved"] or 0.0) / bent)) if bent else 1.0

@@ -81,7 +81,7 @@ def test_rates_meet_the_targets(spark, max_rate):
     rows = [(i, i, int(t), 1, *map(float, q)) for i, (t, q) in enumerate(zip(tokens, p))]
     members = spark.createDataFrame(rows, "id long, mark long, tokens long, rows long, p_0 double, p_1 double, p_2 double")
     targets = {"a": 5.0, "b": 3.0, "c": 2.0}
-    out = mixing.fit_rates(members, ("a", "b", "c"), targets, max_rate=max_rate, tolerance=1e-4, most_steps=80).collect()
+    out = mixing.fit_rates(members, ("a", "b", "c"), targets, max_rate=max_rate, tolerance=1e-4).collect()
     rate = np.array([r["rate"] for r in sorted(out, key=lambda r: r["id"])])
     assert (rate >= 0).all() and (max_rate is None or rate.max() <= max_rate)
     now = tokens @ p
@@ -152,3 +152,31 @@ def test_query_and_native_plan(spark, sf_dir):
     wanted = tokens.sum() * np.array([MIX[d] for d in names])
     off = lambda r: np.abs((tokens * r) @ p - wanted).max() / tokens.sum()
     assert off(rate) <= max(off(by_hand(tokens, p, wanted, None)), 2e-3) * 1.05 and off(rate) < off(np.ones(len(rows)))
+
+
+def test_every_domain_is_learned(spark, monkeypatch):
+    rows = [(i, f"word{'abcdefghij'[i % 10]} more{'abcdefghij'[i // 10 % 10]} text") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, f"d{i % 100:03d}") for i in range(600)], "doc_id long, domain string")
+    model = mixing.fit(docs, labels)
+    assert len(model.domains) == 100
+    got = mixing.memberships(docs, model).agg(F.count("p_99").alias("n"), F.sum("p_99").alias("p")).first()
+    assert got["n"] == 600 and got["p"] > 0
+    monkeypatch.setattr(mixing, "MOST_DOMAINS", 99)
+    with pytest.raises(ValueError, match="over 99 domains"):
+        mixing.fit(docs, labels)
+
+
+def test_targets_that_cannot_be_met_are_named(spark):
+    """Memberships of .9 and .1 in all rows give these shares and no others."""
+    members = spark.createDataFrame([(i, i, 10, 1, 0.9, 0.1) for i in range(50)], "id long, mark long, tokens long, rows long, p_0 double, p_1 double")
+    with pytest.warns(mixing.Unmet) as caught:
+        rates = mixing.fit_rates(members, ("a", "b"), {"a": 0.1, "b": 0.9}).collect()
+    missed = next(w.message.args[0] for w in caught if isinstance(w.message, mixing.Unmet))
+    rate = rates[0]["rate"]
+    assert all(abs(r["rate"] - rate) < 1e-9 for r in rates)
+    assert abs(missed["a"] - (450 * rate - 50)) <= 1 and abs(missed["b"] - (50 * rate - 450)) <= 1
+    # the least of (450 r - 50)^2 / 450 + (50 r - 450)^2 / 50
+    assert abs(rate - 1.0) < 2e-2
+    with pytest.raises(mixing.NotConverged):
+        mixing.fit_rates(members, ("a", "b"), {"a": 0.1, "b": 0.9}, most_steps=0)
