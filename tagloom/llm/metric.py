@@ -64,7 +64,7 @@ def _forest(n, left, right):
     return label
 
 
-def compare_blocks(threshold, strip=512):
+def compare_blocks(threshold, cells_at_once=1 << 22):
     """A pandas function over the two blocks of one group: links per vector, and a spanning forest."""
 
     def compare(group):
@@ -76,6 +76,7 @@ def compare_blocks(threshold, strip=512):
         second = first if same else np.flatnonzero(~group["left_side"].to_numpy())
         links = np.zeros(len(group), np.int64)
         label = np.arange(len(group))
+        strip = max(1, cells_at_once // max(len(second), 1))
         for at in range(0, len(first), strip):
             mine = first[at : at + strip]
             near = units[mine] @ units[second].T >= threshold
@@ -95,7 +96,7 @@ def compare_blocks(threshold, strip=512):
     return compare
 
 
-def near_duplicates(rows, id_col="vec_id", vec_col="embedding", threshold=0.9, cell_rows=2048, max_pivots=1024):
+def near_duplicates(rows, id_col="vec_id", vec_col="embedding", threshold=0.9, cell_rows=16_384, max_pivots=1024):
     """(id, n_links, component) of every row; vectors link if their cosine is at least ``threshold``.
 
     Equal vectors are one weighted vector whatever their number.  Pivots, a
@@ -153,7 +154,7 @@ def near_duplicates(rows, id_col="vec_id", vec_col="embedding", threshold=0.9, c
     )
     lent = placed.select(F.explode("lend").alias("cell"), F.lit(1).alias("kind"))
     counted = placed.select(F.col("home").alias("cell"), F.lit(0).alias("kind")).union(lent).groupBy("cell", "kind").count().collect()
-    blocks = {(r["cell"], r["kind"]): -(-r["count"] // (cell_rows * (8 if r["kind"] else 1))) for r in counted}
+    blocks = {(r["cell"], r["kind"]): -(-r["count"] // (cell_rows * (2 if r["kind"] else 1))) for r in counted}
 
     def deal(batches):
         for batch in batches:
