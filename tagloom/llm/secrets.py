@@ -2,14 +2,15 @@
 
 import re
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagloom.llm.common import fresh
+from tagloom.llm.common import fresh, in_slices
 from tagloom.llm.trigrams import EVERYTHING, trigram_query
 from tagloom.staging import stage, stage_sized
 
@@ -50,32 +51,35 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
+@lru_cache(maxsize=1)
+def _numbers(names):
+    """From 1, the number of each trigram by its three bytes; made once for all tasks of a worker."""
+    numbers = np.zeros(1 << 24, np.uint8 if len(names) < 256 else np.uint16)
+    for number, name in enumerate(names, 1):
+        a, b, c = name.encode()
+        numbers[a << 16 | b << 8 | c] = number
+    return numbers
+
+
 def postings(texts, trigrams, text_col="text"):
     """(trigram, key): the index.  ``key`` is a hash of the text, so equal texts share their postings.
 
     Trigrams are three ASCII bytes of the text with A-Z lower-cased.  All of a
     text are looked up at once in a table of the mandatory ones.
     """
-    names = sorted(trigrams)
-
-    def run(batches):
-        numbers = np.zeros(1 << 24, np.uint16)
-        for number, name in enumerate(names, 1):
-            a, b, c = name.encode()
-            numbers[a << 16 | b << 8 | c] = number
-        for batch in batches:
-            keys, found = batch.column(0).to_numpy(), []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                if text and len(text) > 2:
-                    codes = np.frombuffer(text.lower(), np.uint8).astype(np.int32)
-                    seen = np.unique(numbers[codes[:-2] << 16 | codes[1:-1] << 8 | codes[2:]])
-                    found += [(names[n - 1], keys[row]) for n in seen.tolist() if n]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64())], names=["trigram", "key"]
-            )
+    names = tuple(sorted(trigrams))
+
+    def look_up(part):
+        numbers, keys, found = _numbers(names), part.column(0).to_numpy(), []
+        for row, text in enumerate(part.column(1).to_pylist()):
+            if text and len(text) > 2:
+                codes = np.frombuffer(text.lower(), np.uint8).astype(np.int32)
+                seen = np.unique(numbers[codes[:-2] << 16 | codes[1:-1] << 8 | codes[2:]])
+                found += [(names[n - 1], keys[row]) for n in seen.tolist() if n]
+        return [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64())]
 
     rows = texts.select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "trigram string, key long")
+    return in_slices(rows, [T.StructField("trigram", T.StringType()), T.StructField("key", T.LongType())], look_up)
 
 
 def candidates(index, queries):
