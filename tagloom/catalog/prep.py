@@ -8,8 +8,9 @@ from ..functions.text import (
     ensure_c_source, minimal_clean_text, safe_project_name, source_key,
 )
 from ..operators import prep
-from ..sources import views
-from .registry import query
+from ..sources import views, writers
+from ..staging import scratch_path
+from .registry import ORACLES, query
 from .views import ANY_LABEL, LABEL_LIST, clean, split_of, strip, with_views
 
 _SUM = " + ".join(LABELS)
@@ -223,3 +224,18 @@ def limit_head(spark, sf_dir):
 )
 def prepare(spark, sf_dir):
     return views.samples(spark, sf_dir).select("sample_id", "split", "text", "raw_classification", "project", *LABELS)
+
+
+@query(
+    "k1_write_observed_dataset",
+    with_views(
+        "SELECT counter, value::BIGINT AS value FROM (" + ORACLES["a1_prep_summary"].split("\n")[-1] + ") UNPIVOT (value FOR counter IN "
+        "(processed_rows, kept_rows, skipped_no_label, skipped_empty_text)) "
+        "UNION ALL SELECT split, count(*) FROM samples GROUP BY split UNION ALL SELECT split || ' ' || label, sum(y)::BIGINT FROM long_labels GROUP BY split, label",
+        "samples", "labelled", "long_labels",
+    ),
+)
+def write_observed_dataset(spark, sf_dir):
+    """Counters of the pass that writes the dataset."""
+    found = writers.write_observed_dataset(views.raw_samples(spark, sf_dir), scratch_path(spark, "clean"))
+    return spark.createDataFrame(sorted(found.items()), "counter string, value long")

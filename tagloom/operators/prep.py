@@ -15,15 +15,18 @@ def once(rows, name, value):
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
-def prepare(raw, seed=42):
+def prepare(raw, seed=42, observe=None):
     """Raw rows to clean labelled samples: one narrow stage, no shuffle.
 
-    Rows without a label go before their text is cleaned.
+    Rows without a label go before their text is cleaned.  ``observe`` (rows,
+    step) may add counters to the rows ``processed``, ``labelled`` and ``kept``.
     """
+    seen = observe or (lambda rows, step: rows)
+    raw = seen(raw, "processed")
     category = strip(F.coalesce("raw_classification", F.lit("")))
     known = [c for c in METADATA_COLUMNS if c in raw.columns]
-    labelled = once(raw, "_mask", label_mask("raw_classification")).where(F.col("_mask") > 0)
-    return (
+    labelled = seen(once(raw, "_mask", label_mask("raw_classification")).where(F.col("_mask") > 0), "labelled")
+    kept = (
         once(labelled, "_clean", minimal_clean_text("text"))
         .where(F.col("_clean") != "")
         .select(
@@ -31,6 +34,7 @@ def prepare(raw, seed=42):
             category.alias("raw_classification"), *known, *label_columns("_mask"),
         )
     )
+    return seen(kept, "kept")
 
 
 def filter_labeled(raw):

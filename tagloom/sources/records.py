@@ -161,7 +161,7 @@ def header(records, sep, quote):
     found = firsts.groupBy(F.col("_head._record").alias("_record")).agg(F.min("_file").alias("_file")).limit(100).collect()
     named = {tuple(next(csv.reader([r["_record"].removeprefix(BYTE_ORDER)], delimiter=sep, quotechar=quote))): r["_file"] for r in found}
     if len(named) > 1:
-        raise ValueError(f"other column names in {max(named.values())} than in {min(named.values())}")
+        raise ValueError(f"the header of {max(named.values())} has other column names than that of {min(named.values())}")
     names = list(next(iter(named), ()))
     return [n if names.count(n) == 1 else f"{n}{i}" for i, n in enumerate(names)]
 

@@ -1,10 +1,13 @@
 """Sinks.  All write in parallel; none goes through the driver."""
 
+import uuid
+
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..constants import LABELS
 from ..functions.text import dotted_extension, ensure_c_source, safe_project_name
-from ..operators.prep import label_by_split, label_totals, prep_summary, split_sizes, top_raw_classifications
+from ..operators.prep import label_by_split, label_totals, prep_summary, prepare, split_sizes, top_raw_classifications
 
 
 # values are written as they are: quoted, untrimmed, quotes doubled
@@ -28,6 +31,33 @@ def write_split_dataset(clean, path, fmt="parquet"):
     return path
 
 
+def write_observed_dataset(raw, path, seed=42, fmt="parquet", splits=("train", "val", "test")):
+    """The clean dataset, with the counters of the same pass over the raw rows.
+
+    Returns a map of the four counters of ``prep_summary``, the size of each split
+    and, as ``split label``, its positives.  The counters are metrics of the
+    written plan, so nothing is read twice; a task that is run again after its
+    result was counted may be counted again.
+    """
+    seen = {}
+
+    def observe(rows, step):
+        seen[step] = Observation(f"{step} {uuid.uuid4().hex}")
+        counters = [F.count(F.lit(1)).alias("n")]
+        if step == "kept":
+            counters += [F.count_if(F.col("split") == s).alias(s) for s in splits]
+            counters += [F.count_if((F.col("split") == s) & (F.col(l) == 1)).alias(f"{s} {l}") for s in splits for l in LABELS]
+        return rows.observe(seen[step], *counters)
+
+    write_split_dataset(prepare(raw, seed, observe), path, fmt)
+    found = {step: observation.get for step, observation in seen.items()}
+    rows = {step: counters["n"] for step, counters in found.items()}
+    return {
+        "processed_rows": rows["processed"], "kept_rows": rows["kept"], "skipped_no_label": rows["processed"] - rows["labelled"],
+        "skipped_empty_text": rows["labelled"] - rows["kept"], **{k: v for k, v in found["kept"].items() if k != "n"},
+    }
+
+
 def write_legacy_views(view, path):
     """Comma- and hash-separated copies of a legacy view."""
     flat = view.drop("tags")

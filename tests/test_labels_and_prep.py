@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tagloom.constants import LABELS
 from tagloom.functions.labels import ALIASES, assign_split, label_columns, label_mask
 from tagloom.operators import prep
+from tagloom.sources import writers
 from tagloom.sources.readers import scan_predictions, scan_raw_csv
 from tagloom.staging import lookup_join, number_rows, number_within, stage_sized, top_n
 
@@ -129,3 +130,12 @@ def test_sample_subset(spark, n):
     rows = spark.range(300).withColumnRenamed("id", "sample_id")
     got = [r.sample_id for r in prep.sample_subset(rows, n).collect()]
     assert len(set(got)) == (17 if n == 17 else 300) and got == sorted(got)
+
+
+def test_counters_of_the_writing_pass(spark, tmp_path):
+    rows = [(1, "DoS", "int a"), (2, "", "int b"), (3, "NaN", " "), (4, "+Info", " \n"), (5, "Overflow DoS", "x")]
+    raw = spark.createDataFrame(rows, "sample_id long, raw_classification string, text string")
+    found = writers.write_observed_dataset(raw, str(tmp_path / "clean"))
+    assert {k: found[k] for k in ("processed_rows", "kept_rows", "skipped_no_label", "skipped_empty_text")} == prep.prep_summary(raw).first().asDict()
+    assert found["processed_rows"] == 5 and found["kept_rows"] == spark.read.parquet(str(tmp_path / "clean")).count() == 2
+    assert sum(found[s] for s in ("train", "val", "test")) == 2 and sum(found[f"{s} dos"] for s in ("train", "val", "test")) == 2
