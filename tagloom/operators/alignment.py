@@ -6,7 +6,7 @@ from ..constants import CELL_TERMINATOR, FIELDS, LABELS
 from ..functions.elements import NODE_KINDS, node_cell, node_json, one_node_tokens
 from ..functions.text import source_key
 from ..sources.writers import source_bodies
-from ..staging import number_rows
+from ..staging import number_rows, stage
 
 EMPTY_CELL = "[]--====--"
 
@@ -109,28 +109,52 @@ def align_predictions(scores, truth, elements=None, key="sample_id", labels=LABE
     return joined if elements is None else joined.join(elements, key)
 
 
-def validate_alignment(test, labels_table, key="sample_id", labels=LABELS):
+def _bucket_sums(rows, labels, buckets):
+    """Per bucket of the key, the rows and two checksums that do not depend on their order."""
+    known = [F.coalesce(l, F.lit(0)) for l in labels] + [F.col(l).isNull() for l in labels] + [F.col("_key").isNull()]
+    checks = [F.sum(F.xxhash64(F.lit(seed), "_key", *known).cast("decimal(20,0)")).alias(f"_c{seed}") for seed in (1, 2)]
+    return rows.groupBy(_bucket(buckets)).agg(F.count(F.lit(1)).alias("_n"), *checks)
+
+
+def _bucket(buckets):
+    return F.pmod(F.xxhash64("_key"), F.lit(buckets)).alias("_bucket")
+
+
+def validate_alignment(test, labels_table, key="sample_id", labels=LABELS, buckets=1 << 16):
     """Row counts of both tables, repeated and differing keys, and whether every label agrees, as one row.
 
-    Each side is counted by key before the join, so a repeated key neither
+    Order-free checksums of 128 bits per bucket of the key are compared first;
+    only rows of buckets that differ are joined.  In the others both tables hold
+    the same rows, so repeated keys are counted on one side, without labels.
+    Each side is counted by key before a join, so a repeated key neither
     multiplies rows nor evens out a difference in length.
     """
-
-    def side(table, name):
-        values = F.struct(*[F.col(l).cast("int").alias(l) for l in labels])
-        return table.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias(f"_n{name}"), F.max(values).alias(f"_v{name}"))
-
-    left, right = (side(t, n).withColumn("_key", F.struct("_key")) for t, n in ((test, "l"), (labels_table, "r")))
-    both = left.join(right, "_key", "full")  # keys in a struct: a null key meets a null key
+    kind = test.schema[key].dataType
+    sides = [t.select(F.col(key).cast(kind).alias("_key"), *[F.col(l).cast("int").alias(l) for l in labels]) for t in (test, labels_table)]
+    left, right = (_bucket_sums(rows, labels, buckets).select("_bucket", F.struct("_n", "_c1", "_c2").alias(n)) for rows, n in zip(sides, "lr"))
+    sums = stage(left.join(right, "_bucket", "full"), "bucket-sums")
+    # at most one row per bucket
+    differing = F.broadcast(sums.where(~F.col("l").eqNullSafe(F.col("r"))).select("_bucket"))
+
+    def side(rows, name):
+        met = rows.withColumn("_bucket", _bucket(buckets)).join(differing, "_bucket", "left_semi")
+        values = F.max(F.struct(*labels)).alias(f"_v{name}")
+        return met.groupBy(F.struct("_key").alias("_key")).agg(F.count(F.lit(1)).alias(f"_n{name}"), values)
+
+    both = side(sides[0], "l").join(side(sides[1], "r"), "_key", "full")  # keys in a struct: a null key meets a null key
     same = F.col("_nl").isNotNull() & F.col("_nr").isNotNull() & F.col("_vl").eqNullSafe(F.col("_vr"))
     repeated = (F.coalesce("_nl", F.lit(0)) > 1) | (F.coalesce("_nr", F.lit(0)) > 1)
-    return both.agg(
-        F.coalesce(F.sum("_nl"), F.lit(0)).alias("test_rows"),
-        F.coalesce(F.sum("_nr"), F.lit(0)).alias("label_rows"),
-        F.count_if(repeated).alias("repeated_keys"),
-        F.count_if(~same).alias("mismatched_rows"),
-        (F.count_if(~same | repeated) == 0).cast("int").alias("labels_match"),
-    )
+    none = F.lit(0).cast("long")
+    rows_of = [F.coalesce(F.sum(f"{n}._n"), none).alias(a) for n, a in (("l", "test_rows"), ("r", "label_rows"))]
+    keys = sides[0].select("_key").withColumn("_bucket", _bucket(buckets)).join(differing, "_bucket", "left_anti").groupBy("_key").count()
+    parts = [
+        sums.agg(*rows_of).select("test_rows", "label_rows", none.alias("repeated_keys"), none.alias("mismatched_rows"), none.alias("_wrong")),
+        both.agg(F.count_if(repeated), F.count_if(~same), F.count_if(~same | repeated)).select(none, none, "*"),
+        keys.agg(F.count_if(F.col("count") > 1).alias("n")).select(none, none, "n", none, "n"),
+    ]
+    total = parts[0].union(parts[1]).union(parts[2])
+    found = total.agg(*[F.sum(c).alias(c) for c in parts[0].columns])
+    return found.select(*parts[0].columns[:4], (F.col("_wrong") == 0).cast("int").alias("labels_match"))
 
 
 def split_prediction_table(predictions, labels=LABELS, key="sample_id", pred="pred_", true="true_"):
