@@ -43,13 +43,18 @@ def term_counts(spark, sf_dir):
     return tfidf.term_statistics(_terms(spark, sf_dir))
 
 
-@query(
-    "w1_vocab_topk",
-    with_views(f"SELECT term, count(*) AS cf FROM terms WHERE split = 'train' GROUP BY term ORDER BY count(*) DESC, term LIMIT {MAX_FEATURES}", "terms"),
-)
+_TOP = with_views(f"SELECT term, count(*) AS cf FROM terms WHERE split = 'train' GROUP BY term ORDER BY count(*) DESC, term LIMIT {MAX_FEATURES}", "terms")
+
+
+@query("w1_vocab_topk", _TOP)
 def vocab_topk(spark, sf_dir):
-    rows = _terms(spark, sf_dir).where("split = 'train'")
-    return tfidf.vocab_topk(stage(tfidf.term_counts(rows), "term-counts"), MAX_FEATURES)
+    return tfidf.frequent_terms(_terms(spark, sf_dir).where("split = 'train'"), MAX_FEATURES)
+
+
+@query("w1_vocab_topk_pruned", _TOP)
+def vocab_topk_pruned(spark, sf_dir):
+    """The way for large tables: no shuffle of all terms."""
+    return tfidf.top_terms(_terms(spark, sf_dir).where("split = 'train'"), MAX_FEATURES)
 
 
 _INDEX = (

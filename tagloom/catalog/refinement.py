@@ -155,6 +155,13 @@ def rule_match(spark, sf_dir):
     return _learned(spark, sf_dir, False)[1]
 
 
+@query("j7_rule_match_filtered", with_hits(f"SELECT sample_id, {_HIT_COLUMNS} FROM hits", "lib", LABELS))
+def rule_match_filtered(spark, sf_dir):
+    """The way of rules too many to broadcast: a Bloom filter of them before the shuffle of tokens."""
+    elements = _elements(spark, sf_dir)
+    return R.rule_hits(elements.where("split = 'test'"), _masks(elements, False), limit=0)
+
+
 @query("j7_rule_match_legacy", with_hits(f"SELECT sample_id, {_HIT_COLUMNS} FROM hits", "leg", LEGACY_RULE_LABELS))
 def rule_match_legacy(spark, sf_dir):
     return _learned(spark, sf_dir, True)[1]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FIELDS, LABELS, LEGACY_RULE_LABELS
 from ..functions.elements import calls, controls, identifiers, node_tokens, parse_cell, pseudo_cell
-from ..staging import lookup_join, number_within, stage, stage_sized
+from ..staging import BROADCAST_BYTES, lookup_join, number_within, stage, stage_sized
 from .metrics import stack
 
 # Ratio when nothing is left to divide by, and the cap of the lowest other frequency.
@@ -197,12 +197,14 @@ def distinguishing_set(rules, label, field, polarity="pos"):
 HIT_COLUMNS = tuple(f"{polarity}_{field}" for polarity in ("pos", "neg") for field in FIELDS)
 
 
-def rule_hits(elements, rules, key="sample_id"):
+def rule_hits(elements, rules, key="sample_id", limit=BROADCAST_BYTES):
     """Per sample and (polarity, field): the labels whose token set it meets, as masks.
 
     The join is on the token; partial bit-ors leave one row per sample to shuffle.
+    Rules over ``limit`` bytes are joined by a shuffle of those tokens only that a
+    Bloom filter of the rules lets pass.
     """
-    matched = lookup_join(field_tokens(elements, (key,)), rules, ["field", "token"], spread=[key])
+    matched = lookup_join(field_tokens(elements, (key,)), rules, ["field", "token"], spread=[key], limit=limit, selective=True)
     hits = [
         F.bit_or(F.when(F.col("field") == field, F.col(f"{polarity}_mask")).otherwise(F.lit(0))).alias(f"{polarity}_{field}")
         for polarity in ("pos", "neg")

@@ -59,6 +59,49 @@ def vocab_topk(counts, k):
     return top_n(counts, k, -F.col("cf"), [F.desc("cf"), F.col("term")])
 
 
+BUCKETS = 1 << 20
+FEW_OCCURRENCES = 128 * BUCKETS
+
+
+def top_terms(rows, k, terms="terms", buckets=BUCKETS):
+    """The ``k`` terms with the highest total count, ties by term, without a shuffle of all terms.
+
+    Occurrences are first summed by a hash of the term, into at most ``buckets``
+    sums a task.  A term occurs no more often than its bucket, and each of the
+    ``k`` largest buckets holds a term at least; the terms of these are counted.
+    The k-th highest of their counts is one that the result reaches too, so of
+    all other buckets only those of at least that sum can add to it, and are
+    counted next.  Broadcasts hold bucket numbers only.  ``rows`` are read three
+    times: stage the tokens.
+    """
+    long = exploded(rows, terms).withColumn("_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    sums = stage(long.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")), "bucket-sums")
+    largest = sums.orderBy(F.desc("n"), "_bucket").limit(k)
+    found, reach = largest.agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n")).first()
+    if found < k:
+        return vocab_topk(stage(term_counts(rows, terms), "term-counts"), k)
+
+    def counted(chosen):
+        inside = long.join(F.broadcast(sums.where(chosen).select("_bucket")), "_bucket", "left_semi")
+        return stage(inside.groupBy("term").agg(F.count(F.lit(1)).alias("cf")), "term-counts")
+
+    first = counted(F.col("n") >= reach)
+    cut = first.orderBy(F.desc("cf")).select("cf").limit(k).agg(F.min("cf")).first()[0]
+    rest = counted((F.col("n") < reach) & (F.col("n") >= cut))
+    return vocab_topk(first.where(F.col("cf") >= cut).union(rest.where(F.col("cf") >= cut)), k)
+
+
+def occurrences(rows, terms="terms"):
+    return rows.agg(F.coalesce(F.sum(F.greatest(F.size(terms), F.lit(0)).cast("long")), F.lit(0))).first()[0]
+
+
+def frequent_terms(rows, k, terms="terms", few=FEW_OCCURRENCES):
+    """``top_terms``; up to ``few`` occurrences, whose shuffle is cheaper than two more readings, all terms are counted at once."""
+    if occurrences(rows, terms) > few:
+        return top_terms(rows, k, terms)
+    return vocab_topk(stage(term_counts(rows, terms), "term-counts"), k)
+
+
 def vocab_index(rows, tokens="tokens", first_id=1):
     """Token ids by falling count, ties by first occurrence, from 1 (0 is padding).
 
@@ -93,11 +136,20 @@ def idf(documents, df):
     return F.log((1.0 + documents) / (F.lit(1.0) + df)) + 1.0
 
 
-def tfidf_fit(train, max_features=20_000, terms="terms", key="sample_id"):
-    """Vocabulary and smoothed idf, learned on the given (training) rows only."""
-    statistics = stage(term_statistics(train, terms), "term-statistics")
-    frequencies = vocab_topk(statistics, max_features)
+def tfidf_fit(train, max_features=20_000, terms="terms", key="sample_id", few=FEW_OCCURRENCES):
+    """Vocabulary and smoothed idf, learned on the given (training) rows only.
+
+    Over ``few`` occurrences the terms are chosen by ``top_terms`` and only their
+    document frequencies are counted; below, one pass counts both for all terms.
+    """
     documents = train.count()
+    if occurrences(train, terms) > few:
+        chosen = stage_sized(top_terms(train, max_features, terms), "frequent-terms")
+        once = exploded(train, F.array_distinct(terms))
+        found = lookup_join(once, chosen, "term", spread=["term"], selective=True)
+        frequencies = found.groupBy("term", "cf").agg(F.count(F.lit(1)).alias("df"))
+    else:
+        frequencies = vocab_topk(stage(term_statistics(train, terms), "term-statistics"), max_features)
     numbered = number_rows(frequencies, ["term"], "term_id", start=0)
     table = numbered.select(
         F.col("term_id").cast("int").alias("term_id"), "term", "cf", "df", idf(documents, F.col("df")).alias("idf")
@@ -139,7 +191,7 @@ def tfidf_entries(rows, vocabulary, keep=("sample_id",), terms="terms", limit=BR
     if vocabulary.in_row(limit):
         return sparse_entries(tfidf_transform(rows, vocabulary, terms), keep)
     long = exploded(rows, terms, keep)
-    found = lookup_join(long, vocabulary.table, "term", spread=[keep[0]], limit=limit)
+    found = lookup_join(long, vocabulary.table, "term", spread=[keep[0]], limit=limit, selective=True)
     counts = (
         found.repartition(keep[0]).groupBy(*keep, "term_id").agg((F.count(F.lit(1)) * F.first("idf")).alias("x"))
     )
@@ -229,9 +281,9 @@ def select_by_p(moments, grid=P_VALUE_GRID, labels=LABELS):
     return rows.where(kept).select("_g.grid_index", "_g.p_value", *moments.table.columns)
 
 
-def select_features(entries, selected):
+def select_features(entries, selected, limit=BROADCAST_BYTES):
     """Entries of the selected terms; ``selected`` is a measured (bounded) table of term ids."""
-    return lookup_join(entries, selected, "term_id", spread=["w"], how="left_semi")
+    return lookup_join(entries, selected, "term_id", spread=["w"], how="left_semi", limit=limit, selective=True)
 
 
 def token_length_histogram(rows, cap=512, width=16, tokens="tokens"):
@@ -257,11 +309,11 @@ def padding_density(rows, max_len=512, tokens="tokens"):
     )
 
 
-def vocab_lookup(rows, vocabulary, tokens="tokens", key="sample_id", unknown_id=None):
+def vocab_lookup(rows, vocabulary, tokens="tokens", key="sample_id", unknown_id=None, limit=BROADCAST_BYTES):
     """(key, pos, token_id) in text order; unknown tokens are dropped or get ``unknown_id``."""
     long = rows.select(key, F.posexplode(tokens).alias("pos", "token"))
     how = "inner" if unknown_id is None else "left"
-    found = lookup_join(long, vocabulary, "token", spread=[key, "pos"], how=how)
+    found = lookup_join(long, vocabulary, "token", spread=[key, "pos"], how=how, limit=limit, selective=True)
     token_id = F.col("token_id") if unknown_id is None else F.coalesce("token_id", F.lit(unknown_id))
     return found.select(key, "pos", token_id.cast("int").alias("token_id"))
 

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
 TOP_IN_ONE_TASK = 100_000
+FILTER_WORDS = 1 << 20
 
 
 def scratch_path(spark, name):
@@ -90,18 +91,56 @@ def stage_sized(df, name="table"):
     return Sized(staged, measured["rows"], measured["bytes"])
 
 
-def lookup_join(big, small, on, spread, how="inner", limit=BROADCAST_BYTES, hot_rows=HOT_ROWS):
+def _filter_word(on, words):
+    return F.pmod(F.xxhash64(*on), F.lit(words)).cast("int")
+
+
+def _filter_bits(on):
+    """Four of 64 bits, from another hash than the word's."""
+    draw = F.xxhash64(F.lit(1), *on)
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(draw, s).bitwiseAND(F.lit(63)).cast("int")) for s in (0, 6, 12, 18)]
+    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
+
+
+def _hashed_alike(big, small, on):
+    plain = (T.IntegralType, T.StringType, T.DateType, T.BooleanType)
+    return all(big.schema[c].dataType == small.schema[c].dataType and isinstance(big.schema[c].dataType, plain) for c in on)
+
+
+def may_match(big, small, on, words=FILTER_WORDS):
+    """Rows of ``big`` whose key may stand in ``small``, a ``Sized``: all that do and few others.
+
+    The keys go into a Bloom filter of at most ``words`` words of 64 bits, four
+    bits a key in one word.  Its table of (word, bits) is broadcast, so the rows
+    of ``big`` are tested before a shuffle.  ``big`` comes back as it is where the
+    filter would be too full to tell keys apart (a key for every two bits), or
+    where keys of different or fractional types need not hash alike.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    if small.rows > words * 32 or not _hashed_alike(big, small.df, on):
+        return big
+    words = min(words, 1 << max(10, (small.rows // 4).bit_length()))
+    table = small.df.groupBy(_filter_word(on, words).alias("_word")).agg(F.bit_or(_filter_bits(on)).alias("_bits"))
+    tested = big.withColumn("_word", _filter_word(on, words)).join(F.broadcast(stage(table, "filter")), "_word")
+    mask = _filter_bits(on)
+    return tested.where(F.col("_bits").bitwiseAND(mask) == mask).drop("_word", "_bits")
+
+
+def lookup_join(big, small, on, spread, how="inner", limit=BROADCAST_BYTES, hot_rows=HOT_ROWS, selective=False):
     """Join a long table with a looked-up table on ``on``.
 
     ``small`` is a ``Sized``.  Under the limit it is broadcast and ``big`` is not
     shuffled.  Over it, the keys of ``big`` with more than ``hot_rows`` rows are
     counted first.  Rows of such a key are spread by ``spread`` over one salt per
     ``hot_rows`` of them, and its looked-up row is repeated as often; all other
-    keys are joined as they are.
+    keys are joined as they are.  ``selective`` says that many keys of ``big`` have
+    no match: over the limit ``may_match`` takes these out before the shuffle.
     """
     on = [on] if isinstance(on, str) else list(on)
     if small.fits(limit):
         return big.join(F.broadcast(small.df), on, how)
+    if selective and how in ("inner", "left_semi"):
+        big = may_match(big, small, on)
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
     # at most one row per hot_rows of the long table
     hot = stage_sized(counts.select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")), "hot-keys")

@@ -9,7 +9,7 @@ from tagloom.functions.labels import ALIASES, assign_split, label_columns, label
 from tagloom.operators import prep
 from tagloom.sources import writers
 from tagloom.sources.readers import scan_predictions, scan_raw_csv
-from tagloom.staging import lookup_join, number_rows, number_within, stage_sized, top_n
+from tagloom.staging import lookup_join, may_match, number_rows, number_within, stage_sized, top_n
 
 
 def spec_labels(raw):
@@ -121,8 +121,23 @@ def test_hot_keys_are_joined_like_others(spark, how):
     small = stage_sized(spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v")))
     want = sorted(map(tuple, big.join(small.df, "k", how).collect()), key=repr)
     for hot_rows in (1 << 30, 500, 7):
-        got = lookup_join(big, small, "k", spread=["id"], how=how, limit=0, hot_rows=hot_rows)
-        assert sorted(map(tuple, got.collect()), key=repr) == want
+        for selective in (False, True):
+            got = lookup_join(big, small, "k", spread=["id"], how=how, limit=0, hot_rows=hot_rows, selective=selective)
+            assert sorted(map(tuple, got.collect()), key=repr) == want
+
+
+def test_rows_without_a_match_go_before_the_shuffle(spark):
+    big = spark.range(50_000).select("id", F.concat(F.lit("w"), F.col("id") % 10_000).alias("k"), (F.col("id") % 2).alias("p"))
+    big = big.union(spark.range(5).select("id", F.lit(None).cast("string"), F.lit(0).cast("long")))
+    small = stage_sized(spark.range(0, 300, 2).select(F.concat(F.lit("w"), F.col("id")).alias("k"), F.lit(0).cast("long").alias("p")))
+    matches = big.join(small.df, ["k", "p"]).count()
+    left = may_match(big, small, ["k", "p"])
+    assert left.columns == big.columns and left.join(small.df, ["k", "p"]).count() == matches == 750
+    assert left.count() < 1.3 * matches
+    assert may_match(big, small, ["k", "p"], words=4).count() == big.count(), "too full a filter is not used"
+    other = stage_sized(small.df.select("k", F.col("p").cast("int").alias("p")))
+    assert may_match(big, other, ["k", "p"]).count() == big.count(), "keys of other types hash otherwise"
+    assert may_match(big, stage_sized(small.df.limit(0)), ["k", "p"]).count() == 0
 
 
 @pytest.mark.parametrize("n", [None, 0, 17, 5000])
