@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tagloom.llm import simhash
 from tagloom.llm.components import components
@@ -63,6 +64,17 @@ def test_links_connect_like_all_pairs(spark, max_bits, segments, bucket_rows):
     assert [got.get(v, v) for v in signed] == [signed[g] for g in label]
 
 
+@pytest.mark.parametrize("limit, hot_rows", [(1 << 26, 1 << 20), (0, 1 << 20), (0, 1000)])
+def test_components_of_a_hub(spark, limit, hot_rows):
+    """A node linked to half of all, two chains and a pair; looked up by broadcast, shuffle and salted shuffle."""
+    hub = spark.range(20_000).select(F.lit(50_000).alias("a"), F.col("id").alias("b"))
+    chain = spark.range(30_000, 30_020).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    tied = spark.createDataFrame([(19_999, 30_000), (60_000, 60_001), (None, 1), (7, 7)], "a long, b long")
+    edges = hub.union(chain).union(tied)
+    got = components(edges, limit, hot_rows).groupBy("component").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r["component"]: r["n"] for r in got} == {0: 20_022, 60_000: 2}
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1000), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
