@@ -1,20 +1,23 @@
 """Streamed preparation with running counters."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..operators.prep import label_by_split, prep_summary, prepare
 from ..staging import scratch_path
 
 BATCH = "batch_id"
+COUNTS = "split string, label string, n long"
+SUMMARY = "processed_rows long, kept_rows long, skipped_no_label long, skipped_empty_text long"
 
 
 def read_stream(spark, path, schema, pattern=None, files_per_trigger=None):
+    """The files of ``path``; with a ``pattern`` the tables of that name in it, each one file or a folder of part files."""
     reader = spark.readStream.schema(schema)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    # in braces even a plain name is a glob, which may lead to a file as well as to a folder
+    return reader.parquet(f"{path}/{{{pattern}}}" if pattern else path)
 
 
 def start_prepare(raw_stream, out_path, checkpoint, seed=42, once=True):
@@ -49,14 +52,25 @@ def start_summary(raw_stream, out_path, checkpoint, once=True):
     return _start_deltas(raw_stream, prep_summary, out_path, checkpoint, once)
 
 
+def _deltas(spark, path, schema):
+    """The counters of all batches; no rows before the first one."""
+    schema = f"{schema}, {BATCH} long"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_counts(spark, path):
     """The counters up to the last finished batch; the table may be growing."""
-    return spark.read.parquet(path).groupBy("split", "label").agg(F.sum("n").alias("n"))
+    return _deltas(spark, path, COUNTS).groupBy("split", "label").agg(F.sum("n").alias("n"))
 
 
 def read_summary(spark, path):
     """The summary up to the last finished batch; the table may be growing."""
-    rows = spark.read.parquet(path)
+    rows = _deltas(spark, path, SUMMARY)
     return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns if c != BATCH])
 
 

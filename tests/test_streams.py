@@ -2,9 +2,12 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from tagloom.streaming.prepare import merge_deltas, read_counts, read_stream, read_summary, start_counts, start_summary
+from tagloom.streaming.prepare import (
+    merge_deltas, read_counts, read_stream, read_summary, start_counts, start_summary, stream_counts, stream_prepare, stream_summary,
+)
 from tagloom.streaming.publish import incremental_publish, not_published
 
 RUNS = "run_id string, sample_id long, score double"
@@ -77,3 +80,26 @@ def test_counters_last(spark, tmp_path):
     before = {tuple(r) for r in read_counts(spark, paths["counts"]).collect()}
     merge_deltas(spark, read_counts, paths["counts"], paths["merged"])
     assert {tuple(r) for r in read_counts(spark, paths["merged"]).collect()} == before
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_a_named_table_is_a_file_or_a_folder(spark, tmp_path, folder):
+    """A table beside others may be one file or hold part files of any name."""
+    rows = [(i, "DoS", "int a") for i in range(20)]
+    made, table = tmp_path / "made", tmp_path / "tables" / "raw.parquet"
+    spark.createDataFrame(rows, RAW).repartition(3 if folder else 1).write.parquet(str(made))
+    table.parent.mkdir()
+    for part in made.glob("part-*") if not folder else [made]:
+        part.rename(table)
+    land(spark, table.parent / "other.parquet", [(99, "DoS", "int b")], RAW)
+    stream = read_stream(spark, str(table.parent), RAW, "raw.parquet")
+    assert stream_summary(stream).first().asDict() == {"processed_rows": 20, "kept_rows": 20, "skipped_no_label": 0, "skipped_empty_text": 0}
+    assert sum(r["n"] for r in stream_counts(stream).collect()) == 20
+    assert stream_prepare(stream).count() == 20
+
+
+def test_a_stream_without_rows_has_empty_counters(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = read_stream(spark, str(tmp_path / "in"), RAW)
+    assert stream_counts(stream).collect() == []
+    assert stream_summary(stream).first().asDict() == {"processed_rows": 0, "kept_rows": 0, "skipped_no_label": 0, "skipped_empty_text": 0}
