@@ -68,3 +68,24 @@ def test_rare_words_and_empty_tables(spark):
     every = cooccurrence.pmi_vectors(rows, vector_size=2, window=2, spare=2, iterations=1).collect()
     assert {r["word"] for r in every} == {"a", "b", "c"} and all(np.isfinite(r["vector"]).all() for r in every)
     assert cooccurrence.pmi_vectors(rows.limit(0), vector_size=2, window=2, iterations=1).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_cells_of_any_size_hold_all_pairs(spark, documents, monkeypatch, limit):
+    """Sums handed over many times, many classes, cut cells and shuffled margins: the same counts and information."""
+    for name, value in (("PAIRS_HELD", 60), ("TOKENS_AT_ONCE", 16), ("PAIRS_OF_CELL", 500), ("ENTRIES_OF_CELL", 7), ("ROWS_OUT", 3)):
+        monkeypatch.setattr(cooccurrence, name, value)
+    lookup = cooccurrence.lookup_join
+    monkeypatch.setattr(cooccurrence, "lookup_join", lambda *a, **k: lookup(*a, **k, limit=limit))
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(documents)], "sample_id long, tokens array<string>")
+    want = counted(documents, 4)
+    counts = cooccurrence.cooccurrence_counts(rows, window=4)
+    assert "explode(flatten" not in counts._jdf.queryExecution().toString()
+    got = counts.collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["n"] for r in got} == want
+    cells = cooccurrence.packed_counts(rows, window=4)
+    assert cells.classes > 3
+    words, matrix = mutual(documents, 4)
+    found = {(r["a"], r["b"]): r["pmi"] for r in cooccurrence.positive_pmi(cells).collect()}
+    assert len(found) == (matrix > 0).sum()
+    assert all(abs(matrix[words.index(a), words.index(b)] - x) < 1e-9 for (a, b), x in found.items())
