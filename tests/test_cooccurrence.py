@@ -89,3 +89,18 @@ def test_cells_of_any_size_hold_all_pairs(spark, documents, monkeypatch, limit):
     found = {(r["a"], r["b"]): r["pmi"] for r in cooccurrence.positive_pmi(cells).collect()}
     assert len(found) == (matrix > 0).sum()
     assert all(abs(matrix[words.index(a), words.index(b)] - x) < 1e-9 for (a, b), x in found.items())
+
+
+def test_vectors_of_cut_tiles_and_repeated_blocks(spark, documents, monkeypatch):
+    """Small tiles, cut by their rows, that meet shuffled and repeated blocks of the basis: the same vectors."""
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(documents)], "sample_id long, tokens array<string>")
+    settings = dict(vector_size=3, window=4, spare=7, iterations=2)
+    monkeypatch.setattr(cooccurrence, "BLOCK", 8)
+    whole = {r["word"]: r["vector"] for r in cooccurrence.pmi_vectors(rows, **settings).collect()}
+    for name, value in (("BLOCKS_OF_TILE", 2), ("ENTRIES_OF_TILE", 20), ("TILES_TOGETHER", 1)):
+        monkeypatch.setattr(cooccurrence, name, value)
+    lookup = cooccurrence.lookup_join
+    monkeypatch.setattr(cooccurrence, "lookup_join", lambda *a, **k: lookup(*a, **k, limit=0))
+    cut = {r["word"]: r["vector"] for r in cooccurrence.pmi_vectors(rows, **settings).collect()}
+    ours, want = (np.array([found[w] for w in sorted(whole)]) for found in (cut, whole))
+    assert set(cut) == set(whole) and np.abs(ours @ ours.T - want @ want.T).max() < 1e-3 * np.abs(want @ want.T).max()
