@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..constants import FIELDS, LABELS, LEGACY_RULE_LABELS
 from ..functions import elements as E
 from ..operators import alignment, rules
+from ..operators.prep import once
 from ..sources import views, writers
 from .registry import query
 from .scans import with_nodes
@@ -85,7 +86,8 @@ def pseudo_cell(spark, sf_dir):
     ),
 )
 def parse_cell(spark, sf_dir):
-    nodes = views.samples(spark, sf_dir).select("sample_id", E.parse_cell(E.pseudo_cell("text")).alias("nodes"))
+    cells = once(views.samples(spark, sf_dir), "_cell", E.pseudo_cell("text")).select("sample_id", "_cell")
+    nodes = once(cells, "nodes", E.parse_cell("_cell"))
 
     def count(kind):
         return F.size(F.filter("nodes", lambda n: n["_label"] == kind))
