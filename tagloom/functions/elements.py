@@ -34,14 +34,15 @@ NODE_SCHEMA = T.ArrayType(
     )
 )
 
-_CALL = rf"(?<![{WORD_CLASS}])([A-Za-z_][A-Za-z0-9_]*+)[{SPACE_CLASS}]*+\("
-_CONTROL = rf"(?<![{WORD_CLASS}])({'|'.join(CONTROL_WORDS)})(?![{WORD_CLASS}])"
+# Cheap tests come first: most characters fail them.
+_CALL = rf"(?<![A-Za-z0-9_])(?<![{WORD_CLASS}])([A-Za-z_][A-Za-z0-9_]*+)[{SPACE_CLASS}]*+\("
+_CONTROL = rf"(?=[{''.join(sorted({w[0] for w in CONTROL_WORDS}))}])(?<![{WORD_CLASS}])({'|'.join(CONTROL_WORDS)})(?![{WORD_CLASS}])"
 
 
 # A sub-token starts an identifier (after digits that do not belong to it), starts a
 # snake part that is not digits alone, or starts with an upper-case letter.
 _IDENTIFIER_PIECE = (
-    "(?:(?<![A-Za-z0-9_])[0-9]*+(?=[a-z])|(?<=_)(?![0-9]++(?![A-Za-z0-9]))(?=[a-z0-9])|(?=[A-Z]))"
+    "(?=[A-Za-z0-9])(?:(?<![A-Za-z0-9_])[0-9]*+(?=[a-z])|(?<=_)(?![0-9]++(?![A-Za-z0-9]))(?=[a-z0-9])|(?=[A-Z]))"
     f"({_UPPER_PIECE}|[a-z0-9]++)"
 )
 

@@ -151,3 +151,28 @@ def test_cells(spark):
     assert json.loads(odd.select(E.node_json(F.col("l"), F.col("n"), F.col("c")).alias("j")).first().j) == {
         "_label": "CALL", "name": 'a"b', "code": "x\ny",
     }
+
+
+def test_patterns_reject_early_and_find_the_same(spark):
+    """The patterns as they stood before cheap tests were put first, on every short string of the characters that they tell apart."""
+    from itertools import product
+
+    from tagloom.functions import elements as E
+    from tagloom.functions import text as X
+
+    upper, words = X._UPPER_PIECE, "|".join(E.CONTROL_WORDS)
+    before = {
+        f"{upper}|{X._LOWER_PIECE}": f"{upper}|(?<![A-Za-z0-9])(?![0-9]++(?![A-Za-z0-9]))[a-z0-9]++",
+        X._COMMENT_OR_LITERAL: r"(?smd)//.*?$|/\*.*?\*/|(" + X._LITERAL + ")",
+        E._IDENTIFIER_PIECE: E._IDENTIFIER_PIECE.replace("(?=[A-Za-z0-9])(?:", "(?:", 1),
+        E._CALL: rf"(?<![{X.WORD_CLASS}])([A-Za-z_][A-Za-z0-9_]*+)[{X.SPACE_CLASS}]*+\(",
+        E._CONTROL: rf"(?<![{X.WORD_CLASS}])({words})(?![{X.WORD_CLASS}])",
+    }
+    assert all(new != old for new, old in before.items())
+    texts = ["".join(p) for n in range(1, 6) for p in product("aB1_ é", repeat=n)]
+    texts += ["".join(p) for n in range(1, 5) for p in product(("/", "*", "'", '"', "\\", "\n", "a"), repeat=n)]
+    texts += ["".join(p) for n in range(1, 5) for p in product(("if", "switch", "(", " ", "　", "é", "_", "9"), repeat=n)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    for new, old in before.items():
+        found = [F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (new, old)]
+        assert rows.where(found[0] != found[1]).count() == 0, new
