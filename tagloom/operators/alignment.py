@@ -50,6 +50,20 @@ def aggregate_nodes_by_file(nodes):
     return cells.select("filename", F.size("_nodes").cast("long").alias("n_nodes"), node_cell(F.col("_nodes.json")).alias("cpg"))
 
 
+def count_nodes(nodes):
+    """(filename, label, value, code, n) of the different nodes of the three kinds.
+
+    The kind goes as a number, negative where the code is not the value: most
+    codes are, and are then not held and shuffled a second time.
+    """
+    kinds = F.array(*[F.lit(k) for k in NODE_KINDS])
+    kind, differs = F.array_position(kinds, F.col("label")).cast("int"), ~F.col("code").eqNullSafe(F.col("value"))
+    keys = "filename", F.when(differs, -kind).otherwise(kind).alias("_kind"), "value", F.when(differs, F.col("code")).alias("_code")
+    counts = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    code = F.when(F.col("_kind") < 0, F.col("_code")).otherwise(F.col("value"))
+    return counts.select("filename", F.element_at(kinds, F.abs("_kind")).alias("label"), "value", code.alias("code"), "n")
+
+
 def file_elements(nodes, min_chars=100, legacy=False):
     """(filename, ids, calls, controls): the token sets of a file's cell, without making the cell.
 
