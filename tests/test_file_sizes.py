@@ -30,3 +30,16 @@ def test_legacy_files_are_bounded(spark, sf_dir, tmp_path):
         rows = readers.scan_delimited_legacy(spark, paths[kind], view.drop("tags").schema, sep)
         assert sorted(r[0] for r in rows.select(F.md5("text")).collect()) == sorted(r[0] for r in view.select(F.md5("text")).collect())
     assert set(writers.write_legacy_views(view, str(tmp_path / "one"), ("hash",))) == {"hash"}
+
+
+def _bytes(path):
+    return sum(f.stat().st_size for f in Path(path.removeprefix("file:")).glob("part-*"))
+
+
+def test_legacy_files_hold_a_text_once(spark, sf_dir, tmp_path):
+    view = legacy_view(views.samples(spark, sf_dir)).localCheckpoint()
+    text = view.agg(F.sum(F.octet_length("text"))).first()[0]
+    paths = writers.write_legacy_views(view, str(tmp_path))
+    assert all(_bytes(p) < text for p in paths.values())
+    rows = readers.scan_delimited_legacy(spark, paths["csv"], view.drop("tags").schema, ",")
+    assert sorted(rows.select("index", "text", "code").collect()) == sorted(view.select("index", "text", "code").collect())
