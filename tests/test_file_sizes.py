@@ -43,3 +43,14 @@ def test_legacy_files_hold_a_text_once(spark, sf_dir, tmp_path):
     assert all(_bytes(p) < text for p in paths.values())
     rows = readers.scan_delimited_legacy(spark, paths["csv"], view.drop("tags").schema, ",")
     assert sorted(rows.select("index", "text", "code").collect()) == sorted(view.select("index", "text", "code").collect())
+
+
+def test_dump_is_small_and_cut(spark, sf_dir, monkeypatch):
+    paths = []
+    monkeypatch.setattr(scans, "scratch_path", lambda s, name, f=scans.scratch_path: paths.append(f(s, name)) or paths[-1])
+    whole = sorted(QUERIES["s4_scan_node_dump"](spark, sf_dir).collect())
+    monkeypatch.setattr(scans, "DUMP_LINES", 1000)
+    assert sorted(QUERIES["s4_scan_node_dump"](spark, sf_dir).collect()) == whole
+    lines = spark.read.text(paths[0])
+    assert _bytes(paths[0]) < lines.agg(F.sum(F.octet_length("value"))).first()[0] / 4
+    assert all(spark.read.text(str(f)).count() <= 1000 for f in list(Path(paths[1].removeprefix("file:")).glob("part-*"))[:3])
