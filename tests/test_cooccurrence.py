@@ -104,3 +104,24 @@ def test_vectors_of_cut_tiles_and_repeated_blocks(spark, documents, monkeypatch)
     cut = {r["word"]: r["vector"] for r in cooccurrence.pmi_vectors(rows, **settings).collect()}
     ours, want = (np.array([found[w] for w in sorted(whole)]) for found in (cut, whole))
     assert set(cut) == set(whole) and np.abs(ours @ ours.T - want @ want.T).max() < 1e-3 * np.abs(want @ want.T).max()
+
+
+def test_packed_numbers_and_words():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    for values in ([], [0], [255, 256, 0], rng.integers(1 << 62, size=1000), np.arange(70000)):
+        assert cooccurrence._unsqueezed(cooccurrence._squeezed(np.array(values, np.int64))).tolist() == list(values)
+    for words in ([], ["", "é", None, "a b\n", "", "日本"], ["x"] * 300):
+        packed = (pa.array([x], pa.binary()) for x in cooccurrence._squeezed_words(pa.array(["cut", *words], pa.string())[1:]))
+        assert cooccurrence._words(pa.RecordBatch.from_arrays([*packed], names=["sizes", "letters"]), 0).to_pylist() == words
+
+
+def test_cells_are_packed_and_lists_are_not_repeated(spark, documents):
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(documents)], "sample_id long, tokens array<string>")
+    cells = cooccurrence.packed_counts(rows, window=4)
+    packed = sum(len(x) for row in cells.df.collect() for x in row if isinstance(x, (bytes, bytearray)))
+    pairs = sum(1 for a, b in counted(documents, 4) if a <= b)
+    assert packed < 6 * pairs, "a pair took 16 bytes"
+    # a join gave every cell the whole lists of its two classes
+    assert "Join" not in cooccurrence.positive_pmi(cells)._jdf.queryExecution().executedPlan().toString()
