@@ -125,3 +125,27 @@ def test_cells_are_packed_and_lists_are_not_repeated(spark, documents):
     assert packed < 6 * pairs, "a pair took 16 bytes"
     # a join gave every cell the whole lists of its two classes
     assert "Join" not in cooccurrence.positive_pmi(cells)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tiles_hold_a_pair_once_and_spent_tables_go(spark, documents, monkeypatch):
+    """A tile asks for the rows of its own words only, and of the steps before the last nothing stays on disk."""
+    import os
+
+    monkeypatch.setattr(cooccurrence, "BLOCK", 8)
+    monkeypatch.setattr(cooccurrence, "BLOCKS_OF_TILE", 2)
+    made, held = [], []
+    real_stage, real_tiles = cooccurrence.stage, cooccurrence._tiles
+    monkeypatch.setattr(cooccurrence, "stage", lambda df, name: made.append((name, real_stage(df, name))) or made[-1][1])
+
+    def tiles(entries):
+        found = real_tiles(entries)
+        held.extend(cooccurrence._unranked(found.limit(99).toArrow().combine_chunks().to_batches()[0], i) for i in range(found.count()))
+        return found
+
+    monkeypatch.setattr(cooccurrence, "_tiles", tiles)
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(documents)], "sample_id long, tokens array<string>")
+    assert cooccurrence.pmi_vectors(rows, vector_size=3, window=4, spare=7, iterations=2).count() == 40
+    pairs = [p for numbers, _, (a, b, _) in held for p in zip(numbers[a], numbers[b])]
+    assert len(held) > 2 and len(set(pairs)) == len(pairs) == np.triu(mutual(documents, 4)[1] > 0).sum()
+    assert all(set(numbers) == set(numbers[a]) | set(numbers[b]) for numbers, _, (a, b, _) in held)
+    assert {name for name, table in made if os.path.exists(table.staged_path.removeprefix("file:"))} == {"needs", "last"}
